@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 # Characters that count as white space when text is stripped or split.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0            "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 # Fixed value: every line boundary a text decoder recognises.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 # What a heading line looks like.
 HEADING_PATTERN = r"^[A-Z0-9][A-Za-z0-9 ,.&/'\-]{2,79}$"
