@@ -16,18 +16,33 @@ OVERLAP_WINDOW_CHARS = 400
 
 
 def merge_point(left: Column, right: Column) -> Column:
-    """0-based start of the new text of ``right`` when the end of ``left`` recurs near its beginning, else null."""
+    """0-based start of the new text of ``right`` when the end of ``left`` recurs near its beginning, else null.
+
+    The longest such end counts. If an end of some length recurs, every shorter one does too, so its length is found
+    by bisection.
+    """
 
     def search(zone: Column) -> Column:
         longest = F.least(F.length(left), F.length(zone))
 
-        def end_of(size: Column) -> Column:
-            return F.instr(zone, F.right(left, size)) + size - 1
-
-        sizes = F.filter(
-            F.sequence(longest, F.lit(MIN_OVERLAP_CHARS), F.lit(-1)), lambda n: F.instr(zone, F.right(left, n)) > 0
-        )
-        return F.when(longest >= MIN_OVERLAP_CHARS, let(F.get(sizes, F.lit(0)), end_of))
+        def recurs(size: Column) -> Column:
+            return F.instr(zone, F.right(left, size)) > 0
+
+        def halve(bounds: Column, _: Column) -> Column:
+            middle = F.shiftright(bounds["low"] + bounds["high"] + 1, 1)
+            return let(
+                recurs(middle),
+                lambda found: F.struct(
+                    F.when(found, middle).otherwise(bounds["low"]).alias("low"),
+                    F.when(found, bounds["high"]).otherwise(middle - 1).alias("high"),
+                ),
+            )
+
+        start = F.struct(F.lit(MIN_OVERLAP_CHARS).alias("low"), longest.alias("high"))
+        steps = F.sequence(F.lit(1), F.lit(OVERLAP_WINDOW_CHARS.bit_length()))
+        size = F.aggregate(steps, start, halve)["low"]
+        confident = (longest >= MIN_OVERLAP_CHARS) & recurs(F.lit(MIN_OVERLAP_CHARS))
+        return F.when(confident, let(size, lambda n: F.instr(zone, F.right(left, n)) + n - 1))
 
     return let(F.substring(right, 1, OVERLAP_WINDOW_CHARS), search)
 

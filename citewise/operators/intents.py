@@ -17,7 +17,7 @@ from citewise.plans.sizing import join_small
 
 NO_FILTER = -1
 # Fixed value: the scale averages are carried with.
-AVERAGE_TYPE = "decimal(38,16)"
+AVERAGE_TYPE = "decimal(38,14)"
 
 
 def question_intents(questions: DataFrame, scope: DataFrame, catalog: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def structured_answers(intents: DataFrame, catalog: DataFrame, rows: DataFrame)
     distinct = distinct_counts(rows, usable.filter(counting).select("sheet_id", "target_idx").distinct())
     joined = resolved.join(sums, keys, "left").join(distinct, ["sheet_id", "target_idx"], "left")
     total, numbers = F.col("total"), F.col("numbers")
-    average = F.when(numbers > 0, (total.cast("decimal(38,4)") / numbers.cast("decimal(20,0)")).cast(AVERAGE_TYPE))
+    average = F.when(numbers > 0, (total.cast("decimal(28,4)") / numbers.cast("decimal(20,0)")).cast(AVERAGE_TYPE))
     value = (
         F.when(counting, F.coalesce("distinct_values", F.lit(0)).cast("string"))
         .when(F.col("wanted")["aggregate"] == "AVG", display_value(average, AVERAGE_TYPE))
