@@ -1,5 +1,5 @@
 """Queries over the given tables with their SQL counterparts."""
 
-from suite import documents, retrieval
+from suite import asking, documents, retrieval, sheets
 
-MODULES = (documents, retrieval)
+MODULES = (documents, retrieval, sheets, asking)
