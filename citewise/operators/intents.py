@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from citewise.functions.questions import INTENT_TYPE, intent, intent_sql
 from citewise.functions.values import NUMERIC_TYPE, canonical_text, display_value
 from citewise.operators.results import single_value_text
+from citewise.plans.materialize import settle
 from citewise.plans.sizing import join_small
 
 NO_FILTER = -1
@@ -107,8 +108,11 @@ def distinct_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def structured_answers(intents: DataFrame, catalog: DataFrame, rows: DataFrame) -> DataFrame:
-    """(question_id, sql, value, context, row_count, problem) per question with an intent."""
-    resolved = resolve_intents(intents, catalog)
+    """(question_id, sql, value, context, row_count, problem) per question with an intent.
+
+    The resolved intents are written once: they feed the sums, the distinct counts and the answers.
+    """
+    resolved = settle(resolve_intents(intents, catalog))
     usable = resolved.filter(F.col("problem").isNull())
     counting = F.col("wanted")["aggregate"] == "COUNT_DISTINCT"
     keys = ["sheet_id", "filter_idx", "filter_text", "target_idx"]

@@ -20,9 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from citewise.functions.hashing import DEFAULT_DIM, hashed_vector
-from citewise.plans.sizing import join_small, measured_within, spread
+from citewise.plans.sizing import join_small, spread
 
 CANDIDATES = 15
 DEFAULT_K = 6
@@ -30,8 +31,9 @@ SHEETS_K = 2
 SCORE_DIGITS = 6
 MAX_PLACED_QUESTIONS = 20_000
 MAX_PLACED_BYTES = 64 * 1024 * 1024
-CELL_POINTS = 16_384
-CELL_QUESTIONS = 2_048
+CELL_POINTS = 8_192
+CELL_QUESTIONS = 1_024
+BLOCK_SCORES = 4_000_000
 TENANT = "_tenant"
 
 
@@ -79,13 +81,16 @@ def _best(table: pa.Table, k: int) -> pa.Table:
 
 
 def _score_block(points: pa.Table, vectors: np.ndarray, questions: np.ndarray, positions: np.ndarray, k: int) -> pa.Table:
-    scores = np.round(vectors @ questions.T, SCORE_DIGITS) + 0.0
-    point, question = _winners(scores, k)
-    hits = points.take(pa.array(point))
-    return pa.table(
-        [pa.array(positions[question], pa.int64()), pa.array(scores[point, question]), *hits.columns],
-        names=["_question", "score", *hits.schema.names],
-    )
+    """Candidate hits of one block; questions are taken in slices so that the score matrix stays small."""
+    step = max(1, BLOCK_SCORES // max(1, len(vectors)))
+    parts = []
+    for start in range(0, len(questions), step):
+        scores = np.round(vectors @ questions[start : start + step].T, SCORE_DIGITS) + 0.0
+        point, question = _winners(scores, k)
+        hits = points.take(pa.array(point))
+        where = pa.array(positions[start + question], pa.int64())
+        parts.append(pa.table([where, pa.array(scores[point, question]), *hits.columns], names=["_question", "score", *hits.schema.names]))
+    return pa.concat_tables(parts)
 
 
 def _scan(placed, carried: Sequence[str], vector: str, dim: int, k: int):
@@ -116,17 +121,21 @@ def _scan(placed, carried: Sequence[str], vector: str, dim: int, k: int):
     return run
 
 
-def _place(questions: DataFrame, dim: int):
+def _fetch_bounded(questions: DataFrame, dim: int, max_rows: int, max_bytes: int) -> pa.Table | None:
+    """The question side when its vectors are certain to fit ``max_bytes``, else None; never reads past the bound."""
+    rows = min(max_rows, max_bytes // (8 * dim))
+    table = questions.limit(rows + 1).toArrow()
+    return table if table.num_rows <= rows else None
+
+
+def _place(spark, table: pa.Table, dim: int):
     """Bounded question side as {tenant: (positions, unit rows)} plus the ids, shipped once per executor."""
-    table = questions.toArrow()
     vectors = unit_rows(table.column("vector"), dim)
-    tenants = table.column(TENANT).to_pylist()
     grouped: dict = {}
-    for position, tenant in enumerate(tenants):
+    for position, tenant in enumerate(table.column(TENANT).to_pylist()):
         grouped.setdefault(tenant, []).append(position)
     by_tenant = {t: (np.array(p), vectors[p]) for t, p in grouped.items()}
-    ids = table.column("question_id").combine_chunks()
-    return questions.sparkSession.sparkContext.broadcast((by_tenant, ids))
+    return spark.sparkContext.broadcast((by_tenant, table.column("question_id").combine_chunks()))
 
 
 def _cells(df: DataFrame, sizes: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
@@ -149,7 +158,6 @@ def _grid(questions: DataFrame, points: DataFrame, carried, vector: str, dim: in
     right = _cells(points, sizes, carried[0], "point_side", "question_side")
 
     def score(asked_cell: pa.Table, stored_cell: pa.Table) -> pa.Table:
-        target = pa.schema([f for f in arrow_schema])
         if not asked_cell.num_rows or not stored_cell.num_rows:
             return target.empty_table()
         positions = np.arange(asked_cell.num_rows)
@@ -159,9 +167,7 @@ def _grid(questions: DataFrame, points: DataFrame, carried, vector: str, dim: in
         ids = asked_cell.column("question_id").take(best.column("_question"))
         return best.drop_columns(["_question"]).add_column(0, "question_id", ids).cast(target)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_schema = list(to_arrow_schema(schema))
+    target = to_arrow_schema(schema)
     key = [TENANT, "question_side_cell", "point_side_cell"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, schema)
 
@@ -189,8 +195,10 @@ def top_k(
     schema = T.StructType(
         [asked.schema["question_id"], T.StructField("score", T.DoubleType()), *[stored.schema[c] for c in carried]]
     )
-    if measured_within(asked, *max_placed):
-        found = stored.mapInArrow(_scan(_place(asked, dim), carried, vector, dim, k), schema)
+    fetched = _fetch_bounded(asked, dim, *max_placed)
+    if fetched is not None:
+        placed = _place(questions.sparkSession, fetched, dim)
+        found = stored.mapInArrow(_scan(placed, carried, vector, dim, k), schema)
     else:
         found = _grid(asked, stored, carried, vector, dim, k, schema, cells)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), point_id)

@@ -16,6 +16,7 @@ from citewise.operators.lifecycle import session_flags, sheets_in_scope
 from citewise.operators.profile import sheet_summaries
 from citewise.operators.rerank import KEPT, rerank_by_overlap
 from citewise.operators.search import CANDIDATES, SHEETS_K, embed, search_chunks, top_k
+from citewise.plans.materialize import settle
 
 SESSION = ("user_id", "session_id")
 
@@ -62,8 +63,11 @@ def route_questions(questions: DataFrame, files: DataFrame, sheets: DataFrame, c
 
 
 def answer_questions(questions: DataFrame, data: Collections, classifier=None, generator=None) -> DataFrame:
-    """questions(question_id, question, user_id, session_id) -> answer, question_type, context, sources."""
-    routed = route_questions(questions, data.files, data.sheets, classifier)
+    """questions(question_id, question, user_id, session_id) -> answer, question_type, context, sources.
+
+    The routed questions are written once, since both evidence paths start from them.
+    """
+    routed = settle(route_questions(questions, data.files, data.sheets, classifier))
     reads_text = routed.filter(F.col("question_type").isin(SEMANTIC, HYBRID))
     reads_tables = routed.filter(F.col("question_type").isin(STRUCTURED, HYBRID))
     passages = semantic_evidence(reads_text.select("question_id", "question", *SESSION), data.chunks, SESSION)
