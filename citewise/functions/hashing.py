@@ -16,14 +16,17 @@ SPARSE_TYPE = "array<struct<bucket:int,weight:double>>"
 
 
 def _signed_key(token: Column, dim: int) -> Column:
-    """bucket * 2, plus 1 when the token counts negatively; bucket and sign come from the token's md5."""
+    """bucket * 2, plus 1 when the token counts negatively.
 
-    def split_digest(digest: Column) -> Column:
-        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim
-        negative = F.conv(F.substring(digest, 9, 2), 16, 10).cast("long") % 2
-        return (bucket * 2 + negative).cast("int")
+    The first four bytes of the token's md5 give the bucket, the parity of the fifth its sign.
+    """
 
-    return let(F.md5(token.cast("binary")), split_digest)
+
+    def split_number(number: Column) -> Column:
+        return (F.shiftright(number, 8) % dim * 2 + number % 2).cast("int")
+
+    digits = F.substring(F.md5(token.cast("binary")), 1, 10)
+    return let(F.conv(digits, 16, 10).cast("long"), split_number)
 
 
 def signed_counts(col: Column, dim: int = DEFAULT_DIM) -> Column:

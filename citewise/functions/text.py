@@ -35,11 +35,16 @@ def let(value: Column, body) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.btrim(col, F.lit(WHITESPACE))
+    """Trim; texts whose first and last characters are not white space pass without being scanned."""
+
+    def padded(char: Column) -> Column:
+        return F.instr(F.lit(WHITESPACE), char) > 0
+
+    return F.when(padded(F.left(col, F.lit(1))) | padded(F.right(col, F.lit(1))), F.btrim(col, F.lit(WHITESPACE))).otherwise(col)
 
 
 def is_blank(col: Column) -> Column:
-    return F.coalesce(F.length(strip(col)) == 0, F.lit(True))
+    return F.coalesce(F.ltrim(col, F.lit(WHITESPACE)) == "", F.lit(True))
 
 
 def normalize(col: Column) -> Column:

@@ -39,7 +39,7 @@ TENANT = "_tenant"
 
 def embed(df: DataFrame, text: str = "text", out: str = "vector", dim: int = DEFAULT_DIM, provider=None) -> DataFrame:
     """Add an embedding column: the hashed vector, or what ``provider`` (a Column -> Column plug-in) gives."""
-    return df.withColumn(out, provider(F.col(text)) if provider else hashed_vector(F.col(text), dim))
+    return spread(df).withColumn(out, provider(F.col(text)) if provider else hashed_vector(F.col(text), dim))
 
 
 def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
@@ -210,6 +210,6 @@ def search_chunks(
 ) -> DataFrame:
     """questions(question_id, question, *tenant) against chunk text: candidates with every chunk column."""
     asked = embed(questions, "question", dim=dim)
-    stored = embed(spread(chunks), "text", dim=dim)
+    stored = embed(chunks, "text", dim=dim)
     payload = [c for c in chunks.columns if c != "chunk_id" and c not in tenant]
     return top_k(asked, stored, k, tenant, payload=payload, dim=dim)

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from citewise.functions import questions as qs
 from citewise.functions.text import cell_text, normalize
 from citewise.operators import intents, profile, sheets
+from citewise.operators.rerank import rerank_by_model
 from citewise.operators.results import render_result
 from citewise.operators.scoped_sql import query_audit, scoped_sql
 from citewise.plans.answers import Collections, answer_questions
+from citewise.operators.search import embed
 from citewise.plans.materialize import settle
+from citewise.plugins import embedding_provider, relevance_scorer, text_generator
 from suite.common import Registry, load, long, overlap_sql, top_k_sql, vectors_sql, whole_documents
 
 query = Registry()
@@ -486,3 +489,41 @@ def c11(spark, folder):
     data = Collections(chunks, files, listed, catalog, rows)
     answered = answer_questions(asked.join(sessions, "session_id", "left_semi"), data)
     return answered.select("question_id", "question_type", long(F.size("sources")).alias("sources"), "answer")
+
+
+@query(
+    "d1_embedding_plugin",
+    "SELECT doc_id, 2::BIGINT AS dim, round(length(text)::DOUBLE, 3) AS first, round((length(text) - length(replace(text, chr(10), '')))::DOUBLE, 3) AS second FROM documents",
+)
+def d1(spark, folder):
+    """A batch embedding function plugged in for the hashed one."""
+    provider = embedding_provider(lambda texts: [[float(len(t)), float(t.count("\n"))] for t in texts], dim=2)
+    docs = embed(load(spark, folder, "documents").select("doc_id", "text"), provider=provider)
+    return docs.select(
+        "doc_id", long(F.size("vector")).alias("dim"), F.round(double(F.col("vector")[0]), 3).alias("first"), F.round(double(F.col("vector")[1]), 3).alias("second")
+    )
+
+
+@query(
+    "d2_scorer_plugin",
+    """SELECT conv_id AS question_id, turn, r::BIGINT AS final_rank FROM (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS r FROM conversations WHERE length(text) >= 100
+) WHERE r <= 5""",
+)
+def d2(spark, folder):
+    """A batch pair scorer plugged into the reranker: longer turns count as more relevant."""
+    turns = load(spark, folder, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn"), F.col("turn").alias("rank"), F.col("role").alias("question"), "text")
+    scorer = relevance_scorer(lambda pairs: [len(passage) for _, passage in pairs])
+    kept = rerank_by_model(turns, scorer, min_score=100)
+    return kept.select("question_id", "turn", long("final_rank").alias("final_rank"))
+
+
+@query(
+    "d3_generator_plugin",
+    "SELECT conv_id, turn, length('Question type: SEMANTIC' || chr(10) || 'Evidence:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || role || chr(10) || 'Answer:')::VARCHAR AS reply FROM conversations",
+)
+def d3(spark, folder):
+    """A batch text generator fed with the answer prompt."""
+    generate = text_generator(lambda prompts: [str(len(p)) for p in prompts])
+    prompt = qs.answer_prompt(F.col("role"), F.col("text"), F.lit("SEMANTIC"))
+    return load(spark, folder, "conversations").select("conv_id", "turn", generate(prompt).alias("reply"))
