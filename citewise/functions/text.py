@@ -15,7 +15,7 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+WHITESPACE_RUN = f"[{WHITESPACE}]+"
 # Fixed value: every line boundary a text decoder recognises.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -52,13 +52,23 @@ def normalize(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(col), WHITESPACE_RUN, " "))
 
 
+def plain_blanks(col: Column) -> Column:
+    """Every white space character as a blank."""
+    return F.translate(col, WHITESPACE, " " * len(WHITESPACE))
+
+
 def words(col: Column) -> Column:
-    """Distinct whitespace-separated words, punctuation kept."""
-    return F.array_distinct(F.filter(F.split(normalize(col), " "), lambda w: w != ""))
+    """Distinct whitespace-separated lower-case words, punctuation kept."""
+    return F.array_distinct(F.filter(F.split(plain_blanks(F.lower(col)), " "), lambda w: w != ""))
 
 
 def lexical_overlap(question: Column, passage: Column) -> Column:
-    return F.size(F.array_intersect(words(question), words(passage)))
+    """Distinct words of the question that also stand in the passage; the passage is searched, not taken apart."""
+
+    def count(padded: Column) -> Column:
+        return F.size(F.filter(words(question), lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))))
+
+    return let(F.concat(F.lit(" "), plain_blanks(F.lower(passage)), F.lit(" ")), count)
 
 
 def tokens(col: Column) -> Column:

@@ -18,22 +18,26 @@ def rank_and_filter(
     score: str = "score",
     index: str = "idx",
 ) -> DataFrame:
-    """Best first (ties by ``index``); the absolute floor applies before the margin below the best survivor."""
-    kept = scored.filter(F.col(score).isNotNull())
+    """Best first (ties by ``index``); the absolute floor applies before the margin below the best survivor.
+
+    The filters come after the ranking, which they cannot change: what they drop ranks last. So a costly score is not
+    evaluated a second time in a filter pushed below it.
+    """
+    order = Window.partitionBy("question_id").orderBy(F.desc_nulls_last(score), index)
+    ranked = scored.withColumn("final_rank", F.row_number().over(order))
+    keep = (F.col("final_rank") <= top_n) & F.col(score).isNotNull()
     if min_score is not None:
-        kept = kept.filter(F.col(score) >= F.lit(float(min_score)))
+        keep = keep & (F.col(score) >= F.lit(min_score))
     if score_margin is not None:
-        best = F.max(score).over(Window.partitionBy("question_id"))
-        kept = kept.withColumn("_best", best).filter(F.col(score) >= F.col("_best") - F.lit(float(score_margin))).drop("_best")
-    order = Window.partitionBy("question_id").orderBy(F.desc(score), index)
-    return kept.withColumn("final_rank", F.row_number().over(order)).filter(F.col("final_rank") <= top_n)
+        ranked = ranked.withColumn("_best", F.max(score).over(Window.partitionBy("question_id")))
+        keep = keep & (F.col(score) >= F.col("_best") - F.lit(score_margin))
+    return ranked.filter(keep).drop("_best")
 
 
 def rerank_by_overlap(candidates: DataFrame, top_n: int = KEPT, question: str = "question", text: str = "text") -> DataFrame:
     """Default reranker: number of shared words; candidates that share none are dropped."""
     overlap = lexical_overlap(F.col(question), F.col(text)).cast("bigint")
-    scored = candidates.withColumn("overlap", overlap).filter(F.col("overlap") > 0)
-    return rank_and_filter(scored, top_n, score="overlap", index="rank")
+    return rank_and_filter(candidates.withColumn("overlap", overlap), top_n, min_score=1, score="overlap", index="rank")
 
 
 def rerank_by_model(candidates: DataFrame, scorer, top_n: int = KEPT, **limits) -> DataFrame:

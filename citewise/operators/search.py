@@ -34,6 +34,7 @@ MAX_PLACED_BYTES = 64 * 1024 * 1024
 CELL_POINTS = 8_192
 CELL_QUESTIONS = 1_024
 BLOCK_SCORES = 4_000_000
+MAX_CARRIED_ROWS = 20_000
 TENANT = "_tenant"
 
 
@@ -186,23 +187,26 @@ def top_k(
 ) -> DataFrame:
     """questions(question_id, *tenant, vector) x points(point_id, *tenant, vector, *payload) -> best k points each.
 
-    Output: question_id, score, point_id, payload columns and 1-based ``rank``.
+    Output: question_id, score, point_id, payload columns and 1-based ``rank``. Payload rides along with the winners
+    while those are few; otherwise only ids are ranked and the payload is joined to the final rows.
     """
     tenant_key = F.to_json(F.struct(*[F.col(c).cast("string") for c in tenant])) if tenant else F.lit("")
     asked = questions.select("question_id", tenant_key.alias(TENANT), "vector")
-    carried = [point_id, *payload]
+    fetched = _fetch_bounded(asked, dim, *max_placed)
+    rides = fetched is not None and fetched.num_rows * k <= MAX_CARRIED_ROWS
+    carried = [point_id, *payload] if rides else [point_id]
     stored = points.select(*carried, tenant_key.alias(TENANT), F.col(vector))
     schema = T.StructType(
         [asked.schema["question_id"], T.StructField("score", T.DoubleType()), *[stored.schema[c] for c in carried]]
     )
-    fetched = _fetch_bounded(asked, dim, *max_placed)
     if fetched is not None:
         placed = _place(questions.sparkSession, fetched, dim)
         found = stored.mapInArrow(_scan(placed, carried, vector, dim, k), schema)
     else:
         found = _grid(asked, stored, carried, vector, dim, k, schema, cells)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), point_id)
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best if rides or not payload else best.join(points.select(point_id, *payload), point_id)
 
 
 def search_chunks(
