@@ -46,10 +46,10 @@ def text_units(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files as units; the path is the document id."""
+    """Whole text files as units, broken UTF-8 replaced; the path is the document id."""
     files = spark.read.text(path, wholetext=True)
     named = files.select(
-        F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text")
+        F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_name").alias("filename"), F.make_valid_utf8(F.col("value")).alias("text")
     )
     return text_units(named.withColumn("file_type", F.lit("txt")))
 
