@@ -21,6 +21,7 @@ from citewise.functions.values import (
     to_double,
     to_integer,
 )
+from citewise.plans.materialize import settle
 from citewise.plans.sizing import join_small
 
 COLUMN = ["sheet_id", "col_idx"]
@@ -34,12 +35,12 @@ CATEGORICAL_SHARE = 0.5
 def value_counts(cells: DataFrame) -> DataFrame:
     """(sheet_id, col_idx, value_type, value, n, ranges): one row per distinct text value."""
     keyed = F.col("value_type").isin("string", "bool")
-    number = F.when(F.col("value_type") == "number", F.col("value").try_cast("double"))
+    typed = lambda kind, target: F.when(F.col("value_type") == kind, F.col("value").try_cast(target))
     return (
         cells.withColumn("_key", F.when(keyed, F.col("value")))
-        .withColumn("_number", number)
-        .withColumn("_integer", F.when((F.col("value_type") == "number") & is_integer(F.col("value")), to_integer(F.col("value"))))
-        .withColumn("_time", F.when(F.col("value_type") == "date", parse_timestamp(F.col("value"))))
+        .withColumn("_number", typed("number", "double"))
+        .withColumn("_integer", typed("number", "bigint"))
+        .withColumn("_time", typed("date", "timestamp_ntz"))
         .groupBy(*COLUMN, "value_type", F.col("_key").alias("value"))
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -141,13 +142,12 @@ def describe() -> Column:
     )
 
 
-def with_physical_names(catalog: DataFrame) -> DataFrame:
-    """Add ``physical_name``: slugs de-duplicated in column order, one small array per sheet."""
+def physical_names(catalog: DataFrame) -> DataFrame:
+    """(sheet_id, col_idx, physical_name): slugs de-duplicated in column order, one small array per sheet."""
     ordered = catalog.groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("col_idx", "column_name"))).alias("_c"))
     names = distinct_names(F.transform("_c", lambda c: column_slug(c["column_name"])))
     positions = F.transform("_c", lambda c: c["col_idx"])
-    pairs = ordered.select("sheet_id", F.inline(F.arrays_zip(positions.alias("col_idx"), names.alias("physical_name"))))
-    return catalog.join(pairs, COLUMN)
+    return ordered.select("sheet_id", F.inline(F.arrays_zip(positions.alias("col_idx"), names.alias("physical_name"))))
 
 
 CATALOG_COLUMNS = (
@@ -168,11 +168,15 @@ CATALOG_COLUMNS = (
 
 
 def profile_columns(cells: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
-    """Long cells + column names + row counts -> the column catalog."""
-    typed = classify(column_stats(value_counts(cells)), columns, rows)
-    sampled = typed.join(first_values(cells, typed.filter("is_categorical")), COLUMN, "left")
-    described = sampled.withColumn("description", describe())
-    return with_physical_names(described).select(*CATALOG_COLUMNS)
+    """Long cells + column names + row counts -> the column catalog.
+
+    The statistics, one row per column, are written once: naming and sampling both start from them. Sampling reads the
+    cells again, but only those of columns known to hold few values.
+    """
+    typed = settle(classify(column_stats(value_counts(cells)), columns, rows))
+    sample = first_values(cells, typed.filter("is_categorical"))
+    known = typed.join(sample, COLUMN, "left").join(physical_names(typed), COLUMN)
+    return known.withColumn("description", describe()).select(*CATALOG_COLUMNS)
 
 
 def profile_sheets(columns: DataFrame, body: DataFrame, cells: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citewise.functions.values import canonical_text
 from citewise.plans.scans import number_rows
-from citewise.plans.sizing import join_small
+from citewise.plans.sizing import join_small, spread
 
 HEADER_SCAN_ROWS = 15
 LOOK_AHEAD_ROWS = 3
@@ -78,7 +78,7 @@ def normalize_sheets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def long_cells(body: DataFrame) -> DataFrame:
     """Body rows -> (sheet_id, row_idx, col_idx, value, value_type), nulls left out."""
-    cells = body.select(
+    cells = spread(body).select(
         "sheet_id", "row_idx", F.posexplode(F.arrays_zip(F.col("cells").alias("v"), F.col("cell_types").alias("t")))
     )
     return cells.select(

@@ -376,7 +376,7 @@ def j2(spark, folder):
         F.col("p_partkey").alias("question_id"),
         F.concat(F.lit("total "), topic, F.lit(" "), "p_name", F.lit(" "), F.lower("p_type")).alias("question"),
     )
-    found = discover_sheets(questions, table_catalog(spark, folder), sheet_list(spark, folder))
+    found = discover_sheets(questions, settle(table_catalog(spark, folder)), settle(sheet_list(spark, folder)))
     return found.select("question_id", "sheet_id", "score", long("rank").alias("rank"))
 
 
