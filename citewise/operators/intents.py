@@ -21,28 +21,41 @@ NO_FILTER = -1
 AVERAGE_TYPE = "decimal(38,14)"
 
 
-def question_intents(questions: DataFrame, scope: DataFrame, catalog: DataFrame, sheets: DataFrame) -> DataFrame:
+def scopes(sheets: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    """(key, sheet_id, table_name, columns) per session or question.
+
+    The first sheet of a scope is the one queried; ``columns`` holds the distinct column names over all its sheets in
+    order. ``sheets`` has key, sheet_id, sheet_order and table_name.
+    """
+    listed = sheets.select(key, "sheet_id", "sheet_order", "table_name")
+    first = listed.groupBy(key).agg(F.min(F.struct("sheet_order", "sheet_id", "table_name")).alias("_first"))
+    named = listed.join(catalog.select("sheet_id", "col_idx", "physical_name"), "sheet_id")
+    seen = named.groupBy(key, "physical_name").agg(F.min(F.struct("sheet_order", "sheet_id", "col_idx")).alias("at"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "physical_name")))
+    columns = seen.groupBy(key).agg(F.transform(ordered, lambda c: c["physical_name"]).alias("columns"))
+    joined = first.join(columns, key)
+    return joined.select(key, "_first.sheet_id", "_first.table_name", "columns")
+
+
+def question_intents(questions: DataFrame, sheets: DataFrame, catalog: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(question_id, question, sheet_id, table_name, wanted, sql).
 
-    ``scope(question_id, sheet_id)`` lists the sheets a question may use; its first sheet is queried, while column
-    names are looked for across all of them, in order.
+    A question (question_id, question, session_id) asks the sheets discovered for it in ``found(question_id,
+    sheet_id)``, or all sheets of its session when there are none.
     """
-    names = F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "physical_name"))), lambda c: c["physical_name"])
-    columns = catalog.groupBy("sheet_id").agg(names.alias("_columns"))
-    listed = scope.join(sheets.select("sheet_id", "sheet_order", "table_name"), "sheet_id").join(columns, "sheet_id")
-    entry = F.array_sort(F.collect_list(F.struct("sheet_order", "sheet_id", "table_name", "_columns")))
-    gathered = listed.groupBy("question_id").agg(entry.alias("_sheets"))
-    known = questions.select("question_id", "question").join(gathered, "question_id", "left")
-    all_columns = F.flatten(F.transform("_sheets", lambda s: s["_columns"]))
-    wanted = F.when(F.col("_sheets").isNotNull(), intent(F.col("question"), all_columns)).cast(INTENT_TYPE)
-    first = F.get("_sheets", F.lit(0))
-    return known.select(
-        "question_id",
-        "question",
-        first["sheet_id"].alias("sheet_id"),
-        first["table_name"].alias("table_name"),
-        wanted.alias("wanted"),
-    ).withColumn("sql", intent_sql(F.col("wanted"), F.col("table_name")))
+    joined = join_small(
+        questions.select("question_id", "question", "session_id"), scopes(sheets, catalog, "session_id"), ["session_id"], "left"
+    )
+    if found is not None:
+        own = scopes(found.join(sheets.select("sheet_id", "sheet_order", "table_name"), "sheet_id"), catalog, "question_id")
+        names = ("sheet_id", "table_name", "columns")
+        joined = joined.join(own.select("question_id", F.struct(*names).alias("_own")), "question_id", "left")
+        for name in names:
+            joined = joined.withColumn(name, F.when(F.col("_own").isNotNull(), F.col("_own")[name]).otherwise(F.col(name)))
+    wanted = F.when(F.col("columns").isNotNull(), intent(F.col("question"), F.col("columns"))).cast(INTENT_TYPE)
+    return joined.select("question_id", "question", "sheet_id", "table_name", wanted.alias("wanted")).withColumn(
+        "sql", intent_sql(F.col("wanted"), F.col("table_name"))
+    )
 
 
 def resolve_intents(intents: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citewise.functions.names import TABLE_PREFIX
 from citewise.functions.text import strip
+from citewise.plans.scans import number_rows
 from citewise.plans.sizing import join_small
 from citewise.sources.files import DOCUMENT_TYPES
 
@@ -63,10 +64,9 @@ def session_rollup(sessions: DataFrame, files: DataFrame, sheets: DataFrame, mes
 
 
 def catalog_with_columns(sheets: DataFrame, columns: DataFrame, workbooks: DataFrame) -> DataFrame:
-    """Sheets with their workbook's file name and an ordered array of their columns."""
-    entry = F.struct("col_idx", "column_name", "physical_name", "data_type")
-    listed = columns.groupBy("sheet_id").agg(F.array_sort(F.collect_list(entry)).alias("columns"))
-    return sheets.join(workbooks.select("workbook_id", "filename"), "workbook_id", "left").join(listed, "sheet_id", "left")
+    """Sheets with their workbook's file name, one row per column (or one row without, for a sheet that has none)."""
+    named = join_small(sheets, workbooks.select("workbook_id", "filename"), ["workbook_id"], "left")
+    return named.join(columns.select("sheet_id", "col_idx", "column_name", "physical_name", "data_type"), "sheet_id", "left")
 
 
 def owned_tables(sheets: DataFrame, sessions: DataFrame, user_prefix: str) -> DataFrame:
@@ -155,6 +155,7 @@ def get_or_create_users(users: DataFrame, wanted: Column | str, requests: DataFr
 
 
 def newest_per_user(sessions: DataFrame) -> DataFrame:
-    """All users' sessions with ``position`` 1 for the newest."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "session_id")
-    return sessions.withColumn("position", F.row_number().over(order))
+    """All users' sessions with ``position`` 1 for the newest; a user's sessions are ranked day by day."""
+    day = -F.date_diff(F.to_date("created_at"), F.lit("1970-01-01").cast("date"))
+    ranked = number_rows(sessions, ["user_id"], [F.desc("created_at"), F.col("session_id")], "position", block=day)
+    return ranked.withColumn("position", F.col("position") + 1)

@@ -20,12 +20,12 @@ def rank_and_filter(
 ) -> DataFrame:
     """Best first (ties by ``index``); the absolute floor applies before the margin below the best survivor.
 
-    The filters come after the ranking, which they cannot change: what they drop ranks last. So a costly score is not
-    evaluated a second time in a filter pushed below it.
+    The filters come after the cut to ``top_n``, which they cannot change: what they drop ranks last. So every task
+    forwards at most ``top_n`` rows per question, and a costly score is not evaluated again in a filter pushed below.
     """
     order = Window.partitionBy("question_id").orderBy(F.desc_nulls_last(score), index)
-    ranked = scored.withColumn("final_rank", F.row_number().over(order))
-    keep = (F.col("final_rank") <= top_n) & F.col(score).isNotNull()
+    ranked = scored.withColumn("final_rank", F.row_number().over(order)).filter(F.col("final_rank") <= top_n)
+    keep = F.col(score).isNotNull()
     if min_score is not None:
         keep = keep & (F.col(score) >= F.lit(min_score))
     if score_margin is not None:
@@ -54,7 +54,7 @@ def gather_by_order(candidates: DataFrame, verdicts: DataFrame, top_n: int = KEP
     """
     indexed = candidates.withColumn("idx", (F.col("rank") - 1).cast("int"))
     listed = indexed.groupBy("question_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    fallback = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1))
+    fallback = F.sequence(F.lit(0), F.least(F.col("_n"), F.lit(top_n)) - 1)
     orders = listed.join(verdicts, "question_id", "left").select(
         "question_id", F.posexplode(F.coalesce("verdict", fallback)).alias("_position", "idx")
     )

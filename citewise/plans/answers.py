@@ -12,7 +12,7 @@ from citewise.functions.labels import SOURCE_TYPE, query_source
 from citewise.functions.questions import HYBRID, SEMANTIC, STRUCTURED, extract_answer, guarded_route, keyword_route
 from citewise.operators.evidence import build_context, join_evidence, join_sources, merge_adjacent
 from citewise.operators.intents import question_intents, structured_answers
-from citewise.operators.lifecycle import session_flags, sheets_in_scope
+from citewise.operators.lifecycle import session_flags
 from citewise.operators.profile import sheet_summaries
 from citewise.operators.rerank import KEPT, rerank_by_overlap
 from citewise.operators.search import CANDIDATES, SHEETS_K, embed, search_chunks, top_k
@@ -74,8 +74,7 @@ def answer_questions(questions: DataFrame, data: Collections, classifier=None, g
 
     mixed = routed.filter(F.col("question_type") == HYBRID).select("question_id", "question", *SESSION)
     found = discover_sheets(mixed, data.catalog, data.sheets, tenant=SESSION).select("question_id", "sheet_id")
-    scope = sheets_in_scope(reads_tables, data.sheets, found)
-    intents = question_intents(reads_tables, scope.select("question_id", "sheet_id"), data.catalog, data.sheets)
+    intents = question_intents(reads_tables, data.sheets, data.catalog, found)
     results = structured_answers(intents, data.catalog, data.rows).filter(F.col("problem").isNull())
     cited = F.array(query_source(F.col("sql"), F.col("row_count"))).cast(f"array<{SOURCE_TYPE}>")
     tables = results.select("question_id", F.col("context").alias("_result"), cited.alias("_cited"))

@@ -49,10 +49,18 @@ def carry_forward(
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, width: int = DEFAULT_WIDTH
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    out: str,
+    width: int = DEFAULT_WIDTH,
+    block: Column | None = None,
 ) -> DataFrame:
-    """Add ``out``: 0-based position of each row inside its key, by ``order``."""
-    base = _blocked(df, order, width)
+    """Add ``out``: 0-based position of each row inside its key, by ``order``.
+
+    ``block`` replaces the default cut of an integer first order column; it has to grow along the order.
+    """
+    base = df.withColumn(BLOCK, block) if block is not None else _blocked(df, order, width)
     here = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     local = base.withColumn("_local", F.row_number().over(here).cast("bigint") - 1)
     counts = base.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))

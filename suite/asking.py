@@ -378,9 +378,8 @@ answers AS (
 def c10(spark, folder):
     """A question per part, evaluated together over the part sheet."""
     listed, catalog, rows = part_sheets(spark, folder, F.lit("parts"), F.lit("s"))
-    asked = part_questions(spark, folder)
-    scope = asked.select("question_id", F.lit("parts").alias("sheet_id"))
-    found = intents.question_intents(asked, scope, catalog, listed)
+    asked = part_questions(spark, folder).withColumn("session_id", F.lit("s"))
+    found = intents.question_intents(asked, listed, catalog)
     return intents.structured_answers(found, catalog, rows).select("question_id", "sql", "value")
 
 

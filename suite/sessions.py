@@ -186,10 +186,9 @@ def j3(spark, folder):
 
 @query(
     "j4_catalog_load",
-    """SELECT p.p_partkey AS sheet_id, s.s_name AS filename, string_agg(l.k || ':' || l.q, ',' ORDER BY l.k) AS columns
+    """SELECT p.p_partkey AS sheet_id, s.s_name AS filename, l.k AS col_idx, l.q AS column_name
 FROM part p LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey % 150
-LEFT JOIN (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS k, min(l_returnflag) AS q FROM lineitem GROUP BY 1, 2) l ON l.l_partkey = p.p_partkey
-GROUP BY 1, 2""",
+LEFT JOIN (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS k, min(l_returnflag) AS q FROM lineitem GROUP BY 1, 2) l ON l.l_partkey = p.p_partkey""",
 )
 def j4(spark, folder):
     """Parts as sheets, order lines as their columns, suppliers as workbooks (some missing)."""
@@ -199,9 +198,7 @@ def j4(spark, folder):
     ).agg(F.min("l_returnflag").alias("column_name"))
     columns = lines.withColumn("physical_name", F.col("column_name")).withColumn("data_type", F.lit("TEXT"))
     workbooks = load(spark, folder, "supplier").select(F.col("s_suppkey").alias("workbook_id"), F.col("s_name").alias("filename"))
-    loaded = lc.catalog_with_columns(sheets, columns, workbooks)
-    shown = F.array_join(F.transform("columns", lambda c: F.concat(c["col_idx"].cast("string"), F.lit(":"), c["column_name"])), ",")
-    return loaded.select("sheet_id", "filename", shown.alias("columns"))
+    return lc.catalog_with_columns(sheets, columns, workbooks).select("sheet_id", "filename", "col_idx", "column_name")
 
 
 @query(
