@@ -14,7 +14,6 @@ from citewise.functions.questions import INTENT_TYPE, intent, intent_sql
 from citewise.functions.values import NUMERIC_TYPE, canonical_text, display_value
 from citewise.operators.results import single_value_text
 from citewise.plans.materialize import settle
-from citewise.plans.sizing import join_small
 
 NO_FILTER = -1
 # Fixed value: the scale averages are carried with.
@@ -43,9 +42,8 @@ def question_intents(questions: DataFrame, sheets: DataFrame, catalog: DataFrame
     A question (question_id, question, session_id) asks the sheets discovered for it in ``found(question_id,
     sheet_id)``, or all sheets of its session when there are none.
     """
-    joined = join_small(
-        questions.select("question_id", "question", "session_id"), scopes(sheets, catalog, "session_id"), ["session_id"], "left"
-    )
+    asked = questions.select("question_id", "question", "session_id")
+    joined = asked.join(scopes(sheets, catalog, "session_id"), "session_id", "left")
     if found is not None:
         own = scopes(found.join(sheets.select("sheet_id", "sheet_order", "table_name"), "sheet_id"), catalog, "question_id")
         names = ("sheet_id", "table_name", "columns")
@@ -72,8 +70,8 @@ def resolve_intents(intents: DataFrame, catalog: DataFrame) -> DataFrame:
         )
 
     named = bound.withColumn("target", F.col("wanted")["column"]).withColumn("condition", F.col("wanted")["filter_column"])
-    joined = join_small(named, column("target"), ["sheet_id", "target"], "left")
-    joined = join_small(joined, column("condition"), ["sheet_id", "condition"], "left")
+    joined = named.join(column("target"), ["sheet_id", "target"], "left")
+    joined = joined.join(column("condition"), ["sheet_id", "condition"], "left")
     literal = canonical_text(F.col("wanted")["filter_value"], F.col("condition_type"))
     filtered = F.col("condition").isNotNull()
     problem = (
@@ -97,11 +95,11 @@ def filtered_sums(rows: DataFrame, needed: DataFrame) -> DataFrame:
     keys = ["sheet_id", "filter_idx", "filter_text"]
     used = needed.groupBy("sheet_id").agg(F.collect_set("filter_idx").alias("_used"))
     targets = needed.groupBy(*keys).agg(F.collect_set("target_idx").alias("_targets"))
-    opened = join_small(rows.select("sheet_id", "values"), used, ["sheet_id"]).select(
+    opened = rows.select("sheet_id", "values").join(used, "sheet_id").select(
         "sheet_id", "values", F.explode("_used").alias("filter_idx")
     )
     value = F.when(F.col("filter_idx") == NO_FILTER, F.lit("")).otherwise(F.get("values", F.col("filter_idx")))
-    matched = join_small(opened.withColumn("filter_text", value), targets, keys)
+    matched = opened.withColumn("filter_text", value).join(targets, keys)
     cells = matched.select(
         *keys, F.explode(F.transform("_targets", lambda i: F.struct(i.alias("target_idx"), F.get("values", i).alias("v")))).alias("c")
     ).select(*keys, "c.target_idx", F.col("c.v").try_cast(NUMERIC_TYPE).alias("number"))
@@ -113,7 +111,7 @@ def filtered_sums(rows: DataFrame, needed: DataFrame) -> DataFrame:
 def distinct_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sheet_id, target_idx, distinct_values) for the wanted columns, exact."""
     columns = wanted.groupBy("sheet_id").agg(F.collect_set("target_idx").alias("_targets"))
-    cells = join_small(rows.select("sheet_id", "values"), columns, ["sheet_id"]).select(
+    cells = rows.select("sheet_id", "values").join(columns, "sheet_id").select(
         "sheet_id", F.explode(F.transform("_targets", lambda i: F.struct(i.alias("target_idx"), F.get("values", i).alias("v")))).alias("c")
     ).select("sheet_id", "c.target_idx", "c.v")
     seen = cells.filter(F.col("v").isNotNull()).distinct()

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from citewise.functions.names import TABLE_PREFIX
 from citewise.functions.text import strip
+from citewise.plans.materialize import settle
 from citewise.plans.scans import number_rows
-from citewise.plans.sizing import join_small
 from citewise.sources.files import DOCUMENT_TYPES
 
 SCROLL_LIMIT = 500
@@ -39,7 +39,7 @@ def ready_documents(files: DataFrame) -> DataFrame:
 
 def owned_requests(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """Requests whose session belongs to the asking user."""
-    return join_small(requests, sessions.select("user_id", "session_id"), ["user_id", "session_id"], "left_semi")
+    return requests.join(sessions.select("user_id", "session_id"), ["user_id", "session_id"], "left_semi")
 
 
 def sheets_in_scope(questions: DataFrame, sheets: DataFrame, discovered: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def session_rollup(sessions: DataFrame, files: DataFrame, sheets: DataFrame, mes
 
 def catalog_with_columns(sheets: DataFrame, columns: DataFrame, workbooks: DataFrame) -> DataFrame:
     """Sheets with their workbook's file name, one row per column (or one row without, for a sheet that has none)."""
-    named = join_small(sheets, workbooks.select("workbook_id", "filename"), ["workbook_id"], "left")
+    named = sheets.join(workbooks.select("workbook_id", "filename"), "workbook_id", "left")
     return named.join(columns.select("sheet_id", "col_idx", "column_name", "physical_name", "data_type"), "sheet_id", "left")
 
 
@@ -137,13 +137,13 @@ def sample_rows(table: DataFrame, limit: int = ROWS_SHOWN) -> DataFrame:
 
 def purge(tables: Mapping[str, DataFrame], deleted: DataFrame, key: Sequence[str] = ("session_id",)) -> dict[str, DataFrame]:
     """Every table without the rows of the deleted keys; keys that own nothing change nothing."""
-    gone = deleted.select(*key).distinct()
-    return {name: join_small(df, gone, list(key), "left_anti") for name, df in tables.items()}
+    gone = settle(deleted.select(*key).distinct())
+    return {name: df.join(gone, list(key), "left_anti") for name, df in tables.items()}
 
 
 def purge_sessions(tables: Mapping[str, DataFrame], sessions: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
     """Purge requests(user_id, session_id) from all tables; a request by anyone but the owner is ignored."""
-    owned = join_small(requests.select("user_id", "session_id"), sessions.select("user_id", "session_id"), ["user_id", "session_id"], "left_semi")
+    owned = owned_requests(requests.select("user_id", "session_id"), sessions)
     return purge({**tables, "sessions": sessions}, owned)
 
 

@@ -22,7 +22,6 @@ from citewise.functions.values import (
     to_integer,
 )
 from citewise.plans.materialize import settle
-from citewise.plans.sizing import join_small
 
 COLUMN = ["sheet_id", "col_idx"]
 DATE_RATE = 0.9
@@ -113,7 +112,7 @@ def classify(stats: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame
 
 def first_values(cells: DataFrame, columns: DataFrame, limit: int = SAMPLE_VALUES) -> DataFrame:
     """(sheet_id, col_idx, sample): the first ``limit`` distinct values in row order of the listed columns."""
-    mine = join_small(cells, columns.select(*COLUMN).distinct(), COLUMN, "left_semi")
+    mine = cells.join(columns.select(*COLUMN), COLUMN, "left_semi")
     seen = mine.groupBy(*COLUMN, "value").agg(F.min("row_idx").alias("row_idx"))
     order = Window.partitionBy(*COLUMN).orderBy("row_idx", "value")
     first = seen.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)

@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from citewise.functions.hashing import DEFAULT_DIM, hashed_vector
-from citewise.plans.sizing import join_small, spread
+from citewise.plans.materialize import settle
+from citewise.plans.sizing import spread
 
 CANDIDATES = 15
 DEFAULT_K = 6
@@ -141,7 +142,7 @@ def _place(spark, table: pa.Table, dim: int):
 
 def _cells(df: DataFrame, sizes: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
     """Deal rows into cells: one salted coordinate of their own, every coordinate of the other side."""
-    dealt = join_small(df, sizes, [TENANT])
+    dealt = df.join(sizes, TENANT)
     mine = F.pmod(F.xxhash64(row_id), F.col(own)).cast("int")
     return (
         dealt.withColumn(own + "_cell", mine)
@@ -154,7 +155,7 @@ def _grid(questions: DataFrame, points: DataFrame, carried, vector: str, dim: in
     cell_points, cell_questions = cells
     asked = questions.groupBy(TENANT).agg(F.ceil(F.count(F.lit(1)) / cell_questions).alias("question_side"))
     stored = points.groupBy(TENANT).agg(F.ceil(F.count(F.lit(1)) / cell_points).alias("point_side"))
-    sizes = asked.join(stored, TENANT)
+    sizes = settle(asked.join(stored, TENANT))
     left = _cells(questions, sizes, "question_id", "question_side", "point_side")
     right = _cells(points, sizes, carried[0], "point_side", "question_side")
 

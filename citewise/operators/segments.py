@@ -20,8 +20,9 @@ from citewise.functions.text import (
     split_lines,
     strip,
 )
+from citewise.plans.materialize import settle
 from citewise.plans.scans import BLOCK, carry_forward
-from citewise.plans.sizing import join_small, spread
+from citewise.plans.sizing import spread
 
 PAGE = ["doc_id", "page_no"]
 PAGES_PER_BLOCK = 256
@@ -91,9 +92,9 @@ def strip_running_lines(pages: DataFrame) -> DataFrame:
     keys = blocked.select(
         "doc_id", BLOCK, F.explode(F.array_distinct(F.transform(wanted, lambda x: collapse_digits(x["text"])))).alias("pattern")
     )
-    hits = join_small(keys.distinct(), running_patterns(pages), ["doc_id", "pattern"], "left_semi")
+    hits = keys.distinct().join(settle(running_patterns(pages)), ["doc_id", "pattern"], "left_semi")
     per_block = hits.groupBy("doc_id", BLOCK).agg(F.collect_list("pattern").alias("_patterns"))
-    joined = join_small(blocked, per_block, ["doc_id", BLOCK], "left")
+    joined = blocked.join(settle(per_block), ["doc_id", BLOCK], "left")
     kept = F.filter(
         "lines",
         lambda line: (line["kind"] != "text") | ~F.array_contains(F.col("_patterns"), collapse_digits(line["text"])),

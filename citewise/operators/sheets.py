@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewise.functions.values import canonical_text
+from citewise.plans.materialize import settle
 from citewise.plans.scans import number_rows
-from citewise.plans.sizing import join_small, spread
+from citewise.plans.sizing import spread
 
 HEADER_SCAN_ROWS = 15
 LOOK_AHEAD_ROWS = 3
@@ -59,7 +60,7 @@ def body_bounds(raw: DataFrame) -> DataFrame:
 def body_rows(raw: DataFrame, bounds: DataFrame) -> DataFrame:
     """Data rows: below the header, above trailing footnotes, not wholly empty."""
     limits = bounds.select("sheet_id", "header_row", "last_row")
-    joined = join_small(raw, limits, ["sheet_id"])
+    joined = raw.join(limits, "sheet_id")
     return joined.filter(
         (F.col("row_idx") > F.col("header_row")) & (F.col("row_idx") <= F.col("last_row")) & (filled("cells") > 0)
     ).select("sheet_id", "row_idx", "cells", "cell_types")
@@ -71,8 +72,8 @@ def sheet_columns(bounds: DataFrame) -> DataFrame:
 
 
 def normalize_sheets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(columns, body rows) of every sheet."""
-    bounds = body_bounds(raw)
+    """(columns, body rows) of every sheet; the bounds, one row per sheet, are written once for both."""
+    bounds = settle(body_bounds(raw))
     return sheet_columns(bounds), body_rows(raw, bounds)
 
 
@@ -103,7 +104,7 @@ def typed_rows(body: DataFrame, catalog: DataFrame) -> DataFrame:
     types = catalog.groupBy("sheet_id").agg(
         F.map_from_entries(F.collect_list(F.struct("col_idx", "data_type"))).alias("_types")
     )
-    joined = join_small(body, types, ["sheet_id"])
+    joined = body.join(types, "sheet_id")
     values = F.transform("cells", lambda c, i: canonical_text(c, F.try_element_at(F.col("_types"), i)))
     numbered = number_rows(joined.select("sheet_id", "row_idx", values.alias("values")), ["sheet_id"], ["row_idx"], "_row_id")
     return numbered.select("sheet_id", "_row_id", "values")

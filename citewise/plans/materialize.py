@@ -1,6 +1,8 @@
-"""Write an intermediate once when several branches of a plan read it.
+"""Write an intermediate once when several branches of a plan read it, or when a join should know its true size.
 
-The copy is an ordinary Parquet table in the shared checkpoint folder, so losing an executor costs a re-read and never
+Spark estimates an aggregate at the size of its input and would not broadcast it; once written, the file size counts:
+under the broadcast threshold the side is broadcast, above it the join is shuffled and adaptive execution splits hot
+keys. Nothing is computed twice to find out. The copy is an ordinary Parquet table in the shared checkpoint folder, so losing an executor costs a re-read and never
 a wrong or missing row.
 """
 

@@ -1,50 +1,8 @@
-"""Size checks before a side is broadcast, and spreading of under-partitioned inputs."""
+"""Spreading of inputs that come from few splits."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-MAX_BROADCAST_ROWS = 500_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of a plan (an upper bound for filters and aggregates)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def auto_broadcast_bytes(df: DataFrame) -> int:
-    return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-
-
-def measured_within(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
-    """True when at most ``max_rows`` rows and ``max_bytes`` of values come out; reads no more than that."""
-    probe = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("size")
-    )
-    row = probe.first()
-    return row["n"] <= max_rows and (row["size"] or 0) <= max_bytes
-
-
-def join_small(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS,
-    max_bytes: int = MAX_BROADCAST_BYTES,
-) -> DataFrame:
-    """Join against a side that is usually small.
-
-    Under Spark's own threshold nothing needs doing. Above it the side is measured: broadcast when it is within the
-    bounds, else a shuffled join whose hot keys adaptive execution splits.
-    """
-    if planned_bytes(small) <= auto_broadcast_bytes(small) or not measured_within(small, max_rows, max_bytes):
-        return big.join(small, list(on), how)
-    return big.join(F.broadcast(small), list(on), how)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from citewise.sources import files as fl
 from citewise.sources import tables as tb
 from citewise.streaming.ingest import ingest_stream
 from suite.common import TABLES, Registry, load, long
+from suite.documents import corpus_chunks
 
 query = Registry()
 Q, SQL = query.queries, query.sql
@@ -287,11 +288,18 @@ def a7(spark, folder):
     return lc.table_counts({("xlsx_" if t in ("part", "orders") else "") + t: load(spark, folder, t) for t in TABLES})
 
 
-@query("s12_catalog_listing")
+@query(
+    "s12_catalog_listing",
+    "SELECT CASE WHEN table_name IN ('part', 'orders') THEN 'xlsx_' || table_name ELSE table_name END AS table_name, "
+    "CASE WHEN table_name IN ('part', 'orders') THEN 'sheet' ELSE 'app' END AS table_group, column_name "
+    f"FROM information_schema.columns WHERE table_name IN {TABLES}",
+)
 def s12(spark, folder):
+    """Tables and columns of the session catalog."""
     for name in TABLES:
         load(spark, folder, name).createOrReplaceTempView(("xlsx_" if name in ("part", "orders") else "") + name)
-    return lc.table_listing(spark)
+    names = ["xlsx_" + n if n in ("part", "orders") else n for n in TABLES]
+    return lc.table_listing(spark).filter(F.col("table_name").isin(names)).select("table_name", "table_group", "column_name")
 
 
 @query(
@@ -368,13 +376,17 @@ def s9(spark, folder):
     )
 
 
-@query("s11_stream_ingest")
+@query("s11_stream_ingest", "SELECT doc_id, TRUE AS has_chunks, 0::BIGINT AS difference FROM documents")
 def s11(spark, folder):
-    """The whole corpus ingested as a stream, then chunks counted per document."""
+    """The whole corpus ingested as a stream; chunks per document against those of the batch."""
     schema = load(spark, folder, "documents").schema
     target, state, inbox = (shared_path(spark, n) for n in ("stream-points", "stream-state", "stream-inbox"))
     load(spark, folder, "documents").repartition(4, "doc_id").write.parquet(inbox)
     ingest_stream(spark, inbox, schema, target, state, lambda df: df.select("doc_id", "text", "source"))
-    return spark.read.parquet(target).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    streamed = spark.read.parquet(target).groupBy("doc_id").agg(F.count_distinct("chunk_id").alias("streamed"), F.count(F.lit(1)).alias("n"))
+    batch = corpus_chunks(spark, folder).groupBy("doc_id").agg(F.count(F.lit(1)).alias("batch"))
+    return batch.join(streamed, "doc_id", "left").select(
+        "doc_id", (F.col("n") > 0).alias("has_chunks"), (F.abs(F.col("streamed") - F.col("batch")) + F.abs(F.col("n") - F.col("batch"))).alias("difference")
+    )
 
 
