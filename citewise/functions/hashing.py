@@ -15,18 +15,13 @@ DEFAULT_DIM = 384
 SPARSE_TYPE = "array<struct<bucket:int,weight:double>>"
 
 
-def _signed_key(token: Column, dim: int) -> Column:
-    """bucket * 2, plus 1 when the token counts negatively.
+def signed_keys(token_list: Column, dim: int) -> Column:
+    """bucket * 2, plus 1 when the token counts negatively, for every token.
 
-    The first four bytes of the token's md5 give the bucket, the parity of the fifth its sign.
+    The first four bytes of a token's md5 give the bucket, the parity of the fifth its sign.
     """
-
-
-    def split_number(number: Column) -> Column:
-        return (F.shiftright(number, 8) % dim * 2 + number % 2).cast("int")
-
-    digits = F.substring(F.md5(token.cast("binary")), 1, 10)
-    return let(F.conv(digits, 16, 10).cast("long"), split_number)
+    numbers = F.transform(token_list, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 10), 16, 10).cast("long"))
+    return F.transform(numbers, lambda n: (F.shiftright(n, 8) % dim * 2 + n % 2).cast("int"))
 
 
 def signed_counts(col: Column, dim: int = DEFAULT_DIM) -> Column:
@@ -53,7 +48,7 @@ def signed_counts(col: Column, dim: int = DEFAULT_DIM) -> Column:
 
         return let(ends, run)
 
-    keys = F.sort_array(F.transform(tokens(col), lambda t: _signed_key(t, dim)))
+    keys = F.sort_array(signed_keys(tokens(col), dim))
     return let(
         keys, lambda k: F.when(F.size(k) > 0, count_runs(k)).otherwise(F.array().cast("array<struct<bucket:int,count:int>>"))
     )

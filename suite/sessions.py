@@ -315,10 +315,10 @@ def t2(spark, folder):
     return lc.newest_per_user(sessions).select("user_id", "session_id", long("position").alias("position"))
 
 
-@query("t3_chronological", "SELECT event_id, ts AS created_at FROM events WHERE user_id = 3 ORDER BY ts")
+@query("t3_chronological", "SELECT event_id, user_id AS session_id, ts AS created_at FROM events ORDER BY ts")
 def t3(spark, folder):
     rows = load(spark, folder, "events").select("event_id", F.col("ts").alias("created_at"), F.col("user_id").alias("session_id"))
-    return lc.chronological(rows, 3).select("event_id", "created_at")
+    return lc.chronological(rows).select("event_id", "session_id", "created_at")
 
 
 @query("t6_sample_rows", "SELECT least(count(*), 20)::BIGINT AS n FROM lineitem")
