@@ -47,8 +47,8 @@ def page_rows(lines: DataFrame) -> DataFrame:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """Page rows -> lines table."""
-    return pages.select(*PAGE, F.inline("lines"))
+    """Page rows -> lines table. (The outer form keeps the lines from being built again to test their number.)"""
+    return pages.select(*PAGE, F.inline_outer("lines")).filter(F.col("line_no").isNotNull())
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -90,8 +90,8 @@ def strip_running_lines(pages: DataFrame) -> DataFrame:
     blocked = _blocked_pages(pages)
     wanted = F.filter("lines", lambda line: (line["kind"] == "text") & ~is_blank(line["text"]))
     keys = blocked.select(
-        "doc_id", BLOCK, F.explode(F.array_distinct(F.transform(wanted, lambda x: collapse_digits(x["text"])))).alias("pattern")
-    )
+        "doc_id", BLOCK, F.explode_outer(F.array_distinct(F.transform(wanted, lambda x: collapse_digits(x["text"])))).alias("pattern")
+    ).filter(F.col("pattern").isNotNull())
     hits = keys.distinct().join(settle(running_patterns(pages)), ["doc_id", "pattern"], "left_semi")
     per_block = hits.groupBy("doc_id", BLOCK).agg(F.collect_list("pattern").alias("_patterns"))
     joined = blocked.join(settle(per_block), ["doc_id", BLOCK], "left")
@@ -122,7 +122,7 @@ def with_sections(pages: DataFrame) -> DataFrame:
     )
     before = Window.partitionBy("doc_id").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.select("doc_id", BLOCK, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
-    lines = pages.select(*PAGE, BLOCK, F.inline("lines"))
+    lines = pages.select(*PAGE, BLOCK, F.inline_outer("lines")).filter(F.col("line_no").isNotNull())
     here = Window.partitionBy("doc_id", BLOCK).orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     own = F.last(F.when(F.col("heading"), strip(F.col("text"))), ignorenulls=True).over(here)
     joined = lines.withColumn("_own", own).join(carry, ["doc_id", BLOCK], "left")

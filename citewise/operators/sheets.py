@@ -80,7 +80,7 @@ def normalize_sheets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def long_cells(body: DataFrame) -> DataFrame:
     """Body rows -> (sheet_id, row_idx, col_idx, value, value_type), nulls left out."""
     cells = spread(body).select(
-        "sheet_id", "row_idx", F.posexplode(F.arrays_zip(F.col("cells").alias("v"), F.col("cell_types").alias("t")))
+        "sheet_id", "row_idx", F.posexplode_outer(F.arrays_zip(F.col("cells").alias("v"), F.col("cell_types").alias("t")))
     )
     return cells.select(
         "sheet_id", "row_idx", F.col("pos").alias("col_idx"), F.col("col")["v"].alias("value"), F.col("col")["t"].alias("value_type")

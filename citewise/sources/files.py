@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citewise.functions.text import is_blank
+from citewise.plans.materialize import settle
 
 # Accepted file types.
 DOCUMENT_TYPES = ("pdf", "docx", "pptx", "txt")
@@ -58,7 +59,7 @@ def read_csv_grids(spark: SparkSession, path: str, max_columns: int = 256, multi
     """CSV files as raw rows, no header assumed: (sheet_id, sheet_name, row_idx, cells, cell_types).
 
     Rows are numbered from their position inside the file split plus the rows of earlier splits of the same file, so
-    one large file is neither sorted nor gathered. ``max_columns`` is the widest row accepted.
+    one large file is neither sorted nor gathered; the splits, one row each, are written so that they can be broadcast. ``max_columns`` is the widest row accepted.
     """
     schema = ",".join(f"_c{i} string" for i in range(max_columns))
     reader = spark.read.schema(schema).option("header", False)
@@ -82,7 +83,7 @@ def read_csv_grids(spark: SparkSession, path: str, max_columns: int = 256, multi
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.max("_width").over(whole).alias("_width"),
     )
-    joined = rows.join(placed, ["sheet_id", "_split"])
+    joined = rows.join(settle(placed), ["sheet_id", "_split"])
     cells = F.slice("_cells", F.lit(1), F.col("_width"))
     return joined.select(
         "sheet_id",

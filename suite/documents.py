@@ -56,7 +56,7 @@ def _hash_sql() -> str:
 @query("f2_hash_embedding", _hash_sql())
 def f2(spark, folder):
     docs = spread(load(spark, folder, "documents").select("doc_id", "text"))
-    entries = docs.select("doc_id", F.inline(hashed_vector(F.col("text"))))
+    entries = docs.select("doc_id", F.inline_outer(hashed_vector(F.col("text")))).filter(F.col("bucket").isNotNull())
     return entries.select("doc_id", long("bucket").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 

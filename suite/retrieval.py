@@ -82,8 +82,8 @@ GROUP BY 1""",
 def f3(spark, folder):
     """Cosine of a document with itself through the sparse form, for every labelled document."""
     vectors = spread(load(spark, folder, "documents").select("doc_id", "text")).select(
-        "doc_id", F.inline(hashed_vector(F.col("text")))
-    )
+        "doc_id", F.inline_outer(hashed_vector(F.col("text")))
+    ).filter(F.col("bucket").isNotNull())
     left = load(spark, folder, "labels").select("doc_id").join(vectors, "doc_id", "left")
     right = vectors.withColumnRenamed("weight", "other")
     pairs = left.join(right, ["doc_id", "bucket"], "left")
