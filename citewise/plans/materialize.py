@@ -2,24 +2,32 @@
 
 Spark estimates an aggregate at the size of its input and would not broadcast it; once written, the file size counts:
 under the broadcast threshold the side is broadcast, above it the join is shuffled and adaptive execution splits hot
-keys. Nothing is computed twice to find out. The copy is an ordinary Parquet table in the shared checkpoint folder, so losing an executor costs a re-read and never
-a wrong or missing row.
+keys. The copy is an ordinary Parquet table in the folder all executors share, so a lost executor costs a re-read.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is set only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the whole session is one local process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="citewise-")
-        spark.sparkContext.setCheckpointDir(folder)
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="citewise-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(local)
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
@@ -29,7 +37,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of a finished write are of no more use: the written table is what later steps read."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    path = shared_path(df.sparkSession, "citewise")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows, written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = shared_path(spark, "citewise")
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
