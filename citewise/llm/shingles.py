@@ -74,8 +74,8 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
             own = np.sort(joined[a : b - WIDTH + 1])
             found.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif b > a:
-            whole = (words[a:b] * PLACES[: b - a]).sum(dtype=np.uint64) + SHORT * np.uint64(b - a)
-            found.append(mixed(np.array([whole], np.uint64)))
+            terms = np.append(words[a:b] * PLACES[: b - a], SHORT)  # the last term keeps short texts apart from shingles
+            found.append(mixed(np.add.reduce(terms, keepdims=True)))
         else:
             found.append(np.zeros(0, np.uint64))
     return found
