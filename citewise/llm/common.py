@@ -22,13 +22,16 @@ def unit_hash(*columns: Column | str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply a function of one Arrow batch where the rows lie."""
+def map_batches(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str | None = None, max_bytes: int = 1 << 20
+) -> DataFrame:
+    """Apply a function of one Arrow batch where the rows lie; with ``text``, of parts with about max_bytes of that column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for part in slices(batch, text, max_bytes) if text else (batch,):
+                if part.num_rows and (out := fn(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewise.llm.common import map_batches, slices, unit_hash
+from citewise.llm.common import map_batches, unit_hash
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 48  # expected texts that a language's sample takes a piece from
@@ -180,14 +180,9 @@ def identify_language(docs: DataFrame, labelled: DataFrame, texts: int = SAMPLE_
     kept = docs.drop("lang_pred", "score")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
-    def label(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = parser(sample)
-        langs, scores = [], []
-        for part in slices(batch, "text", SLICE_BYTES):
-            found = predict(part.column("text").to_pylist(), model)
-            langs += found[0]
-            scores += found[1]
-        names = [*batch.schema.names, "lang_pred", "score"]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
-
-    return map_batches(kept, label, f"{types}, lang_pred string, score double")
+    def label(part: pa.RecordBatch) -> pa.RecordBatch:
+        langs, scores = predict(part.column("text").to_pylist(), parser(sample))
+        names = [*part.schema.names, "lang_pred", "score"]
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+
+    return map_batches(kept, label, f"{types}, lang_pred string, score double", "text", SLICE_BYTES)

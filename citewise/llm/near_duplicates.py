@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewise.llm.common import map_batches, slices
+from citewise.llm.common import map_batches
 from citewise.llm.components import components
 from citewise.llm.shingles import mixed, shingle_sets
 from citewise.plans.materialize import settle
@@ -17,7 +17,6 @@ ROWS = 4  # registers of a band
 MANTISSA = 10
 MARGIN = 0.2  # over four standard errors of the estimate below the threshold
 STAR_ROUNDS = 3
-SLICE_BYTES = 4 << 20
 PERCENT = 85
 
 
@@ -71,19 +70,16 @@ def _signed(values: np.ndarray) -> pa.Array:
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, regs): size, 128-bit digest and registers of every document's shingle set."""
 
-    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, first, second, regs = [], [], [], []
-        for part in slices(batch, "text", SLICE_BYTES):
-            sets = shingle_sets(part.column("text"))
-            sizes += [len(s) for s in sets]
-            first += [mixed(s).sum(dtype=np.uint64) for s in sets]
-            second += [mixed(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) for s in sets]
-            regs += [r.tobytes() for r in registers(sets)]
-        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), _signed(np.array(first, np.uint64)), _signed(np.array(second, np.uint64)), pa.array(regs, pa.binary())]
+    def sign(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(part.column("text"))
+        first = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+        second = np.array([mixed(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) for s in sets], np.uint64)
+        regs = pa.array([r.tobytes() for r in registers(sets)], pa.binary())
+        columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(first), _signed(second), regs]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "regs"])
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_batches(source, sign, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, regs binary")
+    return map_batches(source, sign, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, regs binary", "text")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -98,12 +94,12 @@ def _bands(classes: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, shingles): the whole shingle sets of the wanted documents."""
 
-    def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s.tobytes() for part in slices(batch, "text", SLICE_BYTES) for s in shingle_sets(part.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "shingles"])
+    def gather(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())
+        return pa.RecordBatch.from_arrays([part.column("rep"), sets], ["rep", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    return map_batches(texts, gather, "rep bigint, shingles binary")
+    return map_batches(texts, gather, "rep bigint, shingles binary", "text")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

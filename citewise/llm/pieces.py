@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from citewise.llm.common import map_batches, slices
+from citewise.llm.common import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -24,7 +24,8 @@ WORD = re.compile(r" *[^ ]+| +")
 NONE = np.int64(1) << 62
 CELLS = 1 << 20  # lattice cells held at once
 CACHED = 400_000  # words a worker remembers
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+DECODED_ROWS = 256
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,7 +189,7 @@ def _extended(docs: DataFrame, drop: str, added: str, out_type: str, fn) -> Data
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, fn(batch)], [*batch.schema.names, added])
 
-    return map_batches(kept, run, f"{types}, `{added}` {out_type}")
+    return map_batches(kept, run, f"{types}, `{added}` {out_type}", "text" if added == "pieces" else None, SLICE_BYTES)
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -199,8 +200,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
 
     def encoded(batch: pa.RecordBatch) -> pa.Array:
-        table = piece_table(model)
-        found = [ids for part in slices(batch, "text", SLICE_BYTES) for ids in table.encode(part.column("text").to_pylist())]
+        found = piece_table(model).encode(batch.column("text").to_pylist())
         sizes = np.array([len(x) // 4 if x else 0 for x in found], np.int64)
         flat = np.frombuffer(b"".join(x for x in found if x), np.int32)
         mask = pa.array([x is None for x in found], pa.bool_())
@@ -217,10 +217,12 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """
 
     def decoded(batch: pa.RecordBatch) -> pa.Array:
-        column = batch.column("pieces")
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
-        flat = np.asarray(pc.fill_null(column.flatten(), -1), np.int64)
-        texts = piece_table(model).decode(flat, np.cumsum(sizes))
-        return pa.array([None if null else t for t, null in zip(texts, column.is_null().to_pylist())], pa.string())
+        texts: list[str] = []
+        for at in range(0, batch.num_rows, DECODED_ROWS):
+            column = batch.column("pieces").slice(at, DECODED_ROWS)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+            flat = np.asarray(pc.fill_null(column.flatten(), -1), np.int64)
+            texts += piece_table(model).decode(flat, np.cumsum(sizes))
+        return pa.array([None if null else t for t, null in zip(texts, batch.column("pieces").is_null().to_pylist())], pa.string())
 
     return _extended(encoded, "decoded", "decoded", "string", decoded)

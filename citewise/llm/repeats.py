@@ -16,14 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewise.llm.common import map_batches, slices, text_bytes
+from citewise.llm.common import map_batches, text_bytes
 from citewise.llm.shingles import mixed, powers, prefix_sums
 from citewise.plans.materialize import settle
 
 LENGTH = 50
 GRAM = 16
 SPLIT = 4096  # contexts of an anchor that one task orders; more are grouped string by string
-SLICE_BYTES = 4 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -130,28 +129,26 @@ def _all_anchors(texts: DataFrame) -> DataFrame:
     anchor's key for the other parts to see, all others get a key of their own, so no anchor gathers in one task.
     """
 
-    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for part in slices(batch, "text", SLICE_BYTES):
-            ids, labels = np.asarray(part.column("doc_id"), np.int64), np.asarray(part.column("label"), np.int64)
-            raw, starts, ends = text_bytes(part.column("text"))
-            h, doc, place, _, _ = anchors(raw, starts, ends)
-            label = labels[doc]
-            order = np.argsort(h, kind="stable")
-            first = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
-            group = np.cumsum(first) - 1
-            edge = np.flatnonzero(first)
-            varied = np.minimum.reduceat(label[order], edge) < np.maximum.reduceat(label[order], edge) if len(h) else np.zeros(0, bool)
-            known, lead = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            known[order], lead[order] = varied[group], first
-            own = mixed(h + mixed(labels[doc].view(np.uint64) + place.astype(np.uint64)))
-            key = np.where(known & ~lead, own, h)
-            for column, values in zip(out, (key.view(np.int64), h.view(np.int64), ids[doc], label, (place - starts[doc]).astype(np.int32), known)):
-                column.append(values)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["k", "h", "doc_id", "label", "place", "known"])
+    def find(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, labels = np.asarray(part.column("doc_id"), np.int64), np.asarray(part.column("label"), np.int64)
+        raw, starts, ends = text_bytes(part.column("text"))
+        h, doc, place, _, _ = anchors(raw, starts, ends)
+        if not len(h):
+            return None
+        label = labels[doc]
+        order = np.argsort(h, kind="stable")
+        first = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        edge = np.flatnonzero(first)
+        varied = np.minimum.reduceat(label[order], edge) < np.maximum.reduceat(label[order], edge)
+        known, lead = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        known[order], lead[order] = varied[np.cumsum(first) - 1], first
+        own = mixed(h + mixed(label.view(np.uint64) + place.astype(np.uint64)))
+        key = np.where(known & ~lead, own, h)
+        columns = (key.view(np.int64), h.view(np.int64), ids[doc], label, (place - starts[doc]).astype(np.int32), known)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "h", "doc_id", "label", "place", "known"])
 
     source = texts.select("doc_id", "text", F.xxhash64("sha").alias("label"))
-    return map_batches(source, find, "k bigint, h bigint, doc_id bigint, label bigint, place int, known boolean")
+    return map_batches(source, find, "k bigint, h bigint, doc_id bigint, label bigint, place int, known boolean", "text")
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -165,29 +162,24 @@ def contexts(docs: DataFrame) -> DataFrame:
     places = seen.filter("varied").groupBy("doc_id", "label").agg(F.collect_list("place").alias("places"))
     places = settle(places.join(first.select("doc_id", F.xxhash64("sha").alias("label")), ["doc_id", "label"], "left_semi"))
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(6)]
-        for part in slices(batch, "text", SLICE_BYTES):
-            raw, starts, ends = text_bytes(part.column("text"))
-            h, doc, place, begin, stop = anchors(raw, starts, ends)
-            flat = part.column("places")
-            sizes = np.asarray(pc.list_value_length(flat), np.int64)
-            wanted = np.asarray(flat.flatten(), np.int64) + np.repeat(starts, sizes)
-            keep = np.isin(place, wanted)
-            h, doc, place, begin, stop = (x[keep] for x in (h, doc, place, begin, stop))
-            whole = raw.tobytes()
-            out[0].append(h.view(np.int64))
-            out[1] += [whole[a:b] for a, b in zip(begin.tolist(), stop.tolist())]
-            out[2].append((place - begin).astype(np.int32))
-            out[3].append(np.asarray(part.column("doc_id"), np.int64)[doc])
-            out[4].append(np.asarray(part.column("label"), np.int64)[doc])
-            out[5].append((begin - starts[doc]).astype(np.int32))
-        arrays = [pa.array(c, pa.binary()) if i == 1 else pa.array(np.concatenate(c)) for i, c in enumerate(out)]
-        return pa.RecordBatch.from_arrays(arrays, ["h", "ctx", "at", "doc_id", "label", "start"])
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        raw, starts, ends = text_bytes(part.column("text"))
+        h, doc, place, begin, stop = anchors(raw, starts, ends)
+        flat = part.column("places")
+        wanted = np.asarray(flat.flatten(), np.int64) + np.repeat(starts, np.asarray(pc.list_value_length(flat), np.int64))
+        keep = np.isin(place, wanted)
+        h, doc, place, begin, stop = (x[keep] for x in (h, doc, place, begin, stop))
+        whole = raw.tobytes()
+        columns = [
+            pa.array(h.view(np.int64)), pa.array([whole[a:b] for a, b in zip(begin.tolist(), stop.tolist())], pa.binary()),
+            pa.array((place - begin).astype(np.int32)), pa.array(np.asarray(part.column("doc_id"), np.int64)[doc]),
+            pa.array(np.asarray(part.column("label"), np.int64)[doc]), pa.array((begin - starts[doc]).astype(np.int32)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["h", "ctx", "at", "doc_id", "label", "start"])
 
     read = texts.select("doc_id", "text", F.xxhash64("sha").alias("label"))
     joined = read.join(places, ["doc_id", "label"]).select("doc_id", "label", "text", "places")
-    made = map_batches(joined, cut, "h bigint, ctx binary, at int, doc_id bigint, label bigint, start int")
+    made = map_batches(joined, cut, "h bigint, ctx binary, at int, doc_id bigint, label bigint, start int", "text")
     return settle(made.withColumn("cid", F.xxhash64("ctx", "at")))
 
 
@@ -319,7 +311,7 @@ def _edited(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     texts = _identified(docs).select("doc_id", "text", F.xxhash64("sha").alias("label"))
     joined = texts.join(spans, ["doc_id", "label"]).select("doc_id", "label", "text", "spans")
-    return map_batches(joined, edit, "doc_id bigint, label bigint, n_removed bigint, n_spans bigint, kept binary")
+    return map_batches(joined, edit, "doc_id bigint, label bigint, n_removed bigint, n_spans bigint, kept binary", "text", 4 << 20)
 
 
 def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
