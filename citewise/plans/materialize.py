@@ -56,5 +56,5 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "citewise")
     with _shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
