@@ -199,9 +199,10 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
 
 def _distinct_contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct contexts with their smallest doc_id: those of anchors that a task can order, and those of all others."""
-    unique = settle(found.groupBy("h", "cid").agg(F.min("doc_id").alias("doc"), F.first("at").alias("at"), F.first("ctx").alias("ctx")))
-    sizes = settle(unique.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT).select("h"))
-    return unique.join(sizes, "h", "left_anti"), unique.join(sizes, "h", "left_semi")
+    sizes = found.groupBy("h", "cid").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    sizes = settle(sizes.filter(F.col("n") > SPLIT).select("h"))
+    unique = lambda rows: rows.groupBy("h", "cid").agg(F.min("doc_id").alias("doc"), F.first("at").alias("at"), F.first("ctx").alias("ctx"))
+    return unique(found.join(sizes, "h", "left_anti")), unique(found.join(sizes, "h", "left_semi"))
 
 
 def _ordered(unique: DataFrame) -> DataFrame:
