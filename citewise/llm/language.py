@@ -16,7 +16,7 @@ UNKNOWN = "und"
 SAMPLE_TEXTS = 48  # expected texts that a language's sample takes a piece from
 PIECE = 1024  # characters of a piece
 LANE = 512  # characters that are parsed as one run
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 OTHER, GAP = 0, 1
 
 
@@ -136,7 +136,7 @@ class Parser:
         return found
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(sample: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(sample)
 

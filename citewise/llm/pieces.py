@@ -23,8 +23,8 @@ SPACE = "▁"
 WORD = re.compile(r" *[^ ]+| +")
 NONE = np.int64(1) << 62
 CELLS = 1 << 20  # lattice cells held at once
-CACHED = 400_000  # words a worker remembers
-SLICE_BYTES = 4 << 20
+CACHED = 120_000  # words a worker remembers
+SLICE_BYTES = 1 << 20
 DECODED_ROWS = 256
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,7 +177,7 @@ class Pieces:
         return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def piece_table(path: str) -> Pieces:
     return Pieces(path)
 
