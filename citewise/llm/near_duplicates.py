@@ -17,6 +17,8 @@ ROWS = 4  # registers of a band
 MANTISSA = 10
 MARGIN = 0.2  # over four standard errors of the estimate below the threshold
 STAR_ROUNDS = 3
+PAIRED = 32  # members up to which a bucket's pairs are listed; larger buckets are compared in blocks
+BLOCK = 128
 PERCENT = 85
 
 
@@ -39,13 +41,18 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """(documents, bands): four registers and the band's number; an empty bucket borrows from the next full one."""
+    """(documents, bands): four registers and the band's number.
+
+    An empty bucket borrows from the first full one in an order of its own, so that the bands of a short text still
+    depend on several of its shingles.
+    """
+    turns = np.argsort(mixed(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), axis=1)
     filled = regs.copy()
-    for _ in range(BUCKETS):
+    for turn in turns.T:
         empty = filled == 0
-        if not (empty.any(axis=1) & ~empty.all(axis=1)).any():
+        if not (empty.any(axis=1) & (regs > 0).any(axis=1)).any():
             break
-        filled = np.where(empty, np.roll(filled, -1, axis=1), filled)
+        filled = np.where(empty, regs[:, turn], filled)
     grouped = filled.astype(np.uint64).reshape(len(regs), BUCKETS // ROWS, ROWS)
     packed = np.zeros(grouped.shape[:2], np.uint64)
     for r in range(ROWS):
@@ -131,6 +138,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(side("b"), "b").join(side("a"), "a"), judge, "a bigint, b bigint")
 
 
+def _linked_in(reps: np.ndarray, comps: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Verified pairs of different blocks (or of one, if there is just one) that join different components, as few as join them all."""
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    place = np.cumsum(counts > 1) - 1  # only shingles of several members count
+    shared = counts[inverse] > 1
+    columns, rows = place[inverse[shared]], owner[shared]
+    order = np.argsort(columns, kind="stable")
+    columns, rows = columns[order], rows[order]
+    for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, 4096):
+        low, high = np.searchsorted(columns, [at, at + 4096])
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[rows[low:high], columns[low:high] - at] = 1
+        common += held @ held.T
+    sizes = np.array([len(s) for s in sets], np.float64)
+    good = 100 * common.astype(np.float64) >= percent * (sizes[:, None] + sizes[None, :] - common)
+    good &= comps[:, None] != comps[None, :]
+    if blocks.min() != blocks.max():
+        good &= blocks[:, None] != blocks[None, :]
+    top: dict[int, int] = {}
+
+    def head(c: int) -> int:
+        while top.setdefault(c, c) != c:
+            c = top[c]
+        return c
+
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(good))):
+        a, b = head(int(comps[i])), head(int(comps[j]))
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            found.append((int(reps[i]), int(reps[j])))
+    return found
+
+
+def _linked_in_blocks(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): verified links between components inside large buckets.
+
+    A bucket is cut into blocks of about BLOCK members and every two blocks meet in one group of bounded size, where whole
+    sets are compared; a group gives fewer links than it has members.
+    """
+
+    def judge(batches):
+        key, held = None, []
+
+        def flush():
+            if len({h[1] for h in held}) > 1:
+                reps, comps, blocks = (np.array([h[i] for h in held], np.int64) for i in range(3))
+                if links := _linked_in(reps, comps, blocks, [h[3] for h in held], percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "x", "y", "rep", "component", "block")]
+            for k, x, y, rep, component, block, own in zip(*columns, batch.column("shingles")):
+                if (k, x, y) != key:
+                    yield from flush()
+                    key, held = (k, x, y), []
+                held.append((rep, component, block, np.frombuffer(own.as_buffer(), np.uint64)))
+        yield from flush()
+
+    count = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = crowded.join(count, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "component", "block", "shingles")
+    grouped = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return grouped.mapInArrow(judge, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of docs.
 
@@ -138,7 +214,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Their 64 registers are banded by four. In a bucket of equal bands every member meets a pivot first: the smallest id, then
     members chosen by hash. Candidates pass the collision-corrected estimate and are then verified on whole sets. What
     is linked is one component; at last the members of a bucket that lie in different components are compared with
-    each other, in full. So no bucket is capped, and only pairs that could not join anything are left out.
+    each other, as pairs in a small bucket and block by block in a large one, where only verified links leave the
+    task. So no bucket is capped, and only pairs that could not join anything are left out.
     Links: 100 * common >= percent * union over distinct shingles of five words.
 
     A null or empty text, or one without words, has no shingles and is linked with nothing; so is a row without
@@ -170,16 +247,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             met = placed.join(pivots.select("key", "p.pivot", "p.at"), "key").filter(F.col("component") != F.col("at"))
             pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         else:
-            rest = settle(placed.join(pivots.select("key"), "key"))
+            open_ = settle(placed.join(pivots.select("key"), "key"))
+            large = settle(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRED).select("key"))
+            crowded = settle(_linked_in_blocks(open_.join(large, "key", "left_semi"), sets, percent))
+            rest = open_.join(large, "key", "left_anti")
             other = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
             pairs = rest.join(other, "key").filter((F.col("component") != F.col("other")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b")
         fresh = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if attempt == STAR_ROUNDS or placed.join(pivots.select("key"), "key").isEmpty():
-                break
-            continue
         linked = settle(_verified(settle(_estimated(fresh, classes, percent)), sets, percent))
         tested = tested.unionAll(fresh)
+        if attempt == STAR_ROUNDS:
+            linked = linked.unionAll(crowded)
         if not linked.isEmpty():
             links = links.unionAll(linked)
             found = components(links)

@@ -343,3 +343,13 @@ def test_licenses(spark, docs, rows, empty):
     ]
     got = {r["n"]: r["licenses"] for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "n int, text string")).collect()}
     assert got == {0: ["Apache-2.0"], 1: ["MIT", "LicenseRef-all-rights-reserved"], 2: [], 3: [], 4: ["MIT-text"], 5: [], 6: ["CC-BY-NC-4.0"]}
+
+
+def test_near_copies_in_blocks(spark, monkeypatch):
+    """Blocks find what pairs find."""
+    from citewise.llm import near_duplicates as module
+
+    monkeypatch.setattr(module, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(module, "PAIRED", 1)
+    monkeypatch.setattr(module, "BLOCK", 16)
+    test_near_copies_form_one_component(spark)
