@@ -105,7 +105,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())
         return pa.RecordBatch.from_arrays([part.column("rep"), sets], ["rep", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted.hint("merge"), "rep", "left_semi")
     return map_batches(texts, gather, "rep bigint, shingles binary", "text")
 
 
