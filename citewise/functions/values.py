@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citewise.functions.text import let, strip
 
-NUMERIC_TYPE = "decimal(18,4)"
+NUMERIC_TYPE = "decimal(38,4)"
 # Which strings count as numbers.
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"

@@ -111,9 +111,9 @@ def table_listing(spark: SparkSession) -> DataFrame:
 
 
 def session_flags(files: DataFrame, sheets: DataFrame) -> DataFrame:
-    """(session_id, has_documents, has_structured_data); sheets without rows do not count."""
+    """(session_id, has_documents, has_structured_data); every sheet counts, also one without rows."""
     documents = ready_documents(files).select("session_id", F.lit(True).alias("d"), F.lit(False).alias("s"))
-    tables = sheets.filter(F.col("row_count") > 0).select("session_id", F.lit(False).alias("d"), F.lit(True).alias("s"))
+    tables = sheets.select("session_id", F.lit(False).alias("d"), F.lit(True).alias("s"))
     return documents.unionAll(tables).groupBy("session_id").agg(
         F.max("d").alias("has_documents"), F.max("s").alias("has_structured_data")
     )

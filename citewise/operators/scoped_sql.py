@@ -104,6 +104,9 @@ def checked_tables(spark: SparkSession, sql: str, allowed: set[str]) -> list[str
                 function = _items(expression.nameParts())[-1].lower()
                 if function in UNSAFE_FUNCTIONS:
                     raise ScopedQueryError(f"Statement contains a forbidden operation: {function}")
+    hidden = sorted(name for name in defined if spark.catalog.tableExists("`" + name.replace("`", "``") + "`"))
+    if hidden:  # out of the named subquery's scope the name would mean the table
+        raise ScopedQueryError(f"Named subqueries share their name with tables: {hidden}")
     outside = tables - defined - set(allowed)
     if outside:
         raise ScopedQueryError(f"Query references tables outside this session: {sorted(outside)}")

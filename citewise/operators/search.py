@@ -1,13 +1,9 @@
 """Exact cosine top-k of questions against stored points, inside each tenant.
 
-Two physical shapes, chosen by a measured size of the question side:
+Questions are cut into blocks of bounded size. A block's vectors go to every task once and the points are scanned where
+they lie, once per block; a task keeps the best k per question, so nothing but those winners is shuffled.
 
-* few questions: their vectors go to every task once and the corpus is scanned in place. A task keeps the best k per
-  question, so nothing but those winners is shuffled;
-* many questions: points and questions are dealt into a grid of bounded cells per tenant and each cell is scored as a
-  block product. A hot tenant simply has more cells.
-
-Neither shape emits question x point pairs. Ties go to the smaller point id; scores are rounded before ranking.
+No question x point pairs are emitted. Ties go to the smaller point id; scores are rounded before ranking.
 """
 
 from __future__ import annotations
@@ -20,7 +16,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from citewise.functions.hashing import DEFAULT_DIM, hashed_vector
 from citewise.plans.materialize import settle
@@ -30,12 +25,8 @@ CANDIDATES = 15
 DEFAULT_K = 6
 SHEETS_K = 2
 SCORE_DIGITS = 6
-MAX_PLACED_QUESTIONS = 20_000
-MAX_PLACED_BYTES = 64 * 1024 * 1024
-CELL_POINTS = 8_192
-CELL_QUESTIONS = 1_024
+BLOCK_BYTES = 64 * 1024 * 1024  # of question vectors that one pass over the points holds
 BLOCK_SCORES = 4_000_000
-MAX_CARRIED_ROWS = 20_000
 TENANT = "_tenant"
 
 
@@ -106,11 +97,13 @@ def _scan(placed, carried: Sequence[str], vector: str, dim: int, k: int):
             tenants = table.column(TENANT).combine_chunks().dictionary_encode()
             codes = np.asarray(tenants.indices)
             found = []
+            order = np.argsort(codes, kind="stable")
+            edges = np.searchsorted(codes[order], np.arange(len(tenants.dictionary) + 1))
             for code, tenant in enumerate(tenants.dictionary.to_pylist()):
                 if tenant not in by_tenant:
                     continue
                 positions, questions = by_tenant[tenant]
-                mine = table.take(pa.array(np.nonzero(codes == code)[0]))
+                mine = table.take(pa.array(order[edges[code] : edges[code + 1]]))
                 vectors = unit_rows(mine.column(vector), dim)
                 found.append(_score_block(mine.select(list(carried)), vectors, questions, positions, k))
             if found:
@@ -123,11 +116,14 @@ def _scan(placed, carried: Sequence[str], vector: str, dim: int, k: int):
     return run
 
 
-def _fetch_bounded(questions: DataFrame, dim: int, max_rows: int, max_bytes: int) -> pa.Table | None:
-    """The question side when its vectors are certain to fit ``max_bytes``, else None; never reads past the bound."""
-    rows = min(max_rows, max_bytes // (8 * dim))
-    table = questions.limit(rows + 1).toArrow()
-    return table if table.num_rows <= rows else None
+def _question_blocks(asked: DataFrame, dim: int, block_bytes: int) -> Iterator[pa.Table]:
+    """The questions in blocks of about block_bytes of vectors, dealt by hash; written once, so no block repeats their plan."""
+    stored = settle(asked)
+    blocks = max(1, -(-stored.count() * 8 * dim // block_bytes))
+    for block in range(blocks):
+        part = stored.filter(F.pmod(F.xxhash64("question_id", TENANT), F.lit(blocks)) == block).toArrow()
+        if part.num_rows:
+            yield part
 
 
 def _place(spark, table: pa.Table, dim: int):
@@ -140,40 +136,6 @@ def _place(spark, table: pa.Table, dim: int):
     return spark.sparkContext.broadcast((by_tenant, table.column("question_id").combine_chunks()))
 
 
-def _cells(df: DataFrame, sizes: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
-    """Deal rows into cells: one salted coordinate of their own, every coordinate of the other side."""
-    dealt = df.join(sizes, TENANT)
-    mine = F.pmod(F.xxhash64(row_id), F.col(own)).cast("int")
-    return (
-        dealt.withColumn(own + "_cell", mine)
-        .withColumn(other + "_cell", F.explode(F.sequence(F.lit(0), (F.col(other) - 1).cast("int"))))
-        .drop(own, other)
-    )
-
-
-def _grid(questions: DataFrame, points: DataFrame, carried, vector: str, dim: int, k: int, schema, cells) -> DataFrame:
-    cell_points, cell_questions = cells
-    asked = questions.groupBy(TENANT).agg(F.ceil(F.count(F.lit(1)) / cell_questions).alias("question_side"))
-    stored = points.groupBy(TENANT).agg(F.ceil(F.count(F.lit(1)) / cell_points).alias("point_side"))
-    sizes = settle(asked.join(stored, TENANT))
-    left = _cells(questions, sizes, "question_id", "question_side", "point_side")
-    right = _cells(points, sizes, carried[0], "point_side", "question_side")
-
-    def score(asked_cell: pa.Table, stored_cell: pa.Table) -> pa.Table:
-        if not asked_cell.num_rows or not stored_cell.num_rows:
-            return target.empty_table()
-        positions = np.arange(asked_cell.num_rows)
-        vectors = unit_rows(stored_cell.column(vector), dim)
-        asked_rows = unit_rows(asked_cell.column("vector"), dim)
-        best = _best(_score_block(stored_cell.select(list(carried)), vectors, asked_rows, positions, k), k)
-        ids = asked_cell.column("question_id").take(best.column("_question"))
-        return best.drop_columns(["_question"]).add_column(0, "question_id", ids).cast(target)
-
-    target = to_arrow_schema(schema)
-    key = [TENANT, "question_side_cell", "point_side_cell"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, schema)
-
-
 def top_k(
     questions: DataFrame,
     points: DataFrame,
@@ -183,31 +145,30 @@ def top_k(
     vector: str = "vector",
     payload: Sequence[str] = (),
     dim: int = DEFAULT_DIM,
-    max_placed: tuple[int, int] = (MAX_PLACED_QUESTIONS, MAX_PLACED_BYTES),
-    cells: tuple[int, int] = (CELL_POINTS, CELL_QUESTIONS),
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """questions(question_id, *tenant, vector) x points(point_id, *tenant, vector, *payload) -> best k points each.
 
-    Output: question_id, score, point_id, payload columns and 1-based ``rank``. Payload rides along with the winners
-    while those are few; otherwise only ids are ranked and the payload is joined to the final rows.
+    Output: question_id, score, point_id, payload columns and 1-based ``rank``. Questions come in blocks of bounded size;
+    each block meets the points where they lie, and only ids and tenants of a task's best k leave it. The payload is joined to
+    the ranked rows on tenant and id, so an id may occur in several tenants; inside one it has to be unique.
     """
     tenant_key = F.to_json(F.struct(*[F.col(c).cast("string") for c in tenant])) if tenant else F.lit("")
     asked = questions.select("question_id", tenant_key.alias(TENANT), "vector")
-    fetched = _fetch_bounded(asked, dim, *max_placed)
-    rides = fetched is not None and fetched.num_rows * k <= MAX_CARRIED_ROWS
-    carried = [point_id, *payload] if rides else [point_id]
-    stored = points.select(*carried, tenant_key.alias(TENANT), F.col(vector))
+    carried = [point_id, TENANT]
+    stored = points.select(point_id, tenant_key.alias(TENANT), F.col(vector))
     schema = T.StructType(
         [asked.schema["question_id"], T.StructField("score", T.DoubleType()), *[stored.schema[c] for c in carried]]
     )
-    if fetched is not None:
-        placed = _place(questions.sparkSession, fetched, dim)
-        found = stored.mapInArrow(_scan(placed, carried, vector, dim, k), schema)
-    else:
-        found = _grid(asked, stored, carried, vector, dim, k, schema, cells)
+    spark = questions.sparkSession
+    found = spark.createDataFrame([], schema)
+    for block in _question_blocks(asked, dim, block_bytes):
+        found = found.unionAll(stored.mapInArrow(_scan(_place(spark, block, dim), carried, vector, dim, k), schema))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), point_id)
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best if rides or not payload else best.join(points.select(point_id, *payload), point_id)
+    if payload:
+        best = best.join(points.select(point_id, tenant_key.alias(TENANT), *payload), [point_id, TENANT])
+    return best.select("question_id", "score", point_id, *payload, "rank")
 
 
 def search_chunks(

@@ -98,11 +98,11 @@ def p3(spark, folder):
     "a8_session_flags",
     f"""WITH {STATUS_SQL}
 SELECT s.source AS session_id, coalesce(bool_or(problem IS NULL AND category = 'document'), FALSE) AS has_documents,
-  (SELECT count(*) > 0 FROM labels l JOIN documents d USING (doc_id) WHERE d.source = s.source AND quality = 1 AND toxic = 1) AS has_structured_data
+  (SELECT count(*) > 0 FROM labels l JOIN documents d USING (doc_id) WHERE d.source = s.source) AS has_structured_data
 FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN status f ON f.session_id = s.source GROUP BY 1""",
 )
 def a8(spark, folder):
-    """Which sessions have ready documents and sheets with rows; a labelled document stands for a sheet."""
+    """Which sessions have ready documents and sheets, with rows or without; a labelled document stands for a sheet."""
     documents = load(spark, folder, "documents")
     sheets = load(spark, folder, "labels").join(documents, "doc_id").select(
         F.col("source").alias("session_id"), (F.col("quality") * F.col("toxic")).alias("row_count")

@@ -134,3 +134,27 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "blank.txt").write_text(" \n ")
     rows = chunk_documents(read_text_files(spark, str(tmp_path)), single_unit=True).collect()
     assert [(r["filename"], r["line_start"], r["line_end"]) for r in rows] == [("a.txt", 1, 3)] and "�" in rows[0]["text"]
+
+
+def test_named_subquery_cannot_hide_a_table(spark):
+    from citewise.operators.scoped_sql import ScopedQueryError, checked_tables
+
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("outside_people")
+    hidden = "SELECT u.x FROM (WITH outside_people AS (SELECT 1 AS y) SELECT y FROM outside_people) t CROSS JOIN outside_people u"
+    earlier = "WITH a AS (SELECT x FROM outside_people), outside_people AS (SELECT 1 AS x) SELECT x FROM a"
+    for text in (hidden, earlier):
+        with pytest.raises(ScopedQueryError):
+            checked_tables(spark, text, set())
+    assert checked_tables(spark, "WITH own AS (SELECT x FROM t_sheet) SELECT x FROM own", {"t_sheet"}) == ["t_sheet"]
+    spark.catalog.dropTempView("outside_people")
+
+
+def test_long_integers_are_summed_whole(spark):
+    from pyspark.sql import functions as F
+
+    from citewise.operators.intents import NO_FILTER, filtered_sums
+
+    rows = spark.createDataFrame([("s", ["100000000000000"]), ("s", ["5"]), ("s", ["7"])], "sheet_id string, values array<string>")
+    needed = spark.createDataFrame([("s", NO_FILTER, "", 0)], "sheet_id string, filter_idx int, filter_text string, target_idx int")
+    got = filtered_sums(rows, needed).select(F.col("total").cast("bigint"), "numbers").first()
+    assert tuple(got) == (100000000000012, 3)
