@@ -14,7 +14,7 @@ from citewise.llm.topk import query_blocks, usable, usual_length, vectors_of
 from citewise.plans.materialize import settle
 
 LISTS = 64
-PROBES = 24
+PROBES = 44  # near-isotropic vectors spread their neighbours over many lists
 SAMPLE_ROWS = 8192  # vectors the lists are fitted on
 SAMPLE_BYTES = 32 << 20
 CONFIDENCE = 3.0  # larger: fewer candidates given up by mistake
