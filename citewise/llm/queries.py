@@ -143,11 +143,11 @@ SELECT doc_id, n_sentences, replace(ids, '|', ',') AS known, concat_ws(',', {nam
 
 TOP_SQL = """
 WITH clean AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (
-  SELECT q.vec_id AS query_id, p.vec_id, list_sum(list_transform(list_zip(q.v, p.v), z -> z[1] * z[2]))::BIGINT AS score
+  SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v)::BIGINT AS score
   FROM clean q JOIN clean p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, rank, vec_id, score FROM (
