@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from citewise.functions.text import is_blank, strip
 from citewise.plans.materialize import settle
 from citewise.plans.scans import number_rows
-from citewise.plans.sizing import spread
 
 CHUNK_CHARS = 1200
 OVERLAP_CHARS = 200
@@ -150,7 +149,7 @@ def chunk_documents(
         T.StructField("text", T.StringType()),
         *[T.StructField(n, T.IntegerType()) for n in ("_start", "_end", "_line_start", "_line_end")],
     ]
-    pieces = spread(source).mapInArrow(_split_batches(keys, size, overlap), T.StructType(fields))
+    pieces = source.mapInArrow(_split_batches(keys, size, overlap), T.StructType(fields))
     text = F.when(
         F.col("table_header").isNotNull() & (F.col("table_header") != "") & (F.col("_piece") > 0),
         strip(F.concat(F.col("table_header"), F.lit("\n"), F.col("text"))),

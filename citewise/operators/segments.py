@@ -22,7 +22,6 @@ from citewise.functions.text import (
 )
 from citewise.plans.materialize import settle
 from citewise.plans.scans import BLOCK, carry_forward
-from citewise.plans.sizing import spread
 
 PAGE = ["doc_id", "page_no"]
 PAGES_PER_BLOCK = 256
@@ -37,7 +36,7 @@ def text_pages(pages: DataFrame, text: str = "text") -> DataFrame:
         F.lit(None).cast("array<string>").alias("cells"),
         F.lit(None).cast("int").alias("table_no"),
     )
-    return spread(pages).select(*PAGE, F.transform(split_lines(F.col(text)), line).alias("lines"))
+    return pages.select(*PAGE, F.transform(split_lines(F.col(text)), line).alias("lines"))
 
 
 def page_rows(lines: DataFrame) -> DataFrame:

@@ -55,23 +55,33 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return text_units(named.withColumn("file_type", F.lit("txt")))
 
 
-def read_csv_grids(spark: SparkSession, path: str, max_columns: int = 256, multi_line: bool = False) -> DataFrame:
+def csv_columns(spark: SparkSession, path: str, multi_line: bool = True) -> int:
+    """Cells of the widest record: separators outside quotes, counted per line once quoted cells are taken out."""
+    bare = F.regexp_replace(F.col("value"), '"[^"]*+"', "")
+    commas = F.transform(F.split(bare, "\r\n|\n|\r"), lambda line: F.length(line) - F.length(F.replace(line, F.lit(","))))
+    return (spark.read.text(path, wholetext=multi_line).agg(F.max(F.array_max(commas))).first()[0] or 0) + 1
+
+
+def read_csv_grids(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV files as raw rows, no header assumed: (sheet_id, sheet_name, row_idx, cells, cell_types).
 
-    Rows are numbered from their position inside the file split plus the rows of earlier splits of the same file, so
-    one large file is neither sorted nor gathered; the splits, one row each, are written so that they can be broadcast. ``max_columns`` is the widest row accepted.
+    Every column of the widest record is read. A quoted cell may hold line breaks and doubled quotes; with
+    ``multi_line`` off each line is a record and one large file is cut into splits. Rows are numbered from their place in the split
+    plus the rows of earlier splits of the same file, so no file is sorted or gathered. Rows are written before they are
+    counted, so both steps see the same splits. Files without a record give no rows.
     """
-    schema = ",".join(f"_c{i} string" for i in range(max_columns))
-    reader = spark.read.schema(schema).option("header", False)
+    columns = csv_columns(spark, path, multi_line)
+    schema = ",".join(f"_c{i} string" for i in range(columns))
+    reader = spark.read.schema(schema).option("header", False).option("escape", '"')
     grid = reader.option("multiLine", multi_line).option("enforceSchema", True).csv(path)
-    cell = lambda i: F.when(~F.col(f"_c{i}").isin(*MISSING_MARKS), F.col(f"_c{i}"))
-    rows = grid.select(
+    cell = lambda c: F.when(~c.isin(*MISSING_MARKS), c)
+    rows = settle(grid.select(
         F.col("_metadata.file_path").alias("sheet_id"),
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("sheet_name"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_at"),
-        F.array(*[cell(i) for i in range(max_columns)]).alias("_cells"),
-    )
+        F.transform(F.array(*[f"_c{i}" for i in range(columns)]), cell).alias("_cells"),
+    ))
     width = F.coalesce(F.array_max(F.transform("_cells", lambda c, i: F.when(c.isNotNull(), i + 1))), F.lit(0))
     splits = rows.groupBy("sheet_id", "_split").agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.max(width).alias("_width")
@@ -83,7 +93,7 @@ def read_csv_grids(spark: SparkSession, path: str, max_columns: int = 256, multi
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.max("_width").over(whole).alias("_width"),
     )
-    joined = rows.join(settle(placed), ["sheet_id", "_split"])
+    joined = rows.join(placed, ["sheet_id", "_split"])
     cells = F.slice("_cells", F.lit(1), F.col("_width"))
     return joined.select(
         "sheet_id",

@@ -15,7 +15,7 @@ from citewise.plans.answers import Collections, answer_questions
 from citewise.operators.search import embed
 from citewise.plans.materialize import settle
 from citewise.plugins import embedding_provider, relevance_scorer, text_generator
-from suite.common import Registry, load, long, overlap_sql, top_k_sql, vectors_sql, whole_documents
+from suite.common import Registry, load, long, overlap_sql, spread, top_k_sql, vectors_sql, whole_documents
 
 query = Registry()
 Q, SQL = query.queries, query.sql
@@ -349,7 +349,7 @@ def part_sheets(spark, folder, sheet_id, session_id):
     )
     sizes = part.groupBy("sheet_id", "session_id").agg(F.count(F.lit(1)).alias("row_count"))
     columns = sizes.select("sheet_id", F.posexplode(F.array(*[F.lit(c) for c in PART_COLUMNS])).alias("col_idx", "column_name"))
-    catalog = settle(profile.profile_columns(sheets.long_cells(part), columns, sizes.select("sheet_id", "row_count")))
+    catalog = settle(profile.profile_columns(sheets.long_cells(spread(part)), columns, sizes.select("sheet_id", "row_count")))
     listed = sizes.select(
         "sheet_id", "session_id", F.lit("u").alias("user_id"), F.lit("parts").alias("sheet_name"),
         F.lit("xlsx_parts").alias("table_name"), F.lit("parts.csv").alias("filename"), F.lit(0).alias("sheet_order"), "row_count",
@@ -405,11 +405,13 @@ def f23(spark, folder):
 @query(
     "f24_prompts",
     """SELECT conv_id, turn,
-  md5('Question type: SEMANTIC' || chr(10) || 'Evidence:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || role || chr(10) || 'Answer:') AS answer_md5,
-  md5('Documents available in this session: ' || CASE WHEN turn % 2 = 0 THEN 'True' ELSE 'False' END || chr(10) ||
-      'Structured data (Excel/CSV) available in this session: False' || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Classification:') AS route_md5,
-  md5('Question: ' || role || chr(10) || chr(10) || 'Passages:' || chr(10) || '[0] ' || text || chr(10) || chr(10) || '[1] ' || role || chr(10) || chr(10) ||
-      'Return the passage numbers of at most the 5 most relevant passages, most relevant first, as a JSON array:') AS rerank_md5
+  md5('Route: SEMANTIC' || chr(10) || 'Found:' || chr(10) || text || chr(10) || chr(10) || 'Asked: ' || role || chr(10) || 'Reply:') AS answer_md5,
+  md5('Label what is asked: SEMANTIC, STRUCTURED or HYBRID.' || chr(10) || 'Texts at hand: ' || CASE WHEN turn % 2 = 0 THEN 'yes' ELSE 'no' END || chr(10) ||
+      'Tables at hand: no' || chr(10) || 'Asked: ' || text || chr(10) || 'Label:') AS route_md5,
+  md5('Asked: ' || role || chr(10) || chr(10) || '#0: ' || text || chr(10) || '#1: ' || role || chr(10) || chr(10) ||
+      'Numbers of the candidates that help to reply, best first, 5 or fewer, as JSON:') AS rerank_md5,
+  md5('Tables and their columns:' || chr(10) || role || chr(10) || chr(10) || 'Asked: ' || text || chr(10) ||
+      'Give one SELECT over these columns for whatever they can settle, or NO_QUERY where they settle nothing.' || chr(10) || 'Statement:') AS sql_md5
 FROM conversations""",
 )
 def f24(spark, folder):
@@ -420,6 +422,7 @@ def f24(spark, folder):
         md5(qs.answer_prompt(F.col("role"), F.col("text"), F.lit("SEMANTIC"))).alias("answer_md5"),
         md5(qs.route_prompt(F.col("text"), F.col("turn") % 2 == 0, F.lit(False))).alias("route_md5"),
         md5(qs.rerank_prompt(F.col("role"), F.array("text", "role"), 5)).alias("rerank_md5"),
+        md5(qs.sql_prompt(F.col("text"), F.col("role"))).alias("sql_md5"),
     )
 
 
@@ -519,7 +522,7 @@ def d2(spark, folder):
 
 @query(
     "d3_generator_plugin",
-    "SELECT conv_id, turn, length('Question type: SEMANTIC' || chr(10) || 'Evidence:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || role || chr(10) || 'Answer:')::VARCHAR AS reply FROM conversations",
+    "SELECT conv_id, turn, length('Route: SEMANTIC' || chr(10) || 'Found:' || chr(10) || text || chr(10) || chr(10) || 'Asked: ' || role || chr(10) || 'Reply:')::VARCHAR AS reply FROM conversations",
 )
 def d3(spark, folder):
     """A batch text generator fed with the answer prompt."""

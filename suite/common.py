@@ -15,13 +15,18 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table that is a single file over all cores; a table of several files stays as it is read."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 def long(col: Column | str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("bigint")
 
 
 def source_lines(spark: SparkSession, folder: str) -> DataFrame:
     """documents as pages of the volume named by their source."""
-    return load(spark, folder, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
+    return spread(load(spark, folder, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text"))
 
 
 LINES_SQL = """
@@ -43,7 +48,8 @@ HEADING_SQL = (
 
 def whole_documents(spark: SparkSession, folder: str) -> DataFrame:
     """documents as chunk rows of one chunk each, the source being the session."""
-    return load(spark, folder, "documents").select(
+    docs = load(spark, folder, "documents").select("doc_id", "text", "source")
+    return spread(docs).select(
         F.col("doc_id").alias("chunk_id"),
         "doc_id",
         F.lit(0).cast("bigint").alias("chunk_index"),

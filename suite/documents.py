@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from citewise.functions import text as tx
 from citewise.functions.hashing import hashed_vector, to_dense
 from citewise.operators import chunking, segments
-from citewise.plans.sizing import spread
 from citewise.sources.files import text_units
-from suite.common import HEADING_SQL, LINES_SQL, Registry, load, long, source_lines, vectors_sql
+from suite.common import HEADING_SQL, LINES_SQL, Registry, load, long, source_lines, spread, vectors_sql
 
 query = Registry()
 Q, SQL = query.queries, query.sql
@@ -298,7 +297,7 @@ def corpus_chunks(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select(
         "doc_id", "text", "source", F.concat("source", F.lit(".txt")).alias("filename"), F.lit("txt").alias("file_type")
     )
-    return chunking.chunk_documents(text_units(docs), single_unit=True)
+    return chunking.chunk_documents(text_units(spread(docs)), single_unit=True)
 
 
 @query(

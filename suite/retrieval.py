@@ -10,13 +10,13 @@ from citewise.functions import text as tx
 from citewise.functions.hashing import hashed_vector
 from citewise.operators import evidence, rerank, search
 from citewise.plans.answers import semantic_evidence
-from citewise.plans.sizing import spread
 from suite.common import (
     Registry,
     benchmark_questions,
     load,
     long,
     overlap_sql,
+    spread,
     top_k_sql,
     vectors_sql,
     whole_documents,
@@ -76,16 +76,13 @@ def j1_dense(spark, folder):
     "f3_cosine",
     f"""WITH {vectors_sql('v', 'documents', 'doc_id', 'text')}
 SELECT l.doc_id, round(coalesce(sum(a.weight * b.weight), 0), 6) + 0.0 AS score
-FROM labels l LEFT JOIN v a ON a.doc_id = l.doc_id LEFT JOIN v b ON b.doc_id = l.doc_id AND b.bucket = a.bucket
+FROM documents l LEFT JOIN v a ON a.doc_id = l.doc_id LEFT JOIN v b ON b.doc_id = l.doc_id + 1 AND b.bucket = a.bucket
 GROUP BY 1""",
 )
 def f3(spark, folder):
-    """Cosine of a document with itself through the sparse form, for every labelled document."""
-    vectors = spread(load(spark, folder, "documents").select("doc_id", "text")).select(
-        "doc_id", F.inline_outer(hashed_vector(F.col("text")))
-    ).filter(F.col("bucket").isNotNull())
-    left = load(spark, folder, "labels").select("doc_id").join(vectors, "doc_id", "left")
-    right = vectors.withColumnRenamed("weight", "other")
+    """Cosine of every document with the one after it, through the sparse form."""
+    left = spread(load(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.inline_outer(hashed_vector(F.col("text"))))
+    right = left.filter(F.col("bucket").isNotNull()).select((F.col("doc_id") - 1).alias("doc_id"), "bucket", F.col("weight").alias("other"))
     pairs = left.join(right, ["doc_id", "bucket"], "left")
     return pairs.groupBy("doc_id").agg((F.round(F.coalesce(F.sum(F.col("weight") * F.col("other")), F.lit(0.0)), 6) + 0.0).alias("score"))
 
@@ -169,7 +166,7 @@ def c6(spark, folder):
 @query(
     "w11_rank_filter",
     """
-WITH s AS (SELECT label AS question_id, vec_id AS idx, round(embedding[1]::DOUBLE, 6) AS score FROM embeddings),
+WITH s AS (SELECT label AS question_id, vec_id AS idx, round(list_max(embedding)::DOUBLE, 6) AS score FROM embeddings),
 f AS (SELECT *, max(score) OVER (PARTITION BY question_id) AS best FROM s WHERE score >= 0.05)
 SELECT question_id, idx, score, r::BIGINT AS final_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, idx) AS r FROM f WHERE score >= best - 0.1
@@ -178,7 +175,7 @@ SELECT question_id, idx, score, r::BIGINT AS final_rank FROM (
 def w11(spark, folder):
     """Absolute floor, then the margin below the best survivor, then the best five per label."""
     scored = load(spark, folder, "embeddings").select(
-        F.col("label").alias("question_id"), F.col("vec_id").alias("idx"), F.round(F.col("embedding")[0].cast("double"), 6).alias("score")
+        F.col("label").alias("question_id"), F.col("vec_id").alias("idx"), F.round(F.array_max("embedding").cast("double"), 6).alias("score")
     )
     kept = rerank.rank_and_filter(scored, 5, min_score=0.05, score_margin=0.1)
     return kept.select("question_id", "idx", "score", long("final_rank").alias("final_rank"))
@@ -226,12 +223,11 @@ def j6(spark, folder):
     return kept.select("question_id", long("idx").alias("idx"), long("final_rank").alias("final_rank"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-# Windows of 600 characters every 500, so neighbours share 100; every fifth window is missing, which breaks the chain.
+# Windows of 600 characters every 500, so neighbours share 100; runs of five windows go to two questions in turn, which breaks the chains.
 WINDOWS_SQL = """
 windows AS (
   SELECT doc_id, i, substr(text, i * 500 + 1, 600) AS text
   FROM documents, LATERAL (SELECT unnest(range(0, greatest(1, CAST(ceil((length(text) - 100) / 500.0) AS BIGINT)))) AS i)
-  WHERE i % 5 <> 4
 )"""
 
 
@@ -239,8 +235,8 @@ def _windows(spark, folder):
     docs = load(spark, folder, "documents").select("doc_id", "text", "source")
     count = F.greatest(F.lit(1), F.ceil((F.length("text") - 100) / 500.0)).cast("int")
     parts = spread(docs).select("doc_id", "source", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
-    return parts.filter(F.col("i") % 5 != 4).select(
-        F.col("doc_id").alias("question_id"), "doc_id", F.col("i").alias("chunk_index"),
+    return parts.select(
+        (F.col("doc_id") * 2 + F.floor(F.col("i") / 5) % 2).alias("question_id"), "doc_id", F.col("i").alias("chunk_index"),
         F.substring("text", F.col("i") * 500 + 1, F.lit(600)).alias("text"), F.lit(None).cast("int").alias("page_end"),
         (F.col("i") / 100.0).alias("score"), (F.lit(1000) - F.col("i")).alias("final_rank"),
     )
@@ -265,14 +261,16 @@ def _merge_sql(acc: str, nxt: str, out: str, source: str) -> str:
 runs AS (
   SELECT doc_id, i // 5 AS run, max(i) AS high, max(CASE WHEN i % 5 = 0 THEN text END) AS acc,
          max(CASE WHEN i % 5 = 1 THEN text END) AS w1, max(CASE WHEN i % 5 = 2 THEN text END) AS w2,
-         max(CASE WHEN i % 5 = 3 THEN text END) AS w3
+         max(CASE WHEN i % 5 = 3 THEN text END) AS w3,
+         max(CASE WHEN i % 5 = 4 THEN text END) AS w4
   FROM windows GROUP BY 1, 2
 ),
 {_merge_sql("acc", "w1", "one", "runs")},
 {_merge_sql("acc", "w2", "two", "one")},
-{_merge_sql("acc", "w3", "three", "two")}
+{_merge_sql("acc", "w3", "three", "two")},
+{_merge_sql("acc", "w4", "four", "three")}
 SELECT doc_id, high::BIGINT AS chunk_index, md5(acc) AS text_md5, round(high / 100.0, 6) AS score, (1000 - high)::BIGINT AS best_rank
-FROM three""",
+FROM four""",
 )
 def w10(spark, folder):
     """Overlapping windows of every document merged back into the passages they were cut from."""
@@ -286,10 +284,10 @@ def w10(spark, folder):
 @query(
     "j7_adjacent_chunks",
     f"""WITH {WINDOWS_SQL}
-SELECT doc_id, i::BIGINT AS chunk_index, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) = i + 1, FALSE) AS continues FROM windows""",
+SELECT doc_id, i::BIGINT AS chunk_index, coalesce(lead(i) OVER (PARTITION BY doc_id, i // 5 % 2 ORDER BY i) = i + 1, FALSE) AS continues FROM windows""",
 )
 def j7(spark, folder):
-    order = Window.partitionBy("doc_id").orderBy("chunk_index")
+    order = Window.partitionBy("question_id").orderBy("chunk_index")
     follows = F.coalesce(F.lead("chunk_index").over(order) == F.col("chunk_index") + 1, F.lit(False))
     return _windows(spark, folder).select("doc_id", long("chunk_index").alias("chunk_index"), follows.alias("continues"))
 

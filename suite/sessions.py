@@ -75,7 +75,7 @@ def file_status(spark, folder) -> DataFrame:
     "s10_ingest_status",
     f"""WITH {STATUS_SQL}
 SELECT file_id, n::BIGINT AS produced, CASE WHEN problem IS NULL THEN 'ready' ELSE 'failed' END AS status, CASE problem WHEN 'broken file' THEN 'broken'
-  WHEN 'text' THEN 'No extractable text' WHEN 'rows' THEN 'No data rows were f' END AS message FROM status""",
+  WHEN 'text' THEN 'The document holds ' WHEN 'rows' THEN 'The sheet holds no ' END AS message FROM status""",
 )
 def s10(spark, folder):
     status = file_status(spark, folder)

@@ -14,7 +14,7 @@ from citewise.plans.materialize import settle, shared_path
 from citewise.plans.scans import number_rows
 from citewise.sources.files import read_csv_grids
 from citewise.sources.tables import write_sheet_rows
-from suite.common import Registry, load, long, top_k_sql, vectors_sql
+from suite.common import Registry, load, long, spread, top_k_sql, vectors_sql
 
 query = Registry()
 Q, SQL = query.queries, query.sql
@@ -155,7 +155,7 @@ def s2(spark, folder):
     part = load(spark, folder, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     path = shared_path(spark, "csv-grid")
     part.write.option("header", True).csv(path)
-    grid = read_csv_grids(spark, path, max_columns=8)
+    grid = read_csv_grids(spark, path)
     body = grid.filter(F.col("row_idx") > 0)
     header = grid.filter(F.col("row_idx") == 0).dropDuplicates(["cells"])
     return body.unionByName(header).select(F.array_join("cells", "|").alias("line"), F.array_join("cell_types", ",").alias("kinds"))
@@ -226,7 +226,7 @@ def table_grids(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def table_catalog(spark, folder) -> DataFrame:
     raw, columns, sizes = table_grids(spark, folder)
-    return profile.profile_columns(sheets.long_cells(raw), columns, sizes)
+    return profile.profile_columns(sheets.long_cells(spread(raw)), columns, sizes)
 
 
 @query(
@@ -247,12 +247,13 @@ def c5(spark, folder):
     """
 SELECT 0::BIGINT AS col_idx, count(*)::BIGINT AS non_null, count(DISTINCT event_type)::BIGINT AS nunique, 0::BIGINT AS numbers, 0::BIGINT AS with_digit, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM events
 UNION ALL SELECT 1, count(*), 0, count(*), 0, min(value), max(value) FROM events
-UNION ALL SELECT 2, count(*), count(DISTINCT props), 0, sum(CASE WHEN regexp_matches(props, '[0-9]') THEN 1 ELSE 0 END)::BIGINT, NULL, NULL FROM events""",
+UNION ALL SELECT 2, count(*), count(DISTINCT props), 0, sum(CASE WHEN regexp_matches(props, '[0-9]') THEN 1 ELSE 0 END)::BIGINT, NULL, NULL FROM events
+UNION ALL SELECT 3, count(*), 0, count(*), 0, min(event_id), max(event_id) FROM events""",
 )
 def a4(spark, folder):
     events = load(spark, folder, "events")
     raw = sheets.table_as_raw_rows(events.select("event_type", "value", "props", "event_id"), F.lit("events"), F.col("event_id"))
-    cells = sheets.long_cells(raw).filter(F.col("col_idx") < 3)
+    cells = sheets.long_cells(spread(raw))
     stats = profile.column_stats(profile.value_counts(cells))
     return stats.select(*[long(c).alias(c) for c in ("col_idx", "non_null", "nunique", "numbers", "with_digit")], "low", "high")
 
@@ -267,7 +268,7 @@ UNION ALL SELECT string_agg(v, ',' ORDER BY r) FROM (
 def a5(spark, folder):
     events = load(spark, folder, "events")
     raw = events.select(F.lit("events").alias("sheet_id"), F.col("event_id").alias("row_idx"), F.array("event_type", "props").alias("cells"), F.array(F.lit("string"), F.lit("string")).alias("cell_types"))
-    cells = sheets.long_cells(raw)
+    cells = sheets.long_cells(spread(raw))
     found = profile.first_values(cells, cells.select("sheet_id", "col_idx").distinct())
     return found.select(F.array_join("sample", ",").alias("sample"))
 
@@ -292,7 +293,7 @@ def f13(spark, folder):
     raw = raw.withColumn("cell_types", F.transform("cells", lambda _: F.lit("string")))
     columns = orders.limit(1).select(F.lit("orders").alias("sheet_id"), F.posexplode(F.array(*[F.lit(c) for c in orders.columns])).alias("col_idx", "column_name"))
     sizes = orders.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("orders").alias("sheet_id"), "row_count")
-    catalog = profile.profile_columns(sheets.long_cells(raw), columns, sizes)
+    catalog = profile.profile_columns(sheets.long_cells(spread(raw)), columns, sizes)
     return catalog.select("column_name", "data_type", "is_categorical", "description")
 
 

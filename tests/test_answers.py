@@ -81,7 +81,7 @@ def test_ingest_status(spark):
     errors = spark.createDataFrame([(4, "x" * 3000)], "file_id int, error string")
     got = {r["file_id"]: r for r in tb.ingest_status(files, produced, errors).collect()}
     assert [got[i]["status"] for i in (1, 2, 3, 4)] == ["ready", "failed", "failed", "failed"]
-    assert "extractable text" in got[2]["error_message"] and "No data rows" in got[3]["error_message"] and len(got[4]["error_message"]) == 2000
+    assert "holds no text" in got[2]["error_message"] and "no rows of values" in got[3]["error_message"] and len(got[4]["error_message"]) == 2000
 
 
 def test_sessions_and_purge(spark):
