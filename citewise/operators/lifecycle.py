@@ -45,13 +45,14 @@ def owned_requests(requests: DataFrame, sessions: DataFrame) -> DataFrame:
 def sheets_in_scope(questions: DataFrame, sheets: DataFrame, discovered: DataFrame) -> DataFrame:
     """(question_id, session_id, sheet_id): the discovered sheets of a question, or all of its session's if none.
 
-    ``discovered(question_id, sheet_id)``.
+    ``discovered(question_id, sheet_id)``. A question with discovered sheets meets only those, not the whole session.
     """
-    named = discovered.select("question_id", "sheet_id", F.lit(True).alias("_named")).distinct()
-    picked = discovered.select("question_id", F.lit(True).alias("_any")).distinct()
-    scoped = questions.select("question_id", "session_id").join(picked, "question_id", "left")
-    pairs = scoped.join(sheets.select("session_id", "sheet_id"), "session_id").join(named, ["question_id", "sheet_id"], "left")
-    return pairs.filter(F.col("_any").isNull() | F.col("_named").isNotNull()).select("question_id", "session_id", "sheet_id")
+    asked = questions.select("question_id", "session_id")
+    held = sheets.select("session_id", "sheet_id")
+    named = asked.join(discovered.select("question_id", "sheet_id").distinct(), "question_id").join(held, ["session_id", "sheet_id"])
+    others = asked.join(discovered.select("question_id"), "question_id", "left_anti").join(held, "session_id")
+    out = ("question_id", "session_id", "sheet_id")
+    return named.select(*out).unionAll(others.select(*out))
 
 
 def session_rollup(sessions: DataFrame, files: DataFrame, sheets: DataFrame, messages: DataFrame) -> DataFrame:

@@ -171,10 +171,21 @@ def top_k(
 
 
 def search_chunks(
-    questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, tenant: Sequence[str] = (), dim: int = DEFAULT_DIM
+    questions: DataFrame,
+    chunks: DataFrame,
+    k: int = CANDIDATES,
+    tenant: Sequence[str] = (),
+    dim: int = DEFAULT_DIM,
+    provider=None,
+    file_id=None,
 ) -> DataFrame:
-    """questions(question_id, question, *tenant) against chunk text: candidates with every chunk column."""
-    asked = embed(questions, "question", dim=dim)
-    stored = embed(chunks, "text", dim=dim)
+    """questions(question_id, question, *tenant) against chunk text: candidates with every chunk column.
+
+    ``provider`` embeds both sides, with vectors of ``dim`` values. ``file_id`` narrows the search to one file's chunks;
+    questions that each name a file of their own pass it as a tenant column instead.
+    """
+    searched = chunks if file_id is None else chunks.filter(F.col("file_id") == file_id)
+    asked = embed(questions, "question", dim=dim, provider=provider)
+    stored = embed(searched, "text", dim=dim, provider=provider)
     payload = [c for c in chunks.columns if c != "chunk_id" and c not in tenant]
     return top_k(asked, stored, k, tenant, payload=payload, dim=dim)

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citewise.functions.hashing import DEFAULT_DIM
 from citewise.functions.labels import SOURCE_TYPE, query_source
 from citewise.functions.questions import HYBRID, SEMANTIC, STRUCTURED, extract_answer, guarded_route, keyword_route
 from citewise.operators.evidence import build_context, join_evidence, join_sources, merge_adjacent
 from citewise.operators.intents import question_intents, structured_answers
 from citewise.operators.lifecycle import session_flags
 from citewise.operators.profile import sheet_summaries
-from citewise.operators.rerank import KEPT, rerank_by_overlap
+from citewise.operators.rerank import KEPT, rerank_by_model, rerank_by_overlap
 from citewise.operators.search import CANDIDATES, SHEETS_K, embed, search_chunks, top_k
 from citewise.plans.materialize import settle
 
@@ -37,19 +38,53 @@ class Collections:
     rows: DataFrame
 
 
+@dataclass(frozen=True)
+class Providers:
+    """Models the plans use; by default hashed vectors and the overlap of words.
+
+    embedding: Column -> Column with vectors of ``dim`` values, for questions, chunks and sheet descriptions alike;
+    scorer: (question, passage) -> Column, with the floor and margin below the best that its scores have to meet.
+    """
+
+    embedding: Callable | None = None
+    dim: int = DEFAULT_DIM
+    scorer: Callable | None = None
+    min_score: float | None = None
+    score_margin: float | None = None
+
+
 def semantic_evidence(
-    questions: DataFrame, chunks: DataFrame, tenant: Sequence[str] = (), candidates: int = CANDIDATES, kept: int = KEPT
+    questions: DataFrame,
+    chunks: DataFrame,
+    tenant: Sequence[str] = (),
+    candidates: int = CANDIDATES,
+    kept: int = KEPT,
+    providers: Providers = Providers(),
+    file_id=None,
 ) -> DataFrame:
-    """(question_id, context, sources): search, rerank by overlap, merge neighbours, cite."""
-    found = search_chunks(questions, chunks, candidates, tenant)
+    """(question_id, context, sources): search, rerank, merge neighbours, cite; ``file_id`` narrows it to one file."""
+    found = search_chunks(questions, chunks, candidates, tenant, providers.dim, providers.embedding, file_id)
     asked = found.join(questions.select("question_id", "question"), "question_id")
-    return build_context(merge_adjacent(rerank_by_overlap(asked, kept)))
-
-
-def discover_sheets(questions: DataFrame, catalog: DataFrame, sheets: DataFrame, k: int = SHEETS_K, tenant: Sequence[str] = ()) -> DataFrame:
+    if providers.scorer:
+        limits = {"min_score": providers.min_score, "score_margin": providers.score_margin}
+        best = rerank_by_model(asked, providers.scorer, kept, **limits)
+    else:
+        best = rerank_by_overlap(asked, kept)
+    return build_context(merge_adjacent(best))
+
+
+def discover_sheets(
+    questions: DataFrame,
+    catalog: DataFrame,
+    sheets: DataFrame,
+    k: int = SHEETS_K,
+    tenant: Sequence[str] = (),
+    providers: Providers = Providers(),
+) -> DataFrame:
     """(question_id, score, sheet_id, rank): the sheets whose description is nearest to each question."""
     described = sheet_summaries(catalog, sheets).join(sheets.select("sheet_id", *tenant), "sheet_id")
-    return top_k(embed(questions, "question"), embed(described), k, tenant, point_id="sheet_id")
+    shape = {"dim": providers.dim, "provider": providers.embedding}
+    return top_k(embed(questions, "question", **shape), embed(described, **shape), k, tenant, point_id="sheet_id", dim=providers.dim)
 
 
 def route_questions(questions: DataFrame, files: DataFrame, sheets: DataFrame, classifier=None) -> DataFrame:
@@ -62,7 +97,9 @@ def route_questions(questions: DataFrame, files: DataFrame, sheets: DataFrame, c
     return flagged.withColumn("question_type", guarded_route(label, *flags))
 
 
-def answer_questions(questions: DataFrame, data: Collections, classifier=None, generator=None) -> DataFrame:
+def answer_questions(
+    questions: DataFrame, data: Collections, classifier=None, generator=None, providers: Providers = Providers()
+) -> DataFrame:
     """questions(question_id, question, user_id, session_id) -> answer, question_type, context, sources.
 
     The routed questions are written once, since both evidence paths start from them.
@@ -70,10 +107,10 @@ def answer_questions(questions: DataFrame, data: Collections, classifier=None, g
     routed = settle(route_questions(questions, data.files, data.sheets, classifier))
     reads_text = routed.filter(F.col("question_type").isin(SEMANTIC, HYBRID))
     reads_tables = routed.filter(F.col("question_type").isin(STRUCTURED, HYBRID))
-    passages = semantic_evidence(reads_text.select("question_id", "question", *SESSION), data.chunks, SESSION)
+    passages = semantic_evidence(reads_text.select("question_id", "question", *SESSION), data.chunks, SESSION, providers=providers)
 
     mixed = routed.filter(F.col("question_type") == HYBRID).select("question_id", "question", *SESSION)
-    found = discover_sheets(mixed, data.catalog, data.sheets, tenant=SESSION).select("question_id", "sheet_id")
+    found = discover_sheets(mixed, data.catalog, data.sheets, tenant=SESSION, providers=providers).select("question_id", "sheet_id")
     intents = question_intents(reads_tables, data.sheets, data.catalog, found)
     results = structured_answers(intents, data.catalog, data.rows).filter(F.col("problem").isNull())
     cited = F.array(query_source(F.col("sql"), F.col("row_count"))).cast(f"array<{SOURCE_TYPE}>")

@@ -26,8 +26,12 @@ def as_points(chunks: DataFrame, content_type: str = "document_chunk", dim: int
 
 
 def write_points(points: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to the point table, laid out by tenant so that a tenant filter prunes folders."""
-    points.write.mode(mode).partitionBy(*TENANT).parquet(path)
+    """Append to the point table, laid out by tenant so that a tenant filter prunes folders.
+
+    Rows are rebalanced by tenant first: a small tenant gets one file per write, and adaptive execution splits a large one
+    over several tasks.
+    """
+    points.hint("rebalance", *[F.col(c) for c in TENANT]).write.mode(mode).partitionBy(*TENANT).parquet(path)
 
 
 def write_sheet_rows(rows: DataFrame, path: str, mode: str = "append") -> None:

@@ -26,20 +26,26 @@ def ingest_stream(
     overlap: int = OVERLAP_CHARS,
     dim: int = DEFAULT_DIM,
     partition_by: Sequence[str] = (),
+    files_per_batch: int | None = None,
 ) -> None:
     """Process what is new under ``source`` and stop. ``prepare`` maps source rows to (doc_id, text, ...).
 
-    Each micro-batch replaces its own ``batch_id`` folder, so a batch that is run again after a failure leaves no
-    duplicates.
+    Each micro-batch replaces its own folder, named by the stream and the batch, so a batch that is run again after a failure
+    leaves no duplicates. A stream keeps its id as long as its checkpoint: one with a new checkpoint starts at batch 0 in
+    folders of its own and overwrites nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         chunks = chunk_documents(text_units(prepare(batch)), size, overlap, single_unit=True)
-        points = as_points(embed(chunks, dim=dim), dim=dim).withColumn("batch_id", F.lit(batch_id))
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        points = as_points(embed(chunks, dim=dim), dim=dim).withColumns({"stream_id": F.lit(stream_id), "batch_id": F.lit(batch_id)})
         writer = points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch_id", *partition_by).parquet(target)
+        writer.partitionBy("stream_id", "batch_id", *partition_by).parquet(target)
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(source)
     query = (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)

@@ -382,7 +382,7 @@ def s11(spark, folder):
     schema = load(spark, folder, "documents").schema
     target, state, inbox = (shared_path(spark, n) for n in ("stream-points", "stream-state", "stream-inbox"))
     load(spark, folder, "documents").repartition(4, "doc_id").write.parquet(inbox)
-    ingest_stream(spark, inbox, schema, target, state, lambda df: df.select("doc_id", "text", "source"))
+    ingest_stream(spark, inbox, schema, target, state, lambda df: df.select("doc_id", "text", "source"), files_per_batch=2)
     streamed = spark.read.parquet(target).groupBy("doc_id").agg(F.count_distinct("chunk_id").alias("streamed"), F.count(F.lit(1)).alias("n"))
     batch = corpus_chunks(spark, folder).groupBy("doc_id").agg(F.count(F.lit(1)).alias("batch"))
     return batch.join(streamed, "doc_id", "left").select(

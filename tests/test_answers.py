@@ -129,6 +129,34 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r["chunk_id"] for r in stored.collect()) == sorted(r["chunk_id"] for r in batch.collect())
 
 
+def test_stream_with_a_new_checkpoint_overwrites_nothing(spark, tmp_path):
+    target = str(tmp_path / "out")
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(8)], "doc_id long, text string")
+    for name, part in (("a", "doc_id < 4"), ("b", "doc_id >= 4")):
+        docs.filter(part).repartition(4, "doc_id").write.parquet(str(tmp_path / name))
+        ingest_stream(spark, str(tmp_path / name), docs.schema, target, str(tmp_path / f"state-{name}"), lambda df: df, dim=16, files_per_batch=1)
+    stored = spark.read.parquet(target)
+    assert sorted(r["doc_id"] for r in stored.collect()) == list(range(8))
+    assert stored.select("stream_id").distinct().count() == 2 and stored.select("batch_id").distinct().count() > 1
+
+
+def test_point_writes_hold_few_files(spark, tmp_path):
+    points = spark.range(0, 4000, numPartitions=16).select(
+        F.lit("u").alias("user_id"), (F.col("id") % 20).cast("string").alias("session_id"), F.col("id").alias("chunk_id")
+    )
+    tb.write_points(points, str(tmp_path / "points"))
+    assert len(list((tmp_path / "points").rglob("*.parquet"))) == 20
+    assert spark.read.parquet(str(tmp_path / "points")).count() == 4000
+
+
+def test_scope_names_sheets_or_takes_the_session(spark):
+    questions = spark.createDataFrame([(1, "s"), (2, "s"), (3, "t"), (4, "s")], "question_id int, session_id string")
+    sheets = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "c")], "session_id string, sheet_id string")
+    found = spark.createDataFrame([(1, "a"), (1, "a"), (3, "a"), (4, "zz")], "question_id int, sheet_id string")
+    got = sorted((r["question_id"], r["sheet_id"]) for r in lc.sheets_in_scope(questions, sheets, found).collect())
+    assert got == [(1, "a"), (2, "a"), (2, "b")]
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"caf\xff\nline two\nline three")
     (tmp_path / "blank.txt").write_text(" \n ")
