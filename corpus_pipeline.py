@@ -12,6 +12,8 @@ from citewise.llm.pieces import encode
 from citewise.llm.repeats import without_repeats
 from citewise.plans.materialize import settle
 
+NEAR_PERCENT = 80  # of the stage; the query op1 has a threshold of its own
+
 
 def with_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in a language that can be told; those without a letter go. lang becomes the predicted language."""
@@ -21,8 +23,8 @@ def with_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each near-duplicate component, the one with the smallest doc_id, once."""
-    judged = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    """One document of each near-duplicate component (similarity of 0.8 or more), the one with the smallest doc_id, once."""
+    judged = near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id").distinct()
     named = docs.join(judged.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
 

@@ -1,6 +1,7 @@
 """The pipeline stage by stage, and the entry's registration."""
 
 import os
+import random
 
 import pytest
 
@@ -38,3 +39,33 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] or 0) for r in one.collect()) == [0, 4]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_stage_takes_near_duplicates_from_80_percent(spark):
+    """Pairs above and below 0.8, and a chain that only holds with links between 0.80 and 0.85, against brute force."""
+    rng = random.Random(11)
+
+    def changed(words, places):
+        own = list(words)
+        for at in places:
+            own[at] = f"x{rng.randrange(10**9)}"
+        return own
+
+    made = []
+    for places in ((40, 75, 110), (30, 60, 90, 120), (50, 100)):  # similarity 0.81, 0.76 and 0.87
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        made += [base, changed(base, places)]
+    made += [changed(made[1], (20, 60, 130))]  # 0.81 to the second text, less to the first
+    texts = {i: " ".join(words) for i, words in enumerate(made)}
+    sets = {i: {tuple(words[k : k + 5]) for k in range(len(words) - 4)} for i, words in enumerate(made)}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.80 <= alike(0, 1) < 0.85 and 0.80 <= alike(1, 6) < 0.85 and alike(0, 6) < 0.8 and alike(2, 3) < 0.8 < 0.85 <= alike(4, 5)
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], SCHEMA)
+    left = sorted(r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect())
+    assert left == sorted(i for i in label if label[i] == i) == [0, 2, 3, 4]
