@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,25 +49,67 @@ RULES: Sequence[tuple[str, tuple[str, ...]]] = (
 )
 
 
+# Sentences of the standard notices as they stand there, and the rules that take them; a name may have several rules.
+NOTICE_SENTENCES: Mapping[str, str] = {
+    "mit_permission_conditions": SENTENCES["mit_permission"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "gpl_redistribute_version3": SENTENCES["gpl_redistribute"] + " " + SENTENCES["gpl3_version"],
+}
+NOTICE_RULES: Sequence[tuple[str, tuple[str, ...]]] = (
+    ("MIT-text", ("mit_permission_conditions", "mit_notice")),
+    ("GPL-3.0-or-later", ("gpl_free", "gpl_redistribute_version3")),
+)
+ALL_SENTENCES: Mapping[str, str] = {**SENTENCES, **NOTICE_SENTENCES}
+ALL_RULES: Sequence[tuple[str, tuple[str, ...]]] = (*RULES, *NOTICE_RULES)
+
+# Marks of a comment at the start of a line, and numbers of a list there ("1)"), which may also begin a sentence.
+COMMENT = r"(^|\n)[^a-z0-9\n]*(?:(?:dnl|rem)(?![a-z0-9])[^a-z0-9\n]*)?"
+NUMBER = r"(^|\n)([0-9]{1,3}|[ivx]{1,4}|[a-z])\)[ \t]+"
+
+
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text in order, without empty ones."""
     clean = F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     return F.filter(clean, lambda s: s != "")
 
 
-def scan_licenses(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
+def marked(text: Column) -> Column:
+    """The normalised text with H where a sentence ends (punctuation, blank line) and S at a line break inside a paragraph."""
+    lines = F.regexp_replace(F.regexp_replace(F.lower(text), r"\r\n?", "\n"), COMMENT, "$1")
+    ended = F.regexp_replace(F.regexp_replace(lines, NUMBER, "$1$2\n"), r"[.!?;:][ \t\n]+|\n\n+", "H")
+    words = F.regexp_replace(F.translate(ended, "\n", "S"), "[^a-z0-9HS]+", " ")
+    return F.concat(F.lit("H"), F.regexp_replace(F.regexp_replace(words, " ?([HS]) ?", "$1"), "^ | $", ""), F.lit("H"))
+
+
+def wrapped(text: Column, known: Mapping[str, str]) -> Column:
+    """Known sentences of a text in order, also those that run over line breaks; the longest of those that start at one place."""
+    wanted = sorted((s for s in known.values() if re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", s)), key=len, reverse=True)
+    if not wanted:
+        return F.array().cast("array<string>")
+    pattern = "(?<=[HS])(?:" + "|".join(s.replace(" ", "[ S]") for s in wanted) + ")(?=[HS])"
+    return F.transform(F.regexp_extract_all(marked(text), F.lit(pattern), F.lit(0)), lambda s: F.translate(s, "S", " "))
+
+
+def scan_licenses(docs: DataFrame, known: Mapping[str, str] = ALL_SENTENCES, rules: Sequence[tuple[str, tuple[str, ...]]] = ALL_RULES) -> DataFrame:
     """docs with n_sentences, known (identifiers in text order) and licenses (names of matching rules, in rule order).
 
-    A sentence is a licence sentence when its normalised form equals a known one. A rule matches when its identifiers
-    follow each other in the document's sequence of identifiers; sentences that are not known do not break a
-    sequence. Repeated sentences repeat in known; a null or empty text has no sentences and empty lists. Input columns
-    named like the added ones are replaced. Every document stays one row, whatever it holds.
+    A sentence is a licence sentence when its normalised form equals a known one. It begins and ends at punctuation or at a
+    line break, and a line break inside it counts as a space, as do comment marks at line starts; a blank line, or one without
+    a-z and 0-9, ends it. n_sentences counts the pieces between punctuation and line breaks. A rule matches when its
+    identifiers follow each other in the document's sequence of identifiers, or in that of these pieces alone; sentences that are not known
+    do not break a sequence. A name with several rules stands where its first one does. Repeated sentences repeat in known; a null
+    or empty text has no sentences and empty lists. Input columns named like the added ones are replaced. Every
+    document stays one row, whatever it holds.
     """
     table = F.create_map(*[F.lit(v) for identifier, sentence in known.items() for v in (sentence, identifier)])
     wanted = list(known.values())
-    split = docs.drop("n_sentences", "known", "licenses").withColumn("_sentences", F.coalesce(sentences(F.col("text")), F.array().cast("array<string>")))
-    found = F.transform(F.filter(F.col("_sentences"), lambda s: s.isin(wanted)), lambda s: F.element_at(table, s))
-    out = split.withColumn("n_sentences", F.size("_sentences").cast("bigint")).withColumn("known", found).drop("_sentences")
-    line = F.concat(F.lit("|"), F.array_join("known", "|"), F.lit("|"))
-    names = [F.when(line.contains("|" + "|".join(ids) + "|"), F.lit(name)) for name, ids in rules]
-    return out.withColumn("licenses", F.array_compact(F.array(*names)))
+    name = lambda found: F.transform(found, lambda s: F.element_at(table, s))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    split = docs.drop("n_sentences", "known", "licenses", "_sentences", "_pieces").withColumn("_sentences", F.coalesce(sentences(F.col("text")), F.array().cast("array<string>")))
+    out = split.withColumn("n_sentences", F.size("_sentences").cast("bigint")).withColumn("known", name(wrapped(text, known)))
+    out = out.withColumn("_pieces", name(F.filter(F.col("_sentences"), lambda s: s.isin(wanted)))).drop("_sentences")
+    line = F.concat(F.lit("|"), F.array_join("known", "|"), F.lit("||"), F.array_join("_pieces", "|"), F.lit("|"))
+    ways: dict[str, list[Column]] = {}
+    for license_name, ids in rules:
+        ways.setdefault(license_name, []).append(line.contains("|" + "|".join(ids) + "|"))
+    names = [F.when(reduce(Column.__or__, found), F.lit(license_name)) for license_name, found in ways.items()]
+    return out.withColumn("licenses", F.array_compact(F.array(*names))).drop("_pieces")

@@ -353,3 +353,78 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(module, "PAIRED", 1)
     monkeypatch.setattr(module, "BLOCK", 16)
     test_near_copies_form_one_component(spark)
+
+
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 A. Nobody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Copyright (c) 2020, A. Nobody
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+GPL = """Copyright (C) 2020 A. Nobody
+
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_complete_notices(spark):
+    """Standard notices unwrapped, wrapped at several widths, behind comment marks, and right under a heading."""
+    import textwrap
+
+    wants = {MIT: (["MIT-text"], ["mit_permission_conditions", "mit_notice"]), BSD: (["BSD-2-Clause"], ["bsd_redistribution", "bsd_source", "bsd_binary"]), GPL: (["GPL-3.0-or-later"], ["gpl_free", "gpl_redistribute_version3"])}
+    wrap = lambda text, width: "\n".join("\n".join(textwrap.wrap(line, width, subsequent_indent="   " if line[:1].isdigit() else "")) for line in text.split("\n"))
+    marks = ["", "# ", " * ", "// ", ";; ", "dnl ", "! ", "% "]
+    made = []
+    for text, want in wants.items():
+        made += [(text, want), (text.replace("\n", "\r\n"), want), (text.replace("\n\n", "\n"), want), ("Some heading\n" + wrap(text.split("\n\n", 1)[1], 60).split("\n\n", 1 if text is MIT else 0)[-1], want)]
+        for width in (40, 66, 78):
+            for mark in marks:
+                lines = [mark + line for line in wrap(text, width).split("\n")]
+                made += [("\n".join(lines), want), ("\r\n".join(["/*", *lines, "*/ code();"]), want)]
+    made += [(wrap(BSD, 70).replace("1. ", "1) ").replace("2. ", "(2) "), wants[BSD]), (wrap(GPL, 70) + "\n\n" + wrap(MIT, 70), (["MIT-text", "GPL-3.0-or-later"], wants[GPL][1] + wants[MIT][1]))]
+    made += [
+        ("Permission is hereby granted,\n\nfree of charge", ([], [])),
+        ("All rights\nreserved", (["LicenseRef-all-rights-reserved"], ["reserved"])), ("All rights\n\nreserved", ([], [])), ("Not all rights reserved", ([], [])),
+        ("Copyright\nAll rights reserved\nby nobody", (["LicenseRef-all-rights-reserved"], ["reserved"])),
+        ("Licensed under the Apache License, Version\n2.0 (the \"License\"); you may not use this file except in\ncompliance with the License. You may obtain a\ncopy of the License at\n\n    http://www.apache.org/", (["Apache-2.0-header"], ["apache_grant_defined", "apache_compliance", "apache_copy"])),
+    ]
+    found = scan_licenses(spark.createDataFrame([(i, text) for i, (text, _) in enumerate(made)], "n int, text string")).collect()
+    got = {r["n"]: (r["licenses"], r["known"]) for r in found}
+    assert {made[n][0]: own for n, own in got.items() if own != made[n][1]} == {}
+
+
+def test_sentences_over_lines_against_brute_force(spark):
+    """Every stretch of lines without a blank line in it may be a sentence."""
+    rng = random.Random(9)
+    known = {"a": "x y z", "b": "x y", "c": "z", "d": "y z w"}
+    texts = ["".join(rng.choice("xyzw") + rng.choice([" ", " ", "\n", "\n", ". ", "\n\n", ".\n"]) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+
+    def want(text):
+        ids, paragraphs = [], re.split(r"[.][ \n]+|\n\n+", text)
+        for paragraph in paragraphs:
+            atoms = [a.split() for a in paragraph.split("\n")]
+            at = 0
+            while at < len(atoms):
+                ends = [(j, i) for j in range(len(atoms), at, -1) for i, s in known.items() if s == " ".join(" ".join(a) for a in atoms[at:j])]
+                at = ends[0][0] if ends else at + 1
+                ids += [ends[0][1]] if ends else []
+        return ids
+
+    got = {r["n"]: r["known"] for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), known, [("A", ("a",))]).collect()}
+    assert got == {n: want(text) for n, text in enumerate(texts)}
+    assert sum(map(len, got.values())) > 200
+    assert scan_licenses(spark.createDataFrame([(1, "x y")], "n int, text string"), {}, [("A", ("a",))]).first()["licenses"] == []
