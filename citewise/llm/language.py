@@ -17,6 +17,7 @@ SAMPLE_TEXTS = 48  # expected texts that a language's sample takes a piece from
 PIECE = 1024  # characters of a piece
 LANE = 512  # characters that are parsed as one run
 SLICE_BYTES = 1 << 20
+LETTER = r"\p{L}"
 OTHER, GAP = 0, 1
 
 
@@ -25,15 +26,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def draw_sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, piece: int = PIECE) -> dict[str, str]:
-    """Text per language: one piece from a hash-chosen place of about ``texts`` hash-chosen texts, so the size is bounded."""
-    usable = labelled.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Text per language: one piece from a hash-chosen place of about ``texts`` hash-chosen distinct texts, so the size is bounded.
+
+    Copies of a text count once. A text without a letter is not usable; every language with a usable text gives a piece.
+    """
+    usable = labelled.select("text", "lang").filter(F.col("text").rlike(LETTER) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
+    keyed = usable.withColumns({"h": F.xxhash64("text"), "u": unit_hash("text", seed=5)})
+    distinct = keyed.groupBy("lang", "h").agg(F.min("u").alias("u"))
+    counts = {r["lang"]: (r["n"], r["least"]) for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("least")).collect()}
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, texts / n))])
+    # u is below the bound or equal to it, so that the text of the smallest u is always drawn
+    bound = F.create_map(*[F.lit(v) for lang, (n, least) in counts.items() for v in (lang, max(texts / n, least))])
     room = F.greatest(F.length("text") - piece, F.lit(0))
     cut = F.substring("text", (F.pmod(F.xxhash64(F.lit(7), "text"), room + 1) + 1).cast("int"), F.lit(piece))
-    drawn = usable.filter(unit_hash("text", seed=5) < F.element_at(rate, F.col("lang"))).select("lang", cut.alias("piece"), F.xxhash64("text").alias("h"))
+    lettered = F.when(cut.rlike(LETTER), cut).otherwise(F.regexp_extract("text", f"(?s){LETTER}.{{0,{piece - 1}}}", 0))
+    drawn = keyed.filter(F.col("u") <= F.element_at(bound, F.col("lang"))).select("lang", lettered.alias("piece"), "h")
     # many equal texts fall to one hash; equal pieces count once
     pieces: dict[str, set] = {}
     for r in drawn.distinct().orderBy("lang", "h").limit(4 * texts * len(counts)).collect():

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citewise.llm import repeats
-from citewise.llm.language import UNKNOWN, identify_language, suffix_automaton
+from citewise.llm.language import UNKNOWN, draw_sample, identify_language, suffix_automaton
 from citewise.llm.licenses import scan_licenses
 from citewise.llm.mixing import mix, mixing_plan
 from citewise.llm.near_duplicates import near_duplicates
@@ -428,3 +428,23 @@ def test_sentences_over_lines_against_brute_force(spark):
     assert got == {n: want(text) for n, text in enumerate(texts)}
     assert sum(map(len, got.values())) > 200
     assert scan_licenses(spark.createDataFrame([(1, "x y")], "n int, text string"), {}, [("A", ("a",))]).first()["licenses"] == []
+
+
+def test_language_of_mostly_copies(spark):
+    """A language whose rows are nearly all one text, or have few letters, keeps its pieces."""
+    rng = random.Random(4)
+    syllables = {"xx": ["ka", "lo", "mi", "ra"], "yy": ["sch", "ung", "pf", "ber"], "zz": ["quo", "vex", "jaw"]}
+    text = lambda lang, n=60: " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(n))
+    others = [text("xx") for _ in range(10)]
+    made = [(text("yy"), "yy") for _ in range(60)] + [(t, "xx") for t in others]
+    copied = spark.range(9990).select(F.lit(text("xx")).alias("text"), F.lit("xx").alias("lang"))
+    odd = [("12 34 %d" % i, "zz") for i in range(2000)] + [("1 " * 5000 + text("zz"), "zz"), ("12 !?", "none"), (None, "null"), ("", "empty"), ("abc", None), ("abc", UNKNOWN)]
+    labelled = spark.createDataFrame(made + odd, "text string, lang string").unionAll(copied)
+    sample = draw_sample(labelled)
+    assert sorted(sample) == ["xx", "yy", "zz"] and all(t in sample["xx"] for t in others)
+    assert any(c.isalpha() for c in sample["zz"])
+    few = draw_sample(spark.createDataFrame(made, "text string, lang string"), texts=1)
+    assert sorted(few) == ["xx", "yy"]
+    fresh = [(text(lang), lang) for lang in syllables for _ in range(20)]
+    got = identify_language(spark.createDataFrame(fresh, "text string, lang string"), labelled).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
