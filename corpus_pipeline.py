@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewise.llm.language import UNKNOWN, held_out, identify_language
+from citewise.llm.language import LETTER, UNKNOWN, held_out, identify_language
 from citewise.llm.mixing import mix
 from citewise.llm.near_duplicates import near_duplicates
 from citewise.llm.pieces import encode
@@ -16,17 +16,31 @@ NEAR_PERCENT = 80  # of the stage; the query op1 has a threshold of its own
 
 
 def with_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in a language that can be told; those without a letter go. lang becomes the predicted language."""
+    """Documents with a letter. lang becomes the predicted language; where nothing could be learnt it stays, or is "und"."""
     learnt = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    found = identify_language(docs, learnt).filter(F.col("lang_pred") != UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = identify_language(docs, learnt).filter((F.col("lang_pred") != UNKNOWN) | F.col("text").rlike(LETTER))
+    told = F.when(F.col("lang_pred") != UNKNOWN, F.col("lang_pred")).otherwise(F.coalesce("lang", F.lit(UNKNOWN)))
+    return found.withColumn("lang", told).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each near-duplicate component (similarity of 0.8 or more), the one with the smallest doc_id, once."""
-    judged = near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id").distinct()
-    named = docs.join(judged.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each near-duplicate component (similarity of 0.8 or more), the one with the smallest doc_id, once.
+
+    Different texts of one doc_id are different documents: where there are any, every (doc_id, text) is judged under
+    an id of its own, in the order of doc_id.
+    """
+    labelled = docs.withColumn("_label", F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = labelled.filter(F.col("doc_id").isNotNull())
+    pairs = settle(named.select("doc_id", "_label").distinct())
+    if pairs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept, key = near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id").distinct(), ["doc_id"]
+    else:
+        ids = settle(pairs.orderBy("doc_id", "_label").withColumn("_id", F.monotonically_increasing_id()))
+        own = settle(named.join(ids, ["doc_id", "_label"]).select(F.col("_id").alias("doc_id"), "text"))
+        judged = near_duplicates(own, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+        kept, key = ids.join(judged, "_id", "left_semi").select("doc_id", "_label"), ["doc_id", "_label"]
+    once = named.join(kept.filter(F.col("doc_id").isNotNull()), key, "left_semi").dropDuplicates(["doc_id", "_label"])
+    return once.drop("_label").unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

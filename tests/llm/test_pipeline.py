@@ -69,3 +69,20 @@ def test_stage_takes_near_duplicates_from_80_percent(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], SCHEMA)
     left = sorted(r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect())
     assert left == sorted(i for i in label if label[i] == i) == [0, 2, 3, 4]
+
+
+def test_texts_of_one_doc_id_are_documents(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    three, clean, other, last = text(), text(), text(), text()
+    made = [(3, three), (7, three + " more"), (7, clean), (7, clean), (8, other), (8, last), (9, clean), (2, last), (None, three)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in made], SCHEMA).repartition(3)
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([(2, last), (3, three), (7, clean), (8, other), (None, three)], key=str)
+
+
+def test_language_stage_keeps_letters_without_labels(spark):
+    made = [(1, "some words", None), (2, "12 34", None), (3, "more words", None), (4, None, None)]
+    docs = spark.createDataFrame([(i, t, lang, "a", 0) for i, t, lang in made], SCHEMA)
+    told = corpus_pipeline.with_language(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in told) == [(1, "und"), (3, "und")]
