@@ -211,7 +211,8 @@ def _ordered(unique: DataFrame) -> DataFrame:
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
-    """(repeat, length, doc_id, start): every maximal repeat of at least 50 bytes between different texts, with all its occurrences.
+    """(repeat, length, doc_id, start): every maximal repeat of at least 50 bytes between different texts, with all its occurrences
+    in the first copy of each text; occurrences in further exact copies are not listed.
 
     A repeat is maximal within the contexts of its anchor, so a long one is reported as a chain of overlapping ones.
     Anchors with more than SPLIT distinct contexts report every shared string of 50 bytes instead.
