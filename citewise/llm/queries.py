@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from citewise.llm import licenses
+from citewise.llm.collocations import collocations
 from citewise.llm.common import load
+from citewise.llm.divergence import source_divergence
+from citewise.llm.exact_duplicates import exact_duplicates
 from citewise.llm.language import held_out, identify_language
 from citewise.llm.licenses import scan_licenses
 from citewise.llm.mixing import mixing_plan
@@ -80,6 +83,21 @@ def op10_uniform_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return top_inner_products(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+def op11_extendible_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of equal texts of all documents and the row of each that stays."""
+    return exact_duplicates(load(spark, folder, "documents"))
+
+
+def op12_dominance_skyband(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of the sources of every language, and the first 200 terms that stand out in each."""
+    return source_divergence(load(spark, folder, "documents"))
+
+
+def op13_prefix_free_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return collocations(load(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The stages of corpus_pipeline, one after the other."""
     return corpus_pipeline.run(spark, folder)
@@ -89,7 +107,8 @@ Q = {
     f.__name__: f
     for f in (
         op1_hyperminhash, op2_sentencepiece, op3_maximal_repeats, op4_adaptive_scan, op5_mixing, op6_splitters,
-        op7_cross_parsing, op8_token_counts, op9_licenses, op10_uniform_threshold, pipeline,
+        op7_cross_parsing, op8_token_counts, op9_licenses, op10_uniform_threshold, op11_extendible_hash,
+        op12_dominance_skyband, op13_prefix_free_parsing, pipeline,
     )
 }
 
@@ -154,6 +173,82 @@ SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
 ) WHERE rank <= 5"""
 
-SQL = {"op5_mixing": _mixing_sql(), "op9_licenses": _licenses_sql(), "op10_uniform_threshold": TOP_SQL}
+EXACT_SQL = r"""
+WITH shaped AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM shaped WINDOW same AS (PARTITION BY t)"""
+
+DIVERGENCE_SQL = r"""
+WITH told AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+),
+said AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM told),
+kept AS (SELECT lang, term, count(*) AS total FROM said GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+held AS (SELECT lang, source, term, count(*) AS n FROM said SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, sum(n) AS n FROM held GROUP BY lang, source),
+every AS (
+  SELECT g.lang, g.source, coalesce(s.n, 0)::HUGEINT AS n, coalesce(l.v, 0)::HUGEINT AS v, coalesce(l.n, 0)::HUGEINT AS ln
+  FROM (SELECT DISTINCT lang, source FROM told) g LEFT JOIN sums s USING (lang, source) LEFT JOIN langs l USING (lang)
+),
+smooth AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(h.n, 0) + 1) // (g.n + g.v) AS p,
+         1 + 1000000000::HUGEINT * (k.total + 1) // (g.ln + g.v) AS q
+  FROM every g JOIN kept k USING (lang) LEFT JOIN held h USING (lang, source, term)
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM smooth a JOIN smooth b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, b.source, 0 FROM every a JOIN every b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0
+),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM smooth WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts
+) WHERE part = 'pair' OR rank <= 200"""
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+begun AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+said AS (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM begun, (VALUES (1), (2), (3)) AS sizes(size) WHERE i + size - 1 <= len(w)
+),
+counted AS (SELECT lang, size, phrase, count(*) AS f FROM said GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.size, k, x.f AS l, y.f AS r, 1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ')
+  JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')
+),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+  SELECT lang, part AS phrase, max(a) AS longer
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM candidates WHERE size = 3) GROUP BY ALL
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT q.lang, row_number() OVER (PARTITION BY q.lang ORDER BY score DESC, a DESC, q.phrase) AS rank, q.phrase, a, l, r, t.n, score::BIGINT AS score
+  FROM weakest q JOIN totals t ON t.lang = q.lang LEFT JOIN held h ON h.lang = q.lang AND h.phrase = q.phrase
+  WHERE q.size = 3 OR h.longer IS NULL OR 100 * h.longer < 50 * a
+) WHERE rank <= 2000"""
+
+SQL = {
+    "op5_mixing": _mixing_sql(), "op9_licenses": _licenses_sql(), "op10_uniform_threshold": TOP_SQL, "op11_extendible_hash": EXACT_SQL,
+    "op12_dominance_skyband": DIVERGENCE_SQL, "op13_prefix_free_parsing": COLLOCATION_SQL,
+}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
