@@ -1,11 +1,14 @@
 """User SQL over an allow-list of views, and a bulk audit of logged query texts.
 
-``scoped_sql`` asks Spark's own parser for the unresolved plan and accepts only read operators over one-part table
-names from the allow-list; the text is executed after that check. ``query_audit`` judges a whole log with expressions.
+``scoped_sql`` asks Spark's own parser for the unresolved plan and accepts only read operators, listed functions and
+one-part table names from the allow-list; anything that names a function or table at run time is refused. The text is
+executed after that check, over views that exist during its analysis only. ``query_audit`` judges a whole log with
+expressions.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 
@@ -27,8 +30,32 @@ READ_OPERATORS = frozenset({
 })
 WRAPPERS = frozenset({"GlobalLimit", "LocalLimit", "Offset", "Sort", "UnresolvedWith", "WithWindowDefinition"})
 SELECT_ROOTS = frozenset({"Aggregate", "Project", "UnresolvedHaving"})
-# Functions that call into the JVM or the host.
-UNSAFE_FUNCTIONS = frozenset({"java_method", "reflect", "try_reflect"})
+# Unresolved expressions that name nothing but columns of the query's own tables, or are checked by name.
+PLAIN_EXPRESSIONS = frozenset({
+    "UnresolvedAlias", "UnresolvedAttribute", "UnresolvedExtractValue", "UnresolvedFunction", "UnresolvedGenerator",
+    "UnresolvedNamedLambdaVariable", "UnresolvedOrdinal", "UnresolvedStar",
+})
+# Functions a query may call; none reaches the host, a file, the session or the JVM.
+FUNCTIONS = frozenset("""
+any any_value approx_count_distinct array_agg avg bit_and bit_or bit_xor bool_and bool_or collect_list collect_set corr count count_if
+covar_pop covar_samp every first grouping grouping_id kurtosis last listagg max max_by mean median min min_by mode percentile
+percentile_approx percentile_cont percentile_disc skewness some std stddev stddev_pop stddev_samp string_agg sum try_avg try_sum
+var_pop var_samp variance
+cume_dist dense_rank first_value lag last_value lead nth_value ntile percent_rank rank row_number
+abs acos asin atan atan2 bround cbrt ceil ceiling cos degrees div e exp floor greatest least ln log log10 log2 mod negative pi pmod
+positive pow power radians rint round sign signum sin sqrt tan try_add try_divide try_multiply try_subtract width_bucket
+ascii base64 bit_length btrim char char_length character_length chr concat concat_ws contains endswith format_number hex ilike initcap
+instr lcase left len length levenshtein like locate lower lpad ltrim md5 octet_length position regexp_count regexp_extract
+regexp_extract_all regexp_instr regexp_like regexp_replace regexp_substr replace reverse right rlike rpad rtrim sha2 split split_part
+startswith substr substring substring_index to_char to_number translate trim ucase unhex upper
+between case coalesce if ifnull in isnan isnotnull isnull not nullif nullifzero nvl nvl2 when zeroifnull
+add_months current_date current_timestamp date_add date_diff date_format date_from_unix_date date_part date_sub date_trunc dateadd
+datediff datepart day dayname dayofmonth dayofweek dayofyear extract from_unixtime hour last_day make_date minute month monthname
+months_between next_day now quarter second to_date to_timestamp trunc unix_date unix_timestamp weekday weekofyear year
+bigint binary boolean cast date decimal double float int smallint string timestamp tinyint try_to_date try_to_number try_to_timestamp
+array array_contains array_distinct array_join array_max array_min array_position array_size array_sort cardinality element_at explode
+explode_outer named_struct posexplode size slice sort_array struct
+""".split())
 
 
 class ScopedQueryError(ValueError):
@@ -54,14 +81,17 @@ def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def _inside(plan) -> Iterator:
-    """Every operator of a plan, subqueries and named CTE bodies included."""
-    yield plan
-    nested = [*_items(plan.children()), *_items(plan.subqueries())]
+def _inside(plan, named: frozenset[str] = frozenset()) -> Iterator[tuple]:
+    """Every operator of a plan with the subquery names in scope there, subqueries and named bodies included."""
+    yield plan, named
     if _name(plan) == "UnresolvedWith":
-        nested += _items(plan.innerChildren())
-    for child in nested:
-        yield from _inside(child)
+        if plan.allowRecursion():
+            raise ScopedQueryError("Statement contains a forbidden operation: recursion")
+        for relation in _items(plan.cteRelations()):
+            yield from _inside(relation._2(), named)
+            named = named | {relation._1().lower()}
+    for child in [*_items(plan.children()), *_items(plan.subqueries())]:
+        yield from _inside(child, named)
 
 
 def _expressions(plan) -> Iterator:
@@ -72,6 +102,16 @@ def _expressions(plan) -> Iterator:
         waiting += _items(expression.children())
 
 
+def _check_expression(expression) -> None:
+    kind, place = _name(expression), expression.getClass().getName()
+    if ".catalyst.expressions." not in place and kind not in PLAIN_EXPRESSIONS:
+        raise ScopedQueryError(f"Statement contains a forbidden operation: {kind}")
+    if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+        parts = _items(expression.nameParts()) if kind == "UnresolvedFunction" else [expression.name().unquotedString()]
+        if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
+            raise ScopedQueryError(f"Statement contains a forbidden operation: {'.'.join(parts)}")
+
+
 def _select_root(plan):
     while _name(plan) in WRAPPERS:
         plan = plan.children().apply(0)
@@ -90,35 +130,48 @@ def checked_tables(spark: SparkSession, sql: str, allowed: set[str]) -> list[str
             raise ScopedQueryError(f"Could not parse the query: {exc}") from exc
     if _name(_select_root(plan)) not in SELECT_ROOTS:
         raise ScopedQueryError("Only read-only SELECT statements are allowed.")
-    tables, defined = set(), set()
-    for node in _inside(plan):
+    tables, known = set(), set(allowed)
+    for node, named in _inside(plan):
         kind = _name(node)
         if kind not in READ_OPERATORS:
             raise ScopedQueryError(f"Statement contains a forbidden operation: {kind}")
-        if kind == "UnresolvedWith":
-            defined |= {_items(node.cteRelations())[i]._1() for i in range(node.cteRelations().size())}
         if kind == "UnresolvedRelation":
-            tables.add(".".join(_items(node.multipartIdentifier())))
+            parts = _items(node.multipartIdentifier())
+            if len(parts) > 1 or parts[0].lower() not in named:
+                tables.add(".".join(parts))
         for expression in _expressions(node):
-            if _name(expression) == "UnresolvedFunction":
-                function = _items(expression.nameParts())[-1].lower()
-                if function in UNSAFE_FUNCTIONS:
-                    raise ScopedQueryError(f"Statement contains a forbidden operation: {function}")
-    hidden = sorted(name for name in defined if spark.catalog.tableExists("`" + name.replace("`", "``") + "`"))
-    if hidden:  # out of the named subquery's scope the name would mean the table
-        raise ScopedQueryError(f"Named subqueries share their name with tables: {hidden}")
-    outside = tables - defined - set(allowed)
-    if outside:
+            _check_expression(expression)
+    if outside := tables - known:
         raise ScopedQueryError(f"Query references tables outside this session: {sorted(outside)}")
-    return sorted(tables - defined)
+    return sorted(tables)
+
+
+_VIEWS = threading.RLock()
+
+
+@contextmanager
+def _views(spark: SparkSession, views: Mapping[str, DataFrame]) -> Iterator[None]:
+    """The views for the time of one analysis; views of the session that had their names come back afterwards."""
+    with _VIEWS:
+        hidden = {t.name.lower(): spark.table(f"`{t.name}`") for t in spark.catalog.listTables() if t.isTemporary and t.name.lower() in {v.lower() for v in views}}
+        try:
+            for name, df in views.items():
+                df.createOrReplaceTempView(name)
+            yield
+        finally:
+            for name in views:
+                spark.catalog.dropTempView(name)
+            for name, df in hidden.items():
+                df.createOrReplaceTempView(name)
 
 
 def scoped_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], max_rows: int = MAX_ROWS) -> DataFrame:
-    """Run one checked SELECT over ``views`` (name -> DataFrame), at most ``max_rows`` rows."""
+    """Run one checked SELECT over ``views`` (name -> DataFrame), at most ``max_rows`` rows.
+
+    The session's own views and tables are neither seen nor changed by it.
+    """
     checked_tables(spark, sql, set(views))
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    with _double_quoted_names(spark):
+    with _views(spark, views), _double_quoted_names(spark):
         return spark.sql(sql.strip().rstrip(";").strip()).limit(max_rows)
 
 

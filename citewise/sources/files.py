@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citewise.functions.text import is_blank
 from citewise.plans.materialize import settle
+from citewise.sources.csv_scan import csv_records, record_cells
 
 # Accepted file types.
 DOCUMENT_TYPES = ("pdf", "docx", "pptx", "txt")
@@ -55,52 +56,27 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return text_units(named.withColumn("file_type", F.lit("txt")))
 
 
-def csv_columns(spark: SparkSession, path: str, multi_line: bool = True) -> int:
-    """Cells of the widest record: separators outside quotes, counted per line once quoted cells are taken out."""
-    bare = F.regexp_replace(F.col("value"), '"[^"]*+"', "")
-    commas = F.transform(F.split(bare, "\r\n|\n|\r"), lambda line: F.length(line) - F.length(F.replace(line, F.lit(","))))
-    return (spark.read.text(path, wholetext=multi_line).agg(F.max(F.array_max(commas))).first()[0] or 0) + 1
-
-
 def read_csv_grids(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV files as raw rows, no header assumed: (sheet_id, sheet_name, row_idx, cells, cell_types).
 
-    Every column of the widest record is read. A quoted cell may hold line breaks and doubled quotes; with
-    ``multi_line`` off each line is a record and one large file is cut into splits. Rows are numbered from their place in the split
-    plus the rows of earlier splits of the same file, so no file is sorted or gathered. Rows are written before they are
-    counted, so both steps see the same splits. Files without a record give no rows.
+    A sheet is as wide as its widest record up to the last cell with a value; shorter records are filled up with nulls.
+    Cells that stand for a missing value are null. With ``multi_line`` off no quoted cell runs over a line's end. Files
+    without a record give no rows. No file is read or numbered by one task (see csv_scan).
     """
-    columns = csv_columns(spark, path, multi_line)
-    schema = ",".join(f"_c{i} string" for i in range(columns))
-    reader = spark.read.schema(schema).option("header", False).option("escape", '"')
-    grid = reader.option("multiLine", multi_line).option("enforceSchema", True).csv(path)
     cell = lambda c: F.when(~c.isin(*MISSING_MARKS), c)
-    rows = settle(grid.select(
-        F.col("_metadata.file_path").alias("sheet_id"),
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("sheet_name"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_at"),
-        F.transform(F.array(*[f"_c{i}" for i in range(columns)]), cell).alias("_cells"),
-    ))
-    width = F.coalesce(F.array_max(F.transform("_cells", lambda c, i: F.when(c.isNotNull(), i + 1))), F.lit(0))
-    splits = rows.groupBy("sheet_id", "_split").agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.max(width).alias("_width")
-    )
-    earlier = Window.partitionBy("sheet_id").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("sheet_id")
-    placed = splits.select(
-        "sheet_id", "_split", "_first",
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        F.max("_width").over(whole).alias("_width"),
-    )
-    joined = rows.join(placed, ["sheet_id", "_split"])
-    cells = F.slice("_cells", F.lit(1), F.col("_width"))
-    return joined.select(
+    records = csv_records(spark, path, multi_line)
+    rows = settle(records.select("sheet_id", "sheet_name", "row_idx", F.transform(record_cells(F.col("record")), cell).alias("_cells")))
+    filled = F.coalesce(F.array_max(F.transform("_cells", lambda c, i: F.when(c.isNotNull(), i + 1))), F.lit(0))
+    widths = rows.groupBy("sheet_id").agg(F.max(filled).alias("_width"))
+    missing = F.array_repeat(F.lit(None).cast("string"), F.greatest(F.col("_width") - F.size("_cells"), F.lit(0)))
+    cells = F.slice(F.concat("_cells", missing), F.lit(1), F.col("_width"))
+    shaped = rows.join(widths, "sheet_id").select("sheet_id", "sheet_name", "row_idx", cells.alias("cells"))
+    return shaped.select(
         "sheet_id",
         F.when(F.col("sheet_name") == "", "Sheet1").otherwise(F.col("sheet_name")).alias("sheet_name"),
-        (F.col("_before") + F.col("_at") - F.col("_first")).alias("row_idx"),
-        cells.alias("cells"),
-        F.transform(cells, lambda _: F.lit("string")).alias("cell_types"),
+        "row_idx",
+        "cells",
+        F.transform("cells", lambda _: F.lit("string")).alias("cell_types"),
     )
 
 

@@ -12,7 +12,7 @@ from citewise.operators import profile, sheets
 from citewise.plans.answers import discover_sheets
 from citewise.plans.materialize import settle, shared_path
 from citewise.plans.scans import number_rows
-from citewise.sources.files import read_csv_grids
+from citewise.sources.files import read_csv_grids, read_sheet_grids
 from citewise.sources.tables import write_sheet_rows
 from suite.common import Registry, load, long, spread, top_k_sql, vectors_sql
 
@@ -161,6 +161,30 @@ def s2(spark, folder):
     return body.unionByName(header).select(F.array_join("cells", "|").alias("line"), F.array_join("cell_types", ",").alias("kinds"))
 
 
+@query(
+    "s2_quoted_cells",
+    """SELECT doc_id::VARCHAR AS doc, CASE WHEN text IN ('', 'NA', 'NULL', 'None', 'nan') THEN '~' ELSE md5(text) END AS text_md5, doc_id || '" pipe, ' || lang || '" x' AS stray, 4::BIGINT AS width
+FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT n_name, md5('line' || chr(13) || chr(10) || n_name || chr(13) || '"quoted"'), n_nationkey || '" pipe, n" x', 4 FROM nation""",
+)
+def s2_quoted(spark, folder):
+    """Whole texts as quoted cells with line breaks, commas and doubled quotes, beside quotes inside plain cells."""
+    held = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    stray = lambda n, lang: F.concat(n.cast("string"), F.lit('" pipe, '), lang, F.lit('" x'))
+    documents = load(spark, folder, "documents").filter(F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("string").alias("name"), F.col("text"), stray(F.col("doc_id"), F.col("lang")).alias("stray")
+    )
+    broken = F.concat(F.lit("line\r\n"), "n_name", F.lit('\r"quoted"'))
+    nations = load(spark, folder, "nation").select(F.col("n_name").alias("name"), broken.alias("text"), stray(F.col("n_nationkey"), F.lit("n")).alias("stray"))
+    path = shared_path(spark, "csv-quoted")
+    lines = documents.unionByName(nations).select(F.concat_ws(",", "name", held(F.col("text")), "stray", F.lit("")).alias("value"))
+    lines.write.text(path)
+    cells = F.col("cells")
+    grid = read_csv_grids(spark, path).withColumn("whole", F.concat_ws(",", F.slice(cells, 3, 2)))
+    md5 = F.when(cells[1].isNull(), "~").otherwise(F.md5(cells[1].cast("binary")))
+    return grid.select(cells[0].alias("doc"), md5.alias("text_md5"), F.col("whole").alias("stray"), long(F.size("cells")).alias("width"))
+
+
 PROFILED = {
     "part": "p_partkey", "customer": "c_custkey", "orders": "o_orderkey", "supplier": "s_suppkey", "nation": "n_nationkey",
     "region": "r_regionkey",
@@ -442,10 +466,12 @@ def f17(spark, folder):
     "UNION ALL SELECT 'supplier', count(*), 4 FROM supplier",
 )
 def s3(spark, folder):
-    """Several sheets in one raw table, each handled on its own."""
+    """Several sheets stored as one raw table and read back, each handled on its own."""
     parts = [
         sheets.table_as_raw_rows(load(spark, folder, t), F.lit(t), F.col(k))
         for t, k in (("nation", "n_nationkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey"))
     ]
-    raw = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    path = shared_path(spark, "sheet-grids")
+    parts[0].unionByName(parts[1]).unionByName(parts[2]).write.parquet(path)
+    raw = read_sheet_grids(spark, path)
     return raw.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("n"), long(F.max(F.size("cells"))).alias("width"))
