@@ -9,9 +9,11 @@ from citewise.operators import lifecycle as lc
 from citewise.operators.search import embed
 from citewise.plans.materialize import shared_path
 from citewise.sources import files as fl
+from citewise.sources import stores as st
 from citewise.sources import tables as tb
 from citewise.streaming.ingest import ingest_stream
-from suite.common import TABLES, Registry, load, long
+from citewise.streaming.ledger import committed, statuses
+from suite.common import TABLES, Registry, load, long, spread
 from suite.documents import corpus_chunks
 
 query = Registry()
@@ -255,6 +257,52 @@ def c12(spark, folder):
     )
 
 
+OWNED = st.Layout(("session_id",), ("session_id", "doc_id"), ("doc_id",), places=16, parts=4)
+
+
+@query(
+    "j9_stored_purge",
+    """WITH gone AS (SELECT source FROM documents GROUP BY 1 HAVING sum(n_chars) % 2 = 0 UNION ALL SELECT 'nobody'),
+kept AS (SELECT * FROM documents WHERE source NOT IN (SELECT source FROM gone))
+SELECT 'documents' AS table_name, source AS session_id, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS total, 0::BIGINT AS changed_again FROM kept GROUP BY 2
+UNION ALL SELECT 'labels', source, count(*), sum(quality), 0 FROM labels JOIN kept USING (doc_id) GROUP BY 2""",
+)
+def j9_stored(spark, folder):
+    """Stored tables after the purge of the sessions with an even number of characters; a second purge changes nothing."""
+    documents = load(spark, folder, "documents").select("doc_id", F.col("source").alias("session_id"), F.col("n_chars").alias("value"))
+    labels = load(spark, folder, "labels").join(documents.select("doc_id", "session_id"), "doc_id").select("doc_id", "session_id", F.col("quality").cast("bigint").alias("value"))
+    gone = documents.groupBy("session_id").agg(F.sum("value").alias("n")).filter(F.col("n") % 2 == 0).select("session_id")
+    gone = gone.unionByName(spark.range(1).select(F.lit("nobody").alias("session_id")))
+    counts = []
+    for name, table in (("documents", documents), ("labels", labels)):
+        path = shared_path(spark, f"owned-{name}")
+        st.replace_units(table, path, OWNED)
+        st.remove_owners(spark, path, OWNED, gone)
+        again = st.remove_owners(spark, path, OWNED, gone)
+        rows = st.stored(spark, path).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+        counts.append(rows.select(F.lit(name).alias("table_name"), "session_id", "n", "total", F.lit(again).cast("bigint").alias("changed_again")))
+    return counts[0].unionByName(counts[1])
+
+
+@query(
+    "c12_stored_purge",
+    """WITH s AS (SELECT c_custkey AS session_id, c_nationkey AS user_id FROM customer),
+req AS (SELECT DISTINCT user_id, event_id % 1500 AS session_id FROM events),
+owned AS (SELECT s.session_id FROM s JOIN req ON req.session_id = s.session_id AND req.user_id = s.user_id)
+SELECT o_orderpriority AS kind, count(*)::BIGINT AS files, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey NOT IN (SELECT session_id FROM owned) GROUP BY 1""",
+)
+def c12_stored(spark, folder):
+    """Orders as stored files of customers; deletion requests by their owners take the rows off the disk."""
+    sessions = load(spark, folder, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_nationkey").cast("bigint").alias("user_id"))
+    requests = load(spark, folder, "events").select("user_id", (F.col("event_id") % 1500).alias("session_id"))
+    files = load(spark, folder, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("doc_id"), "o_orderpriority", "o_totalprice")
+    path = shared_path(spark, "owned-files")
+    st.replace_units(files, path, OWNED)
+    st.remove_owners(spark, path, OWNED, lc.owned_requests(requests, sessions))
+    left = st.stored(spark, path).groupBy(F.col("o_orderpriority").alias("kind"))
+    return left.agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query(
     "j10_get_or_create",
     "SELECT c_name AS user_id FROM customer UNION SELECT DISTINCT 'Customer#' || lpad((user_id * 37)::VARCHAR, 9, '0') FROM events WHERE event_id % 13 <> 0",
@@ -334,19 +382,42 @@ def s8(spark, folder):
     return page.agg(F.count(F.lit(1)).alias("n"), F.lit(len(page.columns)).cast("bigint").alias("fields"))
 
 
+def whole_points(spark, folder):
+    """Documents as one point each, embedded on all cores before they are stored."""
+    docs = spread(load(spark, folder, "documents")).select(
+        F.lit("u").alias("user_id"), F.col("source").alias("session_id"), "doc_id", F.col("doc_id").alias("chunk_id"), "text"
+    )
+    return tb.as_points(embed(docs))
+
+
+@query(
+    "s7_replaced_points",
+    """SELECT source AS session_id, doc_id, CASE WHEN lang = 'en' THEN upper(source) ELSE md5(text) END AS held, 1::BIGINT AS points FROM documents""",
+)
+def s7_replaced(spark, folder):
+    """All documents stored, the same again, then the English ones with other texts: the newest write of each is left."""
+    path = shared_path(spark, "points-again")
+    points = whole_points(spark, folder).drop("vector")
+    st.replace_units(points, path, st.POINTS)
+    st.replace_units(points, path, st.POINTS)
+    english = load(spark, folder, "documents").filter(F.col("lang") == "en").select("doc_id")
+    changed = points.join(english, "doc_id", "left_semi").withColumn("text", F.upper("session_id"))
+    st.replace_units(changed, path, st.POINTS)
+    stored = st.stored(spark, path)
+    held = F.when(F.col("text") == F.upper("session_id"), F.col("text")).otherwise(F.md5(F.col("text").cast("binary")))
+    return stored.groupBy("session_id", "doc_id", held.alias("held")).agg(F.count(F.lit(1)).alias("points"))
+
+
 @query(
     "s7_point_write",
     """SELECT source AS session_id, count(*)::BIGINT AS points, 384::BIGINT AS dim,
 sum(CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0 THEN 1 ELSE 0 END)::BIGINT AS non_zero FROM documents GROUP BY 1""",
 )
 def s7(spark, folder):
-    """Documents with vectors appended to a point table by tenant and read back."""
-    docs = load(spark, folder, "documents").select(
-        F.lit("u").alias("user_id"), F.col("source").alias("session_id"), F.col("doc_id").alias("chunk_id"), "text"
-    )
+    """Documents with vectors stored in a point table and read back."""
     path = shared_path(spark, "points")
-    tb.write_points(tb.as_points(embed(docs)), path)
-    stored = spark.read.parquet(path)
+    st.replace_units(whole_points(spark, folder), path, st.POINTS)
+    stored = st.stored(spark, path)
     non_zero = F.exists("vector", lambda x: x != 0)
     return stored.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("points"), long(F.max(F.size("vector"))).alias("dim"), F.sum(non_zero.cast("bigint")).alias("non_zero")
@@ -376,6 +447,25 @@ def s9(spark, folder):
     )
 
 
+@query(
+    "s10_ingest_ledger",
+    r"""WITH judged AS (
+  SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'broken file' WHEN regexp_full_match(coalesce(text, ''), '[ \t\n\r\f\v]*') THEN 'The document holds' END AS problem FROM documents)
+SELECT doc_id::VARCHAR AS file_id, CASE WHEN problem IS NULL THEN 'ready' ELSE 'failed' END AS status, coalesce(problem, '') AS message, problem IS NULL AS visible FROM judged""",
+)
+def s10_ledger(spark, folder):
+    """Documents ingested as a stream with a ledger: the state of each, and whether readers see its chunks."""
+    target, state, inbox, ledger = (shared_path(spark, n) for n in ("ledger-points", "ledger-state", "ledger-inbox", "ledger"))
+    documents = load(spark, folder, "documents").select("doc_id", "text", "source")
+    documents.repartition(4, "doc_id").write.parquet(inbox)
+    broken = F.when(F.col("doc_id") % 10 == 3, "broken file")
+    ingest_stream(spark, inbox, documents.schema, target, state, lambda df: df.withColumn("error", broken), dim=16, files_per_batch=2, ledger=ledger)
+    seen = committed(spark.read.parquet(target), spark, ledger).select(F.col("doc_id").cast("string").alias("file_id"), F.lit(True).alias("seen")).distinct()
+    message = F.when(F.col("error_message").startswith("The document holds"), "The document holds").otherwise(F.coalesce("error_message", F.lit("")))
+    told = statuses(spark, ledger, documents.select(F.col("doc_id").alias("file_id")))
+    return told.join(seen, "file_id", "left").select("file_id", "status", message.alias("message"), F.coalesce("seen", F.lit(False)).alias("visible"))
+
+
 @query("s11_stream_ingest", "SELECT doc_id, TRUE AS has_chunks, 0::BIGINT AS difference FROM documents")
 def s11(spark, folder):
     """The whole corpus ingested as a stream; chunks per document against those of the batch."""

@@ -13,7 +13,7 @@ from citewise.plans.answers import discover_sheets
 from citewise.plans.materialize import settle, shared_path
 from citewise.plans.scans import number_rows
 from citewise.sources.files import read_csv_grids, read_sheet_grids
-from citewise.sources.tables import write_sheet_rows
+from citewise.sources.sheet_store import column_totals, read_sheets, stored_columns, write_sheets
 from suite.common import Registry, load, long, spread, top_k_sql, vectors_sql
 
 query = Registry()
@@ -134,15 +134,17 @@ SELECT 'nation_' || c_nationkey AS sheet_id, count(*)::BIGINT AS row_count, roun
        count(cells[3])::BIGINT AS segments FROM grid WHERE filled GROUP BY c_nationkey""",
 )
 def s6(spark, folder):
-    """Typed sheet rows written once, laid out by sheet, and read back."""
+    """Sheets stored as typed rows and read back: sums over the column of numbers, counts over that of texts."""
     path = shared_path(spark, "sheet-rows")
-    write_sheet_rows(nation_rows(spark, folder)[2], path)
-    stored = spark.read.schema("_row_id bigint, values array<string>, sheet_id string").parquet(path)
-    return stored.groupBy("sheet_id").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.round(F.sum(F.col("values")[3].cast("decimal(18,4)")).cast("double"), 2).alias("acct_bal"),
-        F.count(F.col("values")[2]).alias("segments"),
+    _, catalog, rows = nation_rows(spark, folder)
+    write_sheets(rows, catalog, path)
+    store, columns = read_sheets(spark, path), stored_columns(catalog)
+    totals = column_totals(store, columns.filter("col_idx = 3")).select("sheet_id", F.round(F.col("total").cast("double"), 2).alias("acct_bal"))
+    segment = columns.filter("col_idx = 2").select("sheet_id", "slot")
+    counts = store.join(segment, "sheet_id").groupBy("sheet_id").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count(F.get("texts", F.col("slot"))).alias("segments")
     )
+    return counts.join(totals, "sheet_id").select("sheet_id", "row_count", "acct_bal", "segments")
 
 
 @query(
