@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,7 +24,7 @@ def unit_hash(*columns: Column | str, seed: int = 0) -> Column:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str | None = None, max_bytes: int = 1 << 20
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, text: str | None = None, max_bytes: int = 1 << 20
 ) -> DataFrame:
     """Apply a function of one Arrow batch where the rows lie; with ``text``, of parts with about max_bytes of that column."""
 

@@ -1,30 +1,33 @@
 """SentencePiece encoding and decoding over a lattice of substrings joined to the piece table.
 
-Every distinct word of a batch is cut into its substrings of bounded length, the substrings are joined to the piece
-table by hash, and the edges of a word are folded into one segmentation. The model at hand is a merge (BPE) model, so
-the fold takes the best-scored edge that joins two neighbouring symbols, leftmost first, until none is left; a path
+The words that make up nearly all of the texts go through the relational lattice once (see lattice.py); their pieces, a
+bounded number, are sent to all tasks. One pass then writes every text as its words' pieces. Rare and very long words
+are folded in that pass, over the same lattice of substrings as arrays. The model at hand is a merge (BPE) model, so
+both folds take the best-scored edge that joins two neighbouring symbols, leftmost first, until none is left; a path
 of highest score sum would be a valid segmentation but not the one the model defines.
 """
 
 from __future__ import annotations
 
-import re
+import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from citewise.llm.common import map_batches
+from citewise.llm.common import map_batches, slices
+from citewise.llm.lattice import AT_ONCE, KNOWN, SPACE, Cuts, known_words, piece_frame
+from citewise.llm.spans import gather
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE = "▁"
-WORD = re.compile(r" *[^ ]+| +")
 NONE = np.int64(1) << 62
 CELLS = 1 << 20  # lattice cells held at once
-CACHED = 120_000  # words a worker remembers
-SLICE_BYTES = 1 << 20
+CACHED = 120_000  # rare words a worker remembers
+ARRAY_WORD = 512  # characters; longer words are folded by a queue of pairs
 DECODED_ROWS = 256
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,6 +48,7 @@ class Pieces:
         texts = [model.id_to_piece(i) for i in ids]
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.longest = max((len(texts[i]) for i in plain), default=1)
+        self.cuts = Cuts([texts[i] for i in plain])
         keys = np.array([self._hash_one(texts[i]) for i in plain], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain, np.int64)[order]
@@ -63,7 +67,9 @@ class Pieces:
         self.lengths = np.array([len(s) for s in spelled], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
-        self.known: dict[str, bytes] = {}
+        self.rows = [(texts[i], int(self.rank[i]), i) for i in plain]
+        self.by_text = {text: (rank, i) for text, rank, i in self.rows}
+        self.known: dict[str, np.ndarray] = {}
 
     @staticmethod
     def _hash_one(text: str) -> np.uint64:
@@ -128,14 +134,52 @@ class Pieces:
             pair[live[has], p[has]] = joined(live[has], p[has], e[has])
         return end
 
-    def encode_words(self, words: list[str]) -> None:
-        """Fill the memory with the ids of words, as int32 bytes."""
-        if len(self.known) > CACHED:
-            self.known.clear()
+    def fold_long(self, word: str) -> np.ndarray:
+        """Ids of one long word: a queue holds the pairs that join, the best and leftmost first."""
+        size = len(word)
+        end, before = list(range(1, size + 1)), list(range(-1, size))
+        queue: list[tuple[int, int, int, int]] = []
+
+        def offer(start: int, middle: int) -> None:
+            if start >= 0 and middle < size and end[middle] - start <= self.longest:
+                found = self.by_text.get(word[start : end[middle]])
+                if found:
+                    heapq.heappush(queue, (found[0], start, middle, end[middle]))
+
+        for i in range(size - 1):
+            offer(i, i + 1)
+        while queue:
+            _, start, middle, stop = heapq.heappop(queue)
+            if end[start] != middle or end[middle] != stop:
+                continue  # one of the two has been joined otherwise
+            end[start], end[middle] = stop, 0
+            if stop < size:
+                before[stop] = start
+            offer(before[start], start)
+            offer(start, stop)
+        ids: list[int] = []
+        at = 0
+        while at < size:
+            found = self.by_text.get(word[at : end[at]])
+            ids += [found[1]] if found else self.byte_ids[list(word[at : end[at]].encode())].tolist()
+            at = end[at]
+        return np.array(ids, np.int32)
+
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of every word, in arrays of words of one length at a time."""
         by_length: dict[int, list[str]] = {}
         for word in words:
-            by_length.setdefault(len(word), []).append(word)
+            if word not in self.known:
+                by_length.setdefault(len(word), []).append(word)
+        if len(self.known) + sum(map(len, by_length.values())) > CACHED:
+            self.known.clear()
+            by_length = {}
+            for word in words:
+                by_length.setdefault(len(word), []).append(word)
         for size, same in by_length.items():
+            if size > ARRAY_WORD:
+                self.known.update((word, self.fold_long(word)) for word in same)
+                continue
             step = max(1, CELLS // (size * min(self.longest, size)))
             for at in range(0, len(same), step):
                 some = same[at : at + step]
@@ -152,18 +196,8 @@ class Pieces:
                     if w in odd:
                         parts = [[i] if i >= 0 else self.byte_ids[list(word[s].encode())].tolist() for i, s in zip(own.tolist(), start[cuts[w] : cuts[w + 1]].tolist())]
                         own = np.array([i for part in parts for i in part], np.int32)
-                    self.known[word] = own.tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes | None]:
-        split = [None if t is None else WORD.findall(" " + t) if t else [] for t in texts]
-        split = [w if w is None else [x.replace(" ", SPACE) for x in w] for w in split]
-        new = {w for words in split if words for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-            new = {w for words in split if words for w in words}
-        self.encode_words(list(new))
-        look = self.known.__getitem__
-        return [None if words is None else b"".join(map(look, words)) for words in split]
+                    self.known[word] = own.copy()
+        return [self.known[word] for word in words]
 
     def decode(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
         flat = flat[(keep := (flat >= 0) & (flat < len(self.lengths)))]
@@ -182,38 +216,63 @@ def piece_table(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _extended(docs: DataFrame, drop: str, added: str, out_type: str, fn) -> DataFrame:
-    kept = docs.drop(drop)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, fn(batch)], [*batch.schema.names, added])
-
-    return map_batches(kept, run, f"{types}, `{added}` {out_type}", "text" if added == "pieces" else None, SLICE_BYTES)
+def _with(schema: T.StructType, added: str, out_type: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(added, out_type)])
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, most_known: int = KNOWN) -> DataFrame:
     """docs with pieces, the piece ids of every whole text.
 
     A null text has null pieces, an empty text none. A character without a piece becomes its bytes' pieces. Texts of
-    any length are cut into words only; a column named pieces is replaced. Repeated rows give equal rows.
+    any length are cut into words only, in parts of bounded size; a column named pieces is replaced, other columns stay
+    whatever their names. Repeated rows give equal rows, an empty table an empty one. At most ``most_known`` words are
+    sent to all tasks; the ids do not depend on it.
     """
-
-    def encoded(batch: pa.RecordBatch) -> pa.Array:
-        found = piece_table(model).encode(batch.column("text").to_pylist())
-        sizes = np.array([len(x) // 4 if x else 0 for x in found], np.int64)
-        flat = np.frombuffer(b"".join(x for x in found if x), np.int32)
-        mask = pa.array([x is None for x in found], pa.bool_())
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=mask)
-
-    return _extended(docs, "pieces", "pieces", "array<int>", encoded)
+    spark, table = docs.sparkSession, piece_table(model)
+    kept = docs.drop("pieces")
+    frame = piece_frame(spark, table.rows)
+    known = known_words(kept, frame, table.longest, table.byte_ids.tolist(), lambda: piece_table(model).cuts, most_known).toArrow()
+    word, ids = known.column("word").combine_chunks().cast(pa.large_string()), known.column("ids").combine_chunks()
+    sent = spark.sparkContext.broadcast((word, np.asarray(ids.flatten(), np.int32), np.asarray(ids.offsets, np.int64)))
+
+    def words_as_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        table = piece_table(model)
+        known, flat, borders = sent.value
+        found, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for words, row in table.cuts.of_texts(texts):
+            coded = words.dictionary_encode()
+            place = pc.index_in(coded.dictionary, value_set=known)
+            rare = np.flatnonzero(np.asarray(place.is_null()))
+            own = table.encode_words(coded.dictionary.take(pa.array(rare)).to_pylist())
+            lengths = np.array([len(x) for x in own], np.int64)
+            place = np.asarray(pc.fill_null(place, 0), np.int64)
+            place[rare] = len(known) + np.arange(len(rare))
+            first = np.concatenate([borders[:-1], len(flat) + np.cumsum(lengths) - lengths])
+            last = np.concatenate([borders[1:], len(flat) + np.cumsum(lengths)])
+            at = place[np.asarray(coded.indices, np.int64)]
+            found.append(gather(np.concatenate([flat, *own]), first[at], last[at])[0].astype(np.int32))
+            sizes += np.bincount(row, last[at] - first[at], len(texts)).astype(np.int64)
+        return np.concatenate(found), sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", AT_ONCE):
+                column = part.column("text")
+                flat, sizes = words_as_ids(column.to_pylist())
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                pieces = pa.ListArray.from_arrays(ends, pa.array(flat), mask=column.is_null())
+                yield pa.RecordBatch.from_arrays([*part.columns, pieces], [*part.schema.names, "pieces"])
+
+    return kept.mapInArrow(run, _with(kept.schema, "pieces", T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Rows with decoded, the text that their pieces spell; null pieces give null.
 
     Control ids, null ids and ids outside the model spell nothing; bytes that are no UTF-8 become U+FFFD. The space that encoding puts
-    before a text is taken off. A text comes back exactly unless it holds U+2581, which pieces use for the space.
+    before a text is taken off. A text comes back exactly unless it holds U+2581, which pieces use for the space. A column
+    named decoded is replaced, other columns stay whatever their names. An empty table gives an empty one.
     """
 
     def decoded(batch: pa.RecordBatch) -> pa.Array:
@@ -225,4 +284,9 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts += piece_table(model).decode(flat, np.cumsum(sizes))
         return pa.array([None if null else t for t, null in zip(texts, batch.column("pieces").is_null().to_pylist())], pa.string())
 
-    return _extended(encoded, "decoded", "decoded", "string", decoded)
+    kept = encoded.drop("decoded")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, decoded(batch)], [*batch.schema.names, "decoded"])
+
+    return map_batches(kept, run, _with(kept.schema, "decoded", T.StringType()))

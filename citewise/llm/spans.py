@@ -47,9 +47,12 @@ def gather(raw: np.ndarray, first: np.ndarray, last: np.ndarray, pad: int = 0) -
     sizes = last - first + pad
     borders = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=borders[1:])
-    places = np.arange(borders[-1], dtype=np.int64)
-    places += np.repeat(first - borders[:-1], sizes)
-    return raw[np.minimum(places, max(len(raw) - 1, 0))] if len(raw) else np.zeros(borders[-1], np.uint8), borders
+    if not len(raw):
+        return np.zeros(borders[-1], np.uint8), borders
+    kind = np.int32 if max(borders[-1], len(raw)) < 1 << 31 else np.int64
+    places = np.arange(borders[-1], dtype=kind)
+    places += np.repeat((first - borders[:-1]).astype(kind), sizes)
+    return raw.take(places, mode="clip"), borders
 
 
 def strings(data: np.ndarray, borders: np.ndarray) -> pa.Array:
