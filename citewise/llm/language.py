@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from citewise.llm.common import map_batches, unit_hash
+from citewise.llm.common import add_columns, by_parts, unit_hash
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 48  # expected texts that a language's sample takes a piece from
@@ -186,11 +187,11 @@ def identify_language(docs: DataFrame, labelled: DataFrame, texts: int = SAMPLE_
     """
     sample = tuple(sorted(draw_sample(labelled, texts).items()))
     kept = docs.drop("lang_pred", "score")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def label(part: pa.RecordBatch) -> pa.RecordBatch:
         langs, scores = predict(part.column("text").to_pylist(), parser(sample))
         names = [*part.schema.names, "lang_pred", "score"]
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    return map_batches(kept, label, f"{types}, lang_pred string, score double", "text", SLICE_BYTES)
+    return add_columns(kept, by_parts(label, "text", SLICE_BYTES), added)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewise.llm.common import WORD
+from citewise.llm.common import WORD, column, free_names, set_aside
 from citewise.plans.materialize import settle
 from citewise.plans.scans import number_rows
 
@@ -63,22 +63,21 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), ceiling: in
     Input columns named like the added ones are replaced. An empty table gives an empty one.
     """
     kept = docs.drop(*PLAN)
-    targets = source_targets(kept, word_count(F.col("text")), weights, ceiling).withColumnRenamed("source", "_source")
-    joined = kept.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    (own,) = free_names(kept, "plan_source")
+    targets = source_targets(kept, word_count(F.col("text")), weights, ceiling).withColumnRenamed("source", own)
+    joined = kept.join(targets, F.col("source").eqNullSafe(F.col(own))).drop(own)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     extra = (coin(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("int")
     return joined.select(
-        *[joined[c] for c in kept.columns],
+        *[column(c) for c in kept.columns],
         word_count(F.col("text")).alias("size"), "source_size", "target",
         (F.floor(rate) + extra).cast("int").alias("copies"),
     )
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), ceiling: int = 3, seed: int = 0) -> DataFrame:
-    """The mixed corpus: every document as often as its plan says, with the columns of docs."""
-    plan = mixing_plan(docs, weights, ceiling, seed).filter(F.col("copies") > 0)
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs_column(c) for c in docs.columns])
-
-
-def docs_column(name: str) -> Column:
-    return F.col(f"`{name}`")
+    """The mixed corpus: every document as often as its plan says, with the columns of docs, whatever their names."""
+    renamed, restore = set_aside(docs, PLAN)
+    plan = mixing_plan(renamed, weights, ceiling, seed).filter(F.col("copies") > 0)
+    (copy,) = free_names(plan, "copy")
+    return restore(plan.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from citewise.llm.common import map_batches, slices
+from citewise.llm.common import add_columns, by_parts, slices
 from citewise.llm.lattice import AT_ONCE, KNOWN, SPACE, Cuts, known_words, piece_frame
 from citewise.llm.spans import gather
 
@@ -216,10 +216,6 @@ def piece_table(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _with(schema: T.StructType, added: str, out_type: T.DataType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(added, out_type)])
-
-
 def encode(docs: DataFrame, model: str = MODEL, most_known: int = KNOWN) -> DataFrame:
     """docs with pieces, the piece ids of every whole text.
 
@@ -264,7 +260,7 @@ def encode(docs: DataFrame, model: str = MODEL, most_known: int = KNOWN) -> Data
                 pieces = pa.ListArray.from_arrays(ends, pa.array(flat), mask=column.is_null())
                 yield pa.RecordBatch.from_arrays([*part.columns, pieces], [*part.schema.names, "pieces"])
 
-    return kept.mapInArrow(run, _with(kept.schema, "pieces", T.ArrayType(T.IntegerType())))
+    return add_columns(kept, run, [T.StructField("pieces", T.ArrayType(T.IntegerType()))])
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -289,4 +285,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, decoded(batch)], [*batch.schema.names, "decoded"])
 
-    return map_batches(kept, run, _with(kept.schema, "decoded", T.StringType()))
+    return add_columns(kept, by_parts(run), [T.StructField("decoded", T.StringType())])

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewise.llm.common import map_batches, text_bytes
+from citewise.llm.common import column, free_names, map_batches, text_bytes
 from citewise.llm.shingles import mixed, powers, prefix_sums
 from citewise.plans.materialize import settle
 
@@ -352,17 +352,19 @@ def _judged(docs: DataFrame, spans: DataFrame, keep_bytes: bool) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of text; documents stay, also with nothing left.
 
-    A character that a removal cuts goes with it. All other columns are as they were.
+    A character that a removal cuts goes with it. All other columns are as they were, whatever their names. An empty
+    table gives an empty one.
     """
     judged = _judged(docs, repeated_spans(docs), True)
-    changed = settle(judged.filter(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), F.col("label").alias("_label"), "kept").distinct())
-    left = map_batches(changed, _as_text, "_id bigint, _label bigint, _kept string")
-    label = F.xxhash64(F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256))
-    keyed = docs.withColumn("_label2", label)
-    joined = keyed.join(left, (F.col("doc_id").cast("bigint") == F.col("_id")) & (F.col("_label2") == F.col("_label")), "left")
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    changed = settle(judged.filter(F.col("n_removed") > 0).select(F.col("doc_id").alias("id"), "label", "kept").distinct())
+    left = map_batches(changed, _as_text, "id bigint, label bigint, kept string")
+    id_, label, kept, own = free_names(docs, "id_of_text", "label_of_text", "kept_text", "own_label")
+    left = left.select(F.col("id").alias(id_), F.col("label").alias(label), F.col("kept").alias(kept))
+    keyed = docs.withColumn(own, F.xxhash64(F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)))
+    joined = keyed.join(left, (F.col("doc_id").cast("bigint") == F.col(id_)) & (F.col(own) == F.col(label)), "left")
+    return joined.withColumn("text", F.coalesce(kept, "text")).select(*[column(c) for c in docs.columns])
 
 
 def _as_text(batch: pa.RecordBatch) -> pa.RecordBatch:
     texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-    return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array(texts, pa.string())], ["_id", "_label", "_kept"])
+    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(texts, pa.string())], ["id", "label", "kept"])

@@ -8,7 +8,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewise.llm.common import unit_hash
+from citewise.llm.common import column, unit_hash
 from citewise.plans.materialize import settle
 
 KEY = ("_k1", "_k2", "_k3")
@@ -56,7 +56,7 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, per_range: int =
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.xxhash64(text).alias("_k1"),
             F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("_k2"),
-            F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_k3"),
+            F.xxhash64(*[column(c) for c in docs.columns]).alias("_k3"),
             *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry],
         )
     )

@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from citewise.llm.common import map_batches
 
@@ -17,11 +18,14 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("first_byte", "most_bytes", "shared")
 SECTION = re.compile(rb"[^\n]*(?:\n+|$)")
+# Fixed value: the characters that \s of the pattern means. Long runs are cut out before the pattern sees them, which would
+# go one level deeper for each of their characters.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str):
-    """(encoder, bytes of every token) of a rank file, once per worker."""
+    """(encoder of texts, encoder of one piece of the pattern, bytes of every token) of a rank file, once per worker."""
     import tiktoken
 
     with open(path, "rb") as lines:
@@ -29,7 +33,19 @@ def encoder(path: str):
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         lengths[rank] = len(token)
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+    text, piece = (tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("text", PATTERN), ("piece", r"[\s\S]+")))
+    return text, piece, lengths
+
+
+def encode_text(text: str, coder, piece_coder) -> list[int]:
+    """Tokens of a text. A run of white space is one piece up to its last character, which the pattern leaves to what
+    follows, so the text may be cut around long runs without a change of tokens."""
+    tokens, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        tokens += coder.encode_ordinary(text[at : run.start()]) + piece_coder.encode_ordinary(text[run.start() : stop])
+        at = stop
+    return tokens + coder.encode_ordinary(text[at:])
 
 
 def line_sections(raw: bytes) -> np.ndarray:
@@ -68,19 +84,22 @@ def section_tokens(docs: DataFrame, rule: str = "first_byte", vocabulary: str =
     Sections are lines with their line breaks, in bytes [start, stop); they cover the text. Token spans follow from
     the byte lengths of the tokens, since byte-level tokens spell the text exactly. ``rule`` says where a token across
     a border counts (see attribute); under "shared" n_tokens counts first bytes and share adds up to the token
-    count. A null or empty text has no sections and no rows. Repeated rows give repeated rows.
+    count. A null or empty text has no sections and no rows. Repeated rows give repeated rows. Texts of any length and
+    of any run of white space are encoded whole, a bounded number of bytes at a time unless one text is longer. Equal
+    halves of a token under "most_bytes" count in the earlier section. Other columns are not read, whatever their
+    names. An empty table gives an empty one.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder, lengths = encoder(vocabulary)
+        coder, piece_coder, lengths = encoder(vocabulary)
         out: list[list] = [[] for _ in range(7)]
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             if not text:
                 continue
             stops = line_sections(text.encode())
-            ends = np.cumsum(lengths[np.asarray(coder.encode_ordinary(text), np.int64)])
+            ends = np.cumsum(lengths[np.asarray(encode_text(text, coder, piece_coder), np.int64)])
             tokens, crossed, share = attribute(ends, stops, rule)
             starts = np.concatenate([[0], stops[:-1]])
             out[0].append(pa.array([doc_id] * len(stops), pa.int64()))
@@ -91,4 +110,4 @@ def section_tokens(docs: DataFrame, rule: str = "first_byte", vocabulary: str =
         return pa.RecordBatch.from_arrays([pa.concat_arrays(c) if c else pa.array([], t) for c, t in zip(out, types)], names)
 
     schema = "doc_id bigint, section bigint, start bigint, stop bigint, n_tokens bigint, n_crossing bigint, share double"
-    return map_batches(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text"), count, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), count, schema, "text")
