@@ -21,7 +21,8 @@ from citewise.llm.spans import LOWER, byte_class, gather, larger_batches, segmen
 from citewise.plans.materialize import settle
 
 OUTSIDE = byte_class((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))  # bytes that no term has
-AT_ONCE = 4 << 20  # bytes of text that a task holds as arrays
+AT_ONCE = 2 << 20  # bytes of text that a task holds as arrays
+ROWS_AT_ONCE = 50_000
 TERMS_AT_ONCE = 50_000  # kept terms of a language in one task
 CELLS_AT_ONCE = 1 << 21  # counts of terms x sources held as one array
 BLOCK = 1024
@@ -30,24 +31,31 @@ FAN = 16  # skybands merged in one task
 SCALE = 1_000_000_000
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order that sorts the keys, first place of every run of equal keys in it)."""
-    order = np.argsort(keys, kind="stable")
-    own = keys[order]
-    return order, np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-
-
-def _row_terms(raw: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> pa.Table:
-    """(row, term, n): occurrences of every term of every text."""
-    raw = LOWER[raw]
-    first, last = word_spans(~OUTSIDE[raw], starts)
-    coded = strings(*gather(raw, first, last)).dictionary_encode()
-    code, size = np.asarray(coded.indices, np.int64), max(len(coded.dictionary), 1)
-    keys = rows[np.searchsorted(starts, first, side="right") - 1] * size + code if len(first) else code
-    order, heads = _runs(keys) if len(keys) else (code, code)
-    counts = np.diff(np.append(heads, len(keys)))
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """First place of every run of equal keys."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _counted(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, then for each group and term: the group, place of the term, occurrences, texts that hold it); group is each text's."""
+    words, rows = [], []
+    for part, begun, row in segments(raw, starts, ends, OUTSIDE, AT_ONCE):
+        part = LOWER[part]
+        first, last = word_spans(~OUTSIDE[part], begun)
+        words.append(strings(*gather(part, first, last)))
+        rows.append(row[np.searchsorted(begun, first, side="right") - 1])
+    coded = pa.chunked_array(words, pa.large_string()).combine_chunks().dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    keys = np.concatenate([*rows, np.zeros(0, np.int64)]) * size + np.asarray(coded.indices, np.int64)
+    keys.sort()
+    heads = _heads(keys)
+    occurs, row, code = np.diff(np.append(heads, len(keys))), keys[heads] // size, keys[heads] % size
+    keys = group[row] * size + code
+    order = np.argsort(keys)
+    heads = _heads(keys[order])
     own = keys[order][heads]
-    return pa.table({"row": own // size, "term": coded.dictionary.take(pa.array(own % size)), "n": counts})
+    summed = np.add.reduceat(occurs[order], heads) if len(heads) else occurs
+    return coded.dictionary, own // size, own % size, summed, np.diff(np.append(heads, len(keys)))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -56,18 +64,16 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in larger_batches(batches, AT_ONCE):
             for part in slices(batch, "text", AT_ONCE):
-                raw, starts, ends = text_bytes(part.column("text"))
-                found = [_row_terms(piece, begun, rows) for piece, begun, rows in segments(raw, starts, ends, OUTSIDE, AT_ONCE)]
-                if not found:
-                    continue
-                table = pa.concat_tables(found)
-                if len(found) > 1:  # a text longer than a segment
-                    table = table.group_by(["row", "term"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
-                groups = {name: part.column(name).take(table.column("row").combine_chunks()) for name in ("lang", "source")}
-                grouped = pa.table({**groups, "term": table.column("term"), "n": table.column("n")}).group_by(["lang", "source", "term"])
-                summed = grouped.aggregate([("n", "sum"), ("n", "count")]).select(["lang", "source", "term", "n_sum", "n_count"])
-                summed = summed.rename_columns(["lang", "source", "term", "n", "docs"])
-                yield from summed.set_column(2, "term", summed.column("term").cast(pa.string())).to_batches(max_chunksize=50_000)
+                lang, source = (part.column(name).dictionary_encode() for name in ("lang", "source"))
+                sources = len(source.dictionary)
+                group = np.asarray(lang.indices, np.int64) * sources + np.asarray(source.indices, np.int64)
+                terms, own, code, n, docs = _counted(*text_bytes(part.column("text")), group)
+                for at in range(0, len(own), ROWS_AT_ONCE):
+                    here = slice(at, at + ROWS_AT_ONCE)
+                    yield pa.record_batch({
+                        "lang": lang.dictionary.take(pa.array(own[here] // sources)), "source": source.dictionary.take(pa.array(own[here] % sources)),
+                        "term": terms.take(pa.array(code[here])).cast(pa.string()), "n": n[here], "docs": docs[here],
+                    })
 
     found = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -144,7 +150,8 @@ def _compared(k: int):
             one, other = np.divmod(np.arange(sums.size), len(sources))
             apart = np.flatnonzero(one != other)
             out.append(_part("pair", sources.take(pa.array(one[apart])), sources.take(pa.array(other[apart])), sums.ravel()[apart], np.zeros(len(apart), np.int64)))
-            order, heads = _runs(column)
+            order = np.argsort(column, kind="stable")
+            heads = _heads(column[order])
             for g, own in zip(column[order][heads].tolist(), np.split(order, heads[1:])):
                 best = own[skyband(n[own], total[row[own]], row[own], k)]
                 out.append(_part("term", pa.repeat(sources[g], len(best)), term.take(pa.array(row[best])), n[best], total[row[best]]))
@@ -190,7 +197,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, first: int = 200) ->
     a language keeps those of at least least_docs of its rows, every row being a document, repeated ones too. A group or
     language with N occurrences of V kept terms gives a term p = 1 + floor(10^9 * (count + 1) / (N + V)). Equal values
     stand by item in byte order. Groups without text or terms take part with count 0; without kept terms values are 0 and
-    there are no terms. Texts of any length are read whole, 4 MB at a time. Work is the number of kept terms times the
+    there are no terms. Texts of any length are read whole, 2 MB at a time. Work is the number of kept terms times the
     square of the number of sources of a language, as its result has that many pairs. Other columns are not read,
     whatever their names. An empty table gives an empty result.
     """

@@ -147,18 +147,19 @@ def test_source_divergence_in_many_parts(docs, rows, monkeypatch):
     assert table(source_divergence(docs, least_docs=2, first=3)) == divergence_by_hand(rows, 2, 3)
 
 
-def test_segments_of_long_texts():
+def test_segments_of_long_texts(monkeypatch):
+    monkeypatch.setattr(divergence, "AT_ONCE", 64)
     raw = np.frombuffer(b"ab, cd ef. " * 50 + b"x" * 300 + b" y", np.uint8)
     starts, ends = np.array([0, 0, 100, 550]), np.array([0, 100, 550, len(raw)])
     parts = list(divergence.segments(raw, starts, ends, divergence.OUTSIDE, 64))
     assert b"".join(p.tobytes() for p, _, _ in parts) == raw.tobytes() and len(parts) > 8
-    found = Counter()
-    for part, begun, rows in parts:
-        t = divergence._row_terms(part, begun, rows)
-        for r, w, n in zip(t["row"].to_pylist(), t["term"].to_pylist(), t["n"].to_pylist()):
-            found[(r, w)] += n
-    want = Counter((r, w) for r in range(4) for w in re.findall("[a-z]+", raw.tobytes()[starts[r] : ends[r]].decode()))
-    assert found == want
+    terms, group, code, n, docs = divergence._counted(raw, starts, ends, np.array([0, 0, 1, 0]))
+    found = {(g, terms[c].as_py()): (k, d) for g, c, k, d in zip(group.tolist(), code.tolist(), n.tolist(), docs.tolist())}
+    want = defaultdict(lambda: [0, 0])
+    for g, a, b in zip((0, 0, 1, 0), starts, ends):
+        for w, k in Counter(re.findall("[a-z]+", raw.tobytes()[a:b].decode())).items():
+            want[(g, w)] = [want[(g, w)][0] + k, want[(g, w)][1] + 1]
+    assert found == {k: tuple(v) for k, v in want.items()}
 
 
 @pytest.mark.parametrize("k", [1, 3, 200])
