@@ -26,7 +26,9 @@ LONGEST = 3  # words of a phrase
 OVERLAP = LONGEST - 1
 EVERY = 8  # a word pair in so many begins a chunk
 STRETCH = 4096  # words after which a chunk without a trigger is cut
-AT_ONCE = 4 << 20  # bytes of text or of chunks that a task holds as arrays
+AT_ONCE = 3_500_000  # bytes of text or of chunks that a task holds as arrays
+ROWS_AT_ONCE = 50_000
+BANDS = 64  # bands of scores for every doubling
 SIEVE_BITS = 1 << 27  # the largest sieve, 16 MB
 PAIR = np.array([0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x9FB21C651E98DF25], np.uint64)
 
@@ -89,22 +91,30 @@ def dictionary(docs: DataFrame) -> DataFrame:
                     found = _chunks(piece, begun)
                     if found is not None:
                         chunk, edges, own, text = found
-                        table = pa.table({"lang": part.column("lang").take(pa.array(rows[text])), "chunk": strings(chunk, edges), "own": own.astype(np.int32)})
-                        yield from counted(table.append_column("n", pa.repeat(pa.scalar(1, pa.int64()), len(own))), ["lang", "chunk", "own"])
+                        lang = part.column("lang").take(pa.array(rows[text]))
+                        yield from counted(lang, "chunk", strings(chunk, edges), np.ones(len(own), np.int64), own)
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     parsed = texts.mapInArrow(parse, "lang string, chunk string, own int, n bigint")
     return settle(parsed.groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n")))
 
 
-def counted(table: pa.Table, keys: list[str]) -> list[pa.RecordBatch]:
-    """Rows of one batch with equal keys as one, their n added."""
-    summed = table.group_by(keys).aggregate([("n", "sum")])
-    summed = summed.select([*keys, "n_sum"]).rename_columns([*keys, "n"])
-    for at, name in enumerate(keys):
-        if pa.types.is_large_string(summed.schema.field(name).type):
-            summed = summed.set_column(at, name, summed.column(name).cast(pa.string()))
-    return summed.to_batches(max_chunksize=50_000)
+def counted(lang: pa.Array, name: str, text: pa.Array, n: np.ndarray, own: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of one batch with the same language, text and own words as one, their n added."""
+    langs, texts = lang.dictionary_encode(), text.dictionary_encode()
+    most = int(own.max()) + 1 if own is not None and len(own) else 1
+    keys = np.asarray(langs.indices, np.int64) * max(len(texts.dictionary), 1) + np.asarray(texts.indices, np.int64)
+    keys = keys * most + own if own is not None else keys
+    order = np.argsort(keys)
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else keys
+    keys, sums = keys[heads], np.add.reduceat(n[order], heads) if len(heads) else n
+    for at in range(0, len(keys), ROWS_AT_ONCE):
+        some = keys[at : at + ROWS_AT_ONCE]
+        place, code = np.divmod(some // most, max(len(texts.dictionary), 1))
+        out = {"lang": langs.dictionary.take(pa.array(place)), name: texts.dictionary.take(pa.array(code)).cast(pa.string())}
+        out |= {"own": (some % most).astype(np.int32)} if own is not None else {}
+        yield pa.record_batch({**out, "n": sums[at : at + ROWS_AT_ONCE]})
 
 
 def phrase_counts(chunks: DataFrame, size: int, sieve: Callable[[], np.ndarray] | None = None) -> DataFrame:
@@ -137,8 +147,7 @@ def phrase_counts(chunks: DataFrame, size: int, sieve: Callable[[], np.ndarray]
             if len(at):
                 phrase, edges = gather(data, borders[at], borders[at + size] - 1)
                 rows = pa.array(chunk[at])
-                table = pa.table({"lang": batch.column("lang").take(rows), "phrase": strings(phrase, edges), "n": batch.column("n").take(rows)})
-                yield from counted(table, ["lang", "phrase"])
+                yield from counted(batch.column("lang").take(rows), "phrase", strings(phrase, edges), np.asarray(batch.column("n"), np.int64)[chunk[at]])
 
     found = chunks.mapInArrow(count, "lang string, phrase string, n bigint")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -245,6 +254,23 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, inside_per
         "lang", "phrase", "a", F.when(early, F.col("l1")).otherwise(F.col("l2")).alias("l"),
         F.when(early, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.least("s1", "s2").alias("score"),
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= first)
+    ranked = first_by_score(settle(two.unionByName(three)), first)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def first_by_score(scored: DataFrame, first: int) -> DataFrame:
+    """The first rows of every language with their rank, by score, occurrences and phrase.
+
+    Counts by band of scores tell below which band no row can be among the first; the rest is cut to the first of every
+    part of a language before the parts are ranked together, so no task ranks a whole language.
+    """
+    banded = scored.withColumn("band", F.floor(F.log2(F.col("score") + 1) * BANDS).cast("int"))
+    bands = banded.groupBy("lang", "band").agg(F.count("*").alias("rows"))
+    down = Window.partitionBy("lang").orderBy(F.desc("band"))
+    above = bands.withColumn("above", F.sum("rows").over(down) - F.col("rows")).filter(F.col("above") < first)
+    least = settle(above.groupBy("lang").agg(F.min("band").alias("least")))
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    near = banded.join(least, "lang").filter(F.col("band") >= F.col("least")).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(32)))
+    part = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= first)
+    whole = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint"))
+    return whole.filter(F.col("rank") <= first)
