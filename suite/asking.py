@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citewise.functions import questions as qs
 from citewise.functions.text import cell_text, normalize
-from citewise.operators import intents, profile, sheets
+from citewise.operators import breakdowns, intents, profile, sheets
 from citewise.operators.rerank import rerank_by_model
 from citewise.operators.results import render_result
 from citewise.operators.scoped_sql import query_audit, scoped_sql
@@ -73,6 +73,94 @@ def p6(spark, folder):
     return kept.agg(F.count(F.lit(1)).alias("n"), double(F.sum(F.col("o_totalprice").cast(MONEY))).alias("total"))
 
 
+ORDER_COLUMNS = ["status", "priority", "ordered", "price"]
+TRIMMED = "regexp_replace(regexp_replace(CAST({0} AS VARCHAR), '0+$', ''), '\\.$', '')"
+RANGED_SQL = f"""
+WITH d AS (SELECT o_orderkey, o_orderkey % 6 AS kind, o_orderdate::DATE AS day, o_orderstatus, o_totalprice::DECIMAL(18,4) AS price FROM orders),
+asked AS (
+  SELECT o_orderkey AS question_id, kind, CASE kind WHEN 0 THEN date_trunc('month', day) WHEN 2 THEN date_trunc('quarter', day) WHEN 3 THEN date_trunc('year', day) ELSE day END::DATE AS s,
+    CASE kind WHEN 0 THEN date_trunc('month', day) + INTERVAL 1 MONTH WHEN 1 THEN day + INTERVAL 10 DAY WHEN 2 THEN date_trunc('quarter', day) + INTERVAL 3 MONTH
+      WHEN 3 THEN date_trunc('year', day) + INTERVAL 1 YEAR WHEN 4 THEN DATE '9999-12-31' ELSE day + INTERVAL 1 DAY END::DATE AS e,
+    CASE WHEN kind IN (3, 5) THEN o_orderstatus END AS status
+  FROM d
+),
+spans AS (SELECT DISTINCT s, e, status FROM asked),
+found AS (
+  SELECT p.s, p.e, p.status, count(d.day) AS n, sum(d.price) AS total, avg(d.price) AS mean
+  FROM spans p LEFT JOIN d ON d.day >= p.s AND d.day < p.e AND (p.status IS NULL OR d.o_orderstatus = p.status) GROUP BY ALL
+)
+SELECT question_id, CASE WHEN kind = 2 THEN n::VARCHAR WHEN n = 0 THEN 'None' WHEN kind IN (1, 4) THEN {TRIMMED.format('CAST(mean AS DECIMAL(38,4))')} ELSE {TRIMMED.format('total')} END AS value,
+  'WHERE "ordered" >= ''' || a.s || ''' AND "ordered" < ''' || a.e || '''' || CASE kind WHEN 3 THEN ' AND LOWER("status") = LOWER(''' || lower(a.status) || ''')' WHEN 5 THEN ' AND "status" = ''' || a.status || '''' ELSE '' END AS condition
+FROM asked a JOIN found f ON f.s = a.s AND f.e = a.e AND f.status IS NOT DISTINCT FROM a.status"""
+
+
+def order_sheet(spark, folder):
+    """(sheets, catalog, typed rows) of one sheet made from orders: status, priority, ordered, price."""
+    orders = load(spark, folder, "orders")
+    cells = F.array("o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("string"), F.col("o_totalprice").cast("string"))
+    body = orders.select(
+        F.lit("orders").alias("sheet_id"), F.col("o_orderkey").alias("row_idx"), cells.alias("cells"),
+        F.array(*[F.lit(k) for k in ("string", "string", "date", "number")]).alias("cell_types"),
+    )
+    sizes = body.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("row_count"))
+    columns = sizes.select("sheet_id", F.posexplode(F.array(*[F.lit(c) for c in ORDER_COLUMNS])).alias("col_idx", "column_name"))
+    catalog = settle(profile.profile_columns(sheets.long_cells(spread(body)), columns, sizes))
+    listed = sizes.select("sheet_id", F.lit("s").alias("session_id"), F.lit("xlsx_orders").alias("table_name"), F.lit(0).alias("sheet_order"))
+    return listed, catalog, sheets.typed_rows(body, catalog)
+
+
+@query("p6_ranged_questions", RANGED_SQL)
+def p6_ranged(spark, folder):
+    """A question about a span of time from every order: months, quarters, years, days, spans of days, open ends."""
+    day, month = F.col("o_orderdate").cast("date"), F.date_format("o_orderdate", "MMMM yyyy")
+    iso, year = day.cast("string"), F.year(day).cast("string")
+    texts = [
+        F.concat(F.lit("What was the total price in "), month, F.lit("?")),
+        F.concat(F.lit("average price between "), iso, F.lit(" and "), F.date_add(day, 9).cast("string")),
+        F.concat(F.lit("How many orders in Q"), F.quarter(day).cast("string"), F.lit(" "), year, F.lit("?")),
+        F.concat(F.lit("total price in "), year, F.lit(" where status = "), F.lower("o_orderstatus")),
+        F.concat(F.lit("Mean price since "), iso),
+        F.concat(F.lit("Sum of price on "), iso, F.lit(" where status = '"), "o_orderstatus", F.lit("'")),
+    ]
+    kind = (F.col("o_orderkey") % 6 + 1).cast("int")
+    asked = load(spark, folder, "orders").select(F.col("o_orderkey").alias("question_id"), F.element_at(F.array(*texts), kind).alias("question"), F.lit("s").alias("session_id"))
+    answered = breakdowns.ranged_answers(asked, *order_sheet(spark, folder))
+    return answered.select("question_id", "value", F.regexp_extract("sql", "(WHERE .*)$", 1).alias("condition"))
+
+
+GROUPED_SQL = f"""
+WITH p AS (SELECT p_partkey, p_partkey % 7 AS n, p_type AS kind, 'B' || substr(p_brand, 7) AS brand, p_size AS size, p_retailprice::DECIMAL(18,4) AS price FROM part),
+lines AS (
+  SELECT n, 0 AS ask, brand || ', ' || count(*) AS line, row_number() OVER (PARTITION BY n ORDER BY brand) AS r, 'brand, count' AS header FROM p GROUP BY n, brand
+  UNION ALL SELECT n, 1, brand || ', ' || size || ', ' || {TRIMMED.format('sum(price)')}, row_number() OVER (PARTITION BY n ORDER BY brand, size), 'brand, size, sum_price' FROM p GROUP BY n, brand, size
+  UNION ALL SELECT n, 2, kind || ', ' || {TRIMMED.format('CAST(avg(price) AS DECIMAL(38,4))')}, row_number() OVER (PARTITION BY n ORDER BY kind), 'kind, avg_price' FROM p GROUP BY n, kind
+  UNION ALL SELECT n, 3, size || ', ' || brand || ', ' || count(*), row_number() OVER (PARTITION BY n ORDER BY size, brand), 'size, brand, count' FROM p GROUP BY n, size, brand
+  UNION ALL SELECT n, 4, kind || ', ' || sum(size), row_number() OVER (PARTITION BY n ORDER BY kind), 'kind, sum_size' FROM p GROUP BY n, kind
+),
+texts AS (
+  SELECT n, ask, least(max(r), 500) AS row_count, 'Database result:' || chr(10) || any_value(header) || chr(10) || string_agg(line, chr(10) ORDER BY r) FILTER (r <= 20)
+    || CASE WHEN max(r) > 20 THEN ' (+' || (least(max(r), 500) - 20) || ' more rows)' ELSE '' END AS body
+  FROM lines GROUP BY n, ask
+)
+SELECT p_partkey AS question_id, row_count::BIGINT AS row_count, body FROM p JOIN texts t ON t.n = p.n AND t.ask = p_partkey % 5"""
+
+
+@query("a3_grouped_questions", GROUPED_SQL)
+def a3_grouped(spark, folder):
+    """Counts, sums and averages by one and two columns, asked once for every part over seven sheets."""
+    texts = [
+        "How many parts by brand?", "What is the total price broken down by brand and size?", "average price per kind",
+        "number of parts for each size and brand", "Sum of size grouped by kind.",
+    ]
+    sheet = F.concat(F.lit("p"), (F.col("p_partkey") % 7).cast("string"))
+    listed, catalog, rows = part_sheets(spark, folder, sheet, sheet)
+    asked = load(spark, folder, "part").select(
+        F.col("p_partkey").alias("question_id"), sheet.alias("session_id"), F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % 5 + 1).cast("int")).alias("question")
+    )
+    answered = breakdowns.grouped_answers(asked, listed, catalog, rows)
+    return answered.select("question_id", "row_count", F.regexp_extract("context", r"(?s)(Database result:.*)$", 1).alias("body"))
+
+
 @query("t4_row_cap", "SELECT least(count(*), 500)::BIGINT AS n FROM orders")
 def t4(spark, folder):
     """A query without a limit of its own returns at most the capped number of rows."""
@@ -338,8 +426,7 @@ def part_sheets(spark, folder, sheet_id, session_id):
 
     Catalog and rows are written once, as they would be stored after ingest.
     """
-    source = load(spark, folder, "part").filter(sheet_id.isNotNull())
-    part = source.select(
+    part = load(spark, folder, "part").select(
         sheet_id.alias("sheet_id"), session_id.alias("session_id"), F.col("p_partkey").alias("row_idx"),
         F.array(
             F.col("p_type"), F.concat(F.lit("B"), F.substring("p_brand", 7, 10)), F.col("p_size").cast("string"),
@@ -426,10 +513,11 @@ def f24(spark, folder):
     )
 
 
-# Whole answers: sessions are document sources; the parts are dealt over the sessions, each third of which has no sheet.
+# Whole answers: sessions are document sources; all parts are dealt over the sheets of two sessions in three, the others have none.
 ANSWERS_SQL = f"""
 WITH {QUESTIONS_SQL}, {INTENTS_SQL},
 sessions AS (SELECT DISTINCT source AS session_id, CAST(substr(source, 4) AS BIGINT) AS n FROM documents),
+dealt AS (SELECT *, p_partkey % 20 + CASE WHEN p_partkey % 20 % 3 = 0 THEN 1 ELSE 0 END AS n FROM part),
 answered AS (
   SELECT q.question_id, CASE
       WHEN aggregate = 'COUNT_DISTINCT' THEN d.brands::VARCHAR
@@ -438,8 +526,8 @@ answered AS (
       WHEN aggregate = 'SUM' THEN coalesce(regexp_replace(regexp_replace(CAST(s.total AS VARCHAR), '0+$', ''), '\\.$', ''), 'None')
       ELSE coalesce(regexp_replace(regexp_replace(CAST(CAST(s.mean AS DECIMAL(38,4)) AS VARCHAR), '0+$', ''), '\\.$', ''), 'None') END AS value
   FROM queries q
-  LEFT JOIN (SELECT p_partkey % 20 AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1) d ON d.n = q.question_id % 20
-  LEFT JOIN (SELECT p_partkey % 20 AS n, p_type, sum(p_retailprice::DECIMAL(18,4)) AS total, avg(p_retailprice::DECIMAL(18,4)) AS mean FROM part GROUP BY 1, 2) s
+  LEFT JOIN (SELECT n, count(DISTINCT p_brand) AS brands FROM dealt GROUP BY 1) d ON d.n = q.question_id % 20
+  LEFT JOIN (SELECT n, p_type, sum(p_retailprice::DECIMAL(18,4)) AS total, avg(p_retailprice::DECIMAL(18,4)) AS mean FROM dealt GROUP BY 1, 2) s
     ON s.n = q.question_id % 20 AND s.p_type = q.filter_value
 ),
 placed AS (
@@ -482,8 +570,8 @@ def c11(spark, folder):
     files = load(spark, folder, "documents").select(
         F.col("doc_id").alias("file_id"), F.col("source").alias("session_id"), F.lit("txt").alias("file_type"), F.lit("ready").alias("status")
     )
-    number = (F.col("p_partkey") % 20).cast("string")
-    session = F.when(F.col("p_partkey") % 20 % 3 != 0, F.concat(F.lit("src"), number))
+    number = F.col("p_partkey") % 20
+    session = F.concat(F.lit("src"), (number + F.when(number % 3 == 0, 1).otherwise(0)).cast("string"))
     listed, catalog, rows = part_sheets(spark, folder, F.concat(session, F.lit("/parts")), session)
     asked = part_questions(spark, folder).select(
         "question_id", "question", F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string")).alias("session_id"), owner.alias("user_id")
