@@ -14,13 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citewise.functions.text import let
 from citewise.llm.common import slices
 from citewise.llm.spans import larger_batches, strings
 from citewise.plans.materialize import settle
 
 SPACE = "▁"
 LONGEST_WORD = 48  # characters of a word whose symbol borders fit the bits of one number
-KNOWN = 1 << 18  # words that are folded once and sent to all tasks
+KNOWN = 1 << 17  # words that are folded once and sent to all tasks
 AT_ONCE = 2 << 20  # bytes of text that a task holds as arrays
 PART = 1 << 20  # characters of a long text that are cut at a time
 
@@ -137,37 +138,36 @@ def folded(lattice: DataFrame, byte_ids: list[int]) -> DataFrame:
     """(word, ids): the edges of each word folded into one segmentation.
 
     The state is a number whose bits are the starts of symbols. A step takes the best-ranked edge, leftmost first, that
-    joins exactly two symbols; edges are sorted so, and a word has at most as many steps as characters.
+    joins exactly two symbols; edges are sorted so, and a word has at most as many steps as borders inside. An edge
+    brings its own bits: ``ends`` where it begins and ends, ``inner`` between them.
     """
-    edge = F.struct("rank", "start", "length", "id")
-    per_word = lattice.groupBy("word", "size").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-
-    def joins(e: Column, state: Column) -> Column:
-        inner = state.bitwiseAND(_bit(e["start"] + e["length"]) - _bit(e["start"] + 1))
-        borders = _bit(e["start"]).bitwiseOR(_bit(e["start"] + e["length"]))
-        return (e["length"] > 1) & (F.bit_count(inner) == 1) & (state.bitwiseAND(borders) == borders)
+    start, stop = F.col("start"), F.col("start") + F.col("length")
+    masked = lattice.withColumn("ends", _bit(start).bitwiseOR(_bit(stop))).withColumn("inner", _bit(stop) - _bit(start + 1))
+    join = F.when(F.col("length") > 1, F.struct("rank", "start", "ends", "inner"))
+    spell = F.when(F.col("length") > 0, F.struct("ends", "id"))
+    per_word = masked.groupBy("word", "size").agg(F.sort_array(F.collect_list(join)).alias("joins"), F.collect_list(spell).alias("spelled"))
 
     def step(state: Column, _: Column) -> Column:
-        best = F.slice(F.filter("edges", lambda e: joins(e, state)), F.lit(1), F.lit(1))
-        without = F.transform(best, lambda e: state.bitwiseAND(F.bitwise_not(_bit(e["start"] + e["length"]) - _bit(e["start"] + 1))))
-        return F.coalesce(F.get(without, 0), state)
+        fits = F.filter("joins", lambda e: (F.bit_count(state.bitwiseAND(e["inner"])) == 1) & (state.bitwiseAND(e["ends"]) == e["ends"]))
+        return F.coalesce(state.bitwiseAND(F.bitwise_not(F.get(fits, 0)["inner"])), state)
 
     everywhere = _bit(F.col("size") + 1) - 1
-    state = F.aggregate(F.sequence(F.lit(1), F.col("size")), everywhere, step)
-    starts = F.filter(F.sequence(F.lit(0), F.col("size")), lambda i: F.col("state").bitwiseAND(_bit(i)) != 0)
-    spelled = F.array(*[F.lit(i) for i in byte_ids])
-
-    def ids(start: Column, at: Column) -> Column:
-        length = F.get("starts", at + 1) - start
-        found = F.filter("edges", lambda e: (e["start"] == start) & (e["length"] == length))
-        raw = F.hex(F.encode(F.substring(F.col("word"), start + 1, length), "utf-8"))
+    steps = F.slice(F.sequence(F.lit(0), F.col("size")), F.lit(1), F.least(F.col("size") - 1, F.size("joins")))
+    bytes_ = F.array(*[F.lit(i) for i in byte_ids])
+
+    def ids(start: Column, stop: Column) -> Column:
+        found = F.filter("spelled", lambda e: e["ends"] == _bit(start).bitwiseOR(_bit(stop)))
+        raw = F.hex(F.encode(F.substring(F.col("word"), start + 1, stop - start), "utf-8"))
         places = F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int"))
-        each = F.transform(places, lambda b: F.get(spelled, F.conv(F.substring(raw, b * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+        each = F.transform(places, lambda b: F.get(bytes_, F.conv(F.substring(raw, b * 2 + 1, F.lit(2)), 16, 10).cast("int")))
         return F.when(F.size(found) > 0, F.transform(found, lambda e: e["id"])).otherwise(each)
 
-    symbols = F.transform(F.slice("starts", F.lit(1), F.size("starts") - 1), ids)
-    kept = per_word.withColumn("state", state).withColumn("starts", starts)
-    return kept.select("word", F.flatten(symbols).alias("ids"))
+    def symbols(starts: Column) -> Column:
+        return F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda start, at: ids(start, F.get(starts, at + 1)))
+
+    # let: the fold is worked out once, not once for every place that its result is compared with
+    starts = let(F.aggregate(steps, everywhere, step), lambda state: F.filter(F.sequence(F.lit(0), F.col("size")), lambda i: state.bitwiseAND(_bit(i)) != 0))
+    return per_word.select("word", F.flatten(let(starts, symbols)).alias("ids"))
 
 
 def known_words(texts: DataFrame, pieces: DataFrame, longest: int, byte_ids: list[int], cuts, most: int = KNOWN) -> DataFrame:

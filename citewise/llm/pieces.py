@@ -216,8 +216,8 @@ def piece_table(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, model: str = MODEL, most_known: int = KNOWN) -> DataFrame:
-    """docs with pieces, the piece ids of every whole text.
+def encode(docs: DataFrame, model: str = MODEL, most_known: int = KNOWN, with_decoded: bool = False) -> DataFrame:
+    """docs with pieces, the piece ids of every whole text; ``with_decoded`` adds decoded, the text they spell, in the same pass.
 
     A null text has null pieces, an empty text none. A character without a piece becomes its bytes' pieces. Texts of
     any length are cut into words only, in parts of bounded size; a column named pieces is replaced, other columns stay
@@ -225,7 +225,7 @@ def encode(docs: DataFrame, model: str = MODEL, most_known: int = KNOWN) -> Data
     sent to all tasks; the ids do not depend on it.
     """
     spark, table = docs.sparkSession, piece_table(model)
-    kept = docs.drop("pieces")
+    kept = docs.drop("pieces", *(["decoded"] if with_decoded else []))
     frame = piece_frame(spark, table.rows)
     known = known_words(kept, frame, table.longest, table.byte_ids.tolist(), lambda: piece_table(model).cuts, most_known).toArrow()
     word, ids = known.column("word").combine_chunks().cast(pa.large_string()), known.column("ids").combine_chunks()
@@ -258,9 +258,11 @@ def encode(docs: DataFrame, model: str = MODEL, most_known: int = KNOWN) -> Data
                 flat, sizes = words_as_ids(column.to_pylist())
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 pieces = pa.ListArray.from_arrays(ends, pa.array(flat), mask=column.is_null())
-                yield pa.RecordBatch.from_arrays([*part.columns, pieces], [*part.schema.names, "pieces"])
+                made = [pieces, spelled(pieces, piece_table(model))] if with_decoded else [pieces]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *["pieces", "decoded"][: len(made)]])
 
-    return add_columns(kept, run, [T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    added = [T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return add_columns(kept, run, added[: 1 + with_decoded])
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -271,18 +273,19 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     named decoded is replaced, other columns stay whatever their names. An empty table gives an empty one.
     """
 
-    def decoded(batch: pa.RecordBatch) -> pa.Array:
-        texts: list[str] = []
-        for at in range(0, batch.num_rows, DECODED_ROWS):
-            column = batch.column("pieces").slice(at, DECODED_ROWS)
-            sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
-            flat = np.asarray(pc.fill_null(column.flatten(), -1), np.int64)
-            texts += piece_table(model).decode(flat, np.cumsum(sizes))
-        return pa.array([None if null else t for t, null in zip(texts, batch.column("pieces").is_null().to_pylist())], pa.string())
-
     kept = encoded.drop("decoded")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, decoded(batch)], [*batch.schema.names, "decoded"])
+        return pa.RecordBatch.from_arrays([*batch.columns, spelled(batch.column("pieces"), piece_table(model))], [*batch.schema.names, "decoded"])
 
     return add_columns(kept, by_parts(run), [T.StructField("decoded", T.StringType())])
+
+
+def spelled(pieces: pa.Array, table: Pieces) -> pa.Array:
+    """The text of every row of ids."""
+    texts: list[str] = []
+    for at in range(0, len(pieces), DECODED_ROWS):
+        column = pieces.slice(at, DECODED_ROWS)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+        texts += table.decode(np.asarray(pc.fill_null(column.flatten(), -1), np.int64), np.cumsum(sizes))
+    return pa.array([None if null else t for t, null in zip(texts, pieces.is_null().to_pylist())], pa.string())

@@ -16,7 +16,7 @@ from citewise.llm.licenses import scan_licenses
 from citewise.llm.mixing import mixing_plan
 from citewise.llm.near_duplicates import near_duplicates
 from citewise.llm.neighbours import nearest
-from citewise.llm.pieces import decode, encode
+from citewise.llm.pieces import encode
 from citewise.llm.repeats import remove_repeats
 from citewise.llm.sharding import shard
 from citewise.llm.tokens import section_tokens
@@ -30,7 +30,7 @@ def op1_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every whole text, a hash of their ids, and whether they spell the text again."""
-    coded = decode(encode(load(spark, folder, "documents").select("doc_id", "text")))
+    coded = encode(load(spark, folder, "documents").select("doc_id", "text"), with_decoded=True)
     same = F.coalesce(F.col("text"), F.lit("")) == F.coalesce(F.col("decoded"), F.lit(""))
     pieces = F.coalesce(F.col("pieces"), F.array().cast("array<int>"))
     return coded.select("doc_id", F.size(pieces).cast("bigint").alias("n_pieces"), F.xxhash64(pieces).alias("pieces_hash"), same.alias("round_trip"))

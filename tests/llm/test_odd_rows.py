@@ -116,7 +116,8 @@ def test_lattice_of_frequent_words_and_rare_ones_agree(spark):
     texts += ["the of and " * 50, "x" * 3000, "ab" * 900 + "日" * 40, " " * 70, "a" * 48 + " " + "a" * 49 + " b", None, ""]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
     for most in (0, 300, 1 << 18):
-        for r in encode(docs, most_known=most).collect():
+        for r in encode(docs, most_known=most, with_decoded=True).collect():
+            assert r["decoded"] == r["text"]
             assert r["pieces"] == (None if r["text"] is None else library.encode(r["text"])), (most, r["text"][:50])
 
 
