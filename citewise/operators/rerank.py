@@ -17,13 +17,17 @@ def rank_and_filter(
     score_margin: float | None = None,
     score: str = "score",
     index: str = "idx",
+    failed: str | None = None,
 ) -> DataFrame:
     """Best first (ties by ``index``); the absolute floor applies before the margin below the best survivor.
 
+    Where the column ``failed`` is true, scores do not count: rows stand by ``index`` and no filter applies.
+
     The filters come after the cut to ``top_n``, which they cannot change: what they drop ranks last. So every task
     forwards at most ``top_n`` rows per question, and a costly score is not evaluated again in a filter pushed below.
     """
-    order = Window.partitionBy("question_id").orderBy(F.desc_nulls_last(score), index)
+    counts = F.when(~F.col(failed), F.col(score)) if failed else F.col(score)
+    order = Window.partitionBy("question_id").orderBy(F.desc_nulls_last(counts), index)
     ranked = scored.withColumn("final_rank", F.row_number().over(order)).filter(F.col("final_rank") <= top_n)
     keep = F.col(score).isNotNull()
     if min_score is not None:
@@ -31,7 +35,7 @@ def rank_and_filter(
     if score_margin is not None:
         ranked = ranked.withColumn("_best", F.max(score).over(Window.partitionBy("question_id")))
         keep = keep & (F.col(score) >= F.col("_best") - F.lit(score_margin))
-    return ranked.filter(keep).drop("_best")
+    return ranked.filter(F.col(failed) | keep if failed else keep).drop("_best")
 
 
 def rerank_by_overlap(candidates: DataFrame, top_n: int = KEPT, question: str = "question", text: str = "text") -> DataFrame:
@@ -41,9 +45,15 @@ def rerank_by_overlap(candidates: DataFrame, top_n: int = KEPT, question: str =
 
 
 def rerank_by_model(candidates: DataFrame, scorer, top_n: int = KEPT, **limits) -> DataFrame:
-    """``scorer(question, text) -> Column`` (usually a pandas UDF over pairs) gives the relevance."""
+    """``scorer(question, text) -> Column`` (usually a pandas UDF over pairs) gives the relevance.
+
+    A question with a candidate that has no relevance (the scorer failed on it) keeps the order of retrieval, cut to
+    ``top_n`` and not filtered: a better order is worth nothing if it costs the answer.
+    """
     scored = candidates.withColumn("relevance", scorer(F.col("question"), F.col("text")).cast("double"))
-    return rank_and_filter(scored, top_n, score="relevance", index="rank", **limits)
+    missing = F.max(F.col("relevance").isNull()).over(Window.partitionBy("question_id"))
+    judged = scored.withColumn("_failed", missing)
+    return rank_and_filter(judged, top_n, score="relevance", index="rank", failed="_failed", **limits).drop("_failed")
 
 
 def gather_by_order(candidates: DataFrame, verdicts: DataFrame, top_n: int = KEPT) -> DataFrame:

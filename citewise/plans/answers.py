@@ -120,5 +120,9 @@ def answer_questions(
     context = join_evidence(F.col("context"), F.col("_result"))
     sources = join_sources(F.col("sources"), F.col("_cited"))
     gathered = joined.withColumn("context", context).withColumn("sources", sources).drop("_result", "_cited")
-    reply = generator(F.col("question"), F.col("context"), F.col("question_type")) if generator else extract_answer(F.col("context"))
-    return gathered.withColumn("answer", reply)
+    stated = extract_answer(F.col("context"))
+    if generator is None:
+        return gathered.withColumn("answer", stated)
+    # a reply that could not be made gives way to what the evidence states
+    replied = gathered.withColumn("answer", generator(F.col("question"), F.col("context"), F.col("question_type")))
+    return replied.withColumn("answer", F.coalesce("answer", stated))

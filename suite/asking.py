@@ -608,6 +608,26 @@ def d2(spark, folder):
     return kept.select("question_id", "turn", long("final_rank").alias("final_rank"))
 
 
+@query(
+    "d2_failing_scorer",
+    """WITH n AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, bool_or(length(text) % 11 = 3) OVER (PARTITION BY conv_id) AS failed FROM conversations)
+SELECT conv_id AS question_id, turn, r::BIGINT AS final_rank FROM (
+  SELECT conv_id, turn, failed, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN NOT failed THEN length(text) END DESC NULLS LAST, turn) AS r FROM n
+) WHERE r <= 5 AND (failed OR size >= 100)""",
+)
+def d2_failing(spark, folder):
+    """A scorer that raises on some passages: their questions keep the order of retrieval, all others are reranked."""
+    turns = load(spark, folder, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn"), F.col("turn").alias("rank"), F.col("role").alias("question"), "text")
+
+    def score(pairs):
+        if any(len(passage) % 11 == 3 for _, passage in pairs):
+            raise RuntimeError("no score")
+        return [len(passage) for _, passage in pairs]
+
+    kept = rerank_by_model(turns, relevance_scorer(score, attempts=1), min_score=100)
+    return kept.select("question_id", "turn", long("final_rank").alias("final_rank"))
+
+
 @query(
     "d3_generator_plugin",
     "SELECT conv_id, turn, length('Route: SEMANTIC' || chr(10) || 'Found:' || chr(10) || text || chr(10) || chr(10) || 'Asked: ' || role || chr(10) || 'Reply:')::VARCHAR AS reply FROM conversations",
