@@ -293,6 +293,82 @@ def a15(spark, folder):
     return units.select(F.col("slide_number").alias("doc_id"), F.col("slide_title").alias("title"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+# The packing rule in SQL: a text longer than a chunk is cut before every paragraph break; pieces of a chunk or more are cut again
+# before every line break, then before every blank, then anywhere. Neighbouring pieces below the limit form a run, and a run is
+# packed from left to right, each chunk reaching back at most the overlap.
+BREAKS = ("chr(10) || chr(10)", "chr(10)", "' '")
+
+
+def _level_sql(level: int, mark: str, size: int) -> str:
+    """Segments that hold the mark fall into pieces; pieces that are still too long stay open for the next level."""
+    return f"""
+split{level} AS (
+  SELECT o.doc_id, o.low, o.high, string_split(substr(b.body, o.low + 1, o.high - o.low), {mark}) AS parts
+  FROM open{level - 1} o JOIN bodies b USING (doc_id)
+),
+edged{level} AS (
+  SELECT doc_id, low, high, list_distinct([low] || list_transform(range(1, len(parts)), lambda i:
+      low + list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length({mark})) || [high]) AS edges
+  FROM split{level} WHERE len(parts) > 1
+),
+pieces{level} AS (
+  SELECT doc_id, low, i, edges[i]::BIGINT AS a, edges[i + 1]::BIGINT AS b
+  FROM (SELECT doc_id, low, list_sort(edges) AS edges, unnest(range(1, len(edges))) AS i FROM edged{level})
+),
+runs{level} AS (
+  SELECT doc_id, list(a ORDER BY i) || [max(b)] AS cuts
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, low ORDER BY i) AS run FROM pieces{level} WHERE b - a < {size}) GROUP BY doc_id, low, run
+),
+open{level} AS (
+  SELECT doc_id, a AS low, b AS high FROM pieces{level} WHERE b - a >= {size}
+  UNION ALL SELECT doc_id, low, high FROM split{level} WHERE len(parts) = 1
+)"""
+
+
+def chunks_sql(size: int = 1200, overlap: int = 200) -> str:
+    """CTEs ``bodies`` (doc_id, body) and ``chunks`` (doc_id, chunk_index, chunk, a, b) of documents; the WITH has to be RECURSIVE."""
+    levels = ",".join(_level_sql(i, mark, size) for i, mark in enumerate(BREAKS, 1))
+    return f"""
+bodies AS (SELECT doc_id, text AS body FROM documents WHERE trim(text, E' \\t\\n\\r') <> ''),
+open0 AS (SELECT doc_id, 0::BIGINT AS low, length(body)::BIGINT AS high FROM bodies WHERE length(body) > {size}),{levels},
+runs AS (
+  SELECT doc_id, cuts FROM runs1 UNION ALL SELECT doc_id, cuts FROM runs2 UNION ALL SELECT doc_id, cuts FROM runs3
+  UNION ALL SELECT doc_id, range(low, high + 1) FROM open3
+),
+packed AS (
+  SELECT doc_id, cuts, cuts[1] AS a, list_max(list_filter(cuts, lambda c: c <= cuts[1] + {size})) AS b FROM runs
+  UNION ALL
+  SELECT doc_id, cuts, a, list_max(list_filter(cuts, lambda c: c <= a + {size})) AS b FROM (
+    SELECT doc_id, cuts, list_min(list_filter(cuts, lambda c: c >= greatest(b - {overlap}, list_min(list_filter(cuts, lambda d: d > b)) - {size}))) AS a
+    FROM packed WHERE b < cuts[len(cuts)])
+),
+numbered AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS chunk_index, chunk
+  FROM (SELECT p.doc_id, a, trim(substr(body, a + 1, b - a), E' \\t\\n\\r') AS chunk FROM packed p JOIN bodies USING (doc_id)) WHERE chunk <> ''
+),
+placed AS (
+  SELECT n.doc_id, chunk_index, chunk, (strpos(body, chunk) - 1)::BIGINT AS a FROM numbered n JOIN bodies USING (doc_id) WHERE chunk_index = 0
+  UNION ALL
+  SELECT n.doc_id, n.chunk_index, n.chunk, (p.back + strpos(substr(body, p.back + 1), n.chunk) - 1)::BIGINT
+  FROM (SELECT doc_id, chunk_index, greatest(0, a + length(chunk) - {overlap}) AS back FROM placed) p
+  JOIN numbered n ON n.doc_id = p.doc_id AND n.chunk_index = p.chunk_index + 1 JOIN bodies b ON b.doc_id = n.doc_id
+),
+chunks AS (
+  SELECT doc_id, chunk_index::BIGINT AS chunk_index, chunk, a, (a + length(chunk))::BIGINT AS b FROM placed
+  UNION ALL SELECT doc_id, 0, trim(body, E' \\t\\n\\r'), 0, length(body) FROM bodies WHERE length(body) <= {size}
+)"""
+
+
+def _line_breaks(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, chr(10), '')))"
+
+
+C1_SQL = f"""WITH RECURSIVE {chunks_sql()}
+SELECT c.doc_id, chunk_index, a AS char_start, b AS char_end, (1 + {_line_breaks('substr(body, 1, a)')})::BIGINT AS line_start,
+  (1 + {_line_breaks('substr(body, 1, greatest(b - 1, a))')})::BIGINT AS line_end, md5(chunk) AS text_md5
+FROM chunks c JOIN bodies USING (doc_id)"""
+
+
 def corpus_chunks(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select(
         "doc_id", "text", "source", F.concat("source", F.lit(".txt")).alias("filename"), F.lit("txt").alias("file_type")
@@ -353,7 +429,7 @@ def c1_invariants(spark, folder):
     )
 
 
-@query("c1_chunks")
+@query("c1_chunks", C1_SQL)
 def c1(spark, folder):
     chunks = corpus_chunks(spark, folder)
     return chunks.select(
@@ -385,6 +461,6 @@ def w9_totals(spark, folder):
     )
 
 
-@query("a13_chunk_counts")
+@query("a13_chunk_counts", f"WITH RECURSIVE {chunks_sql()} SELECT doc_id, count(*)::BIGINT AS chunks FROM chunks GROUP BY 1")
 def a13(spark, folder):
     return corpus_chunks(spark, folder).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
