@@ -22,8 +22,8 @@ from citewise.plans.materialize import settle
 SPACE = "▁"
 LONGEST_WORD = 48  # characters of a word whose symbol borders fit the bits of one number
 KNOWN = 1 << 17  # words that are folded once and sent to all tasks
-AT_ONCE = 2 << 20  # bytes of text that a task holds as arrays
-PART = 1 << 20  # characters of a long text that are cut at a time
+AT_ONCE = 1 << 20  # bytes of text that a task holds as arrays
+PART = 1 << 19  # characters of a long text that are cut at a time
 
 
 class Cuts:
@@ -180,4 +180,5 @@ def known_words(texts: DataFrame, pieces: DataFrame, longest: int, byte_ids: lis
 
 def piece_frame(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
     """(piece, rank, id) of the model's table."""
-    return spark.createDataFrame(rows, "piece string, rank int, id int")
+    pieces, ranks, ids = zip(*rows)
+    return spark.createDataFrame(pa.table({"piece": pa.array(pieces), "rank": pa.array(ranks, pa.int32()), "id": pa.array(ids, pa.int32())}))
