@@ -5,7 +5,7 @@ A question keeps only a handful of chunks, so the merge is a fold over that smal
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewise.functions.labels import SOURCE_TYPE, chunk_source, location_label
@@ -47,6 +47,12 @@ def merge_point(left: Column, right: Column) -> Column:
     return let(F.substring(right, 1, OVERLAP_WINDOW_CHARS), search)
 
 
+def with_adjacency(chunks: DataFrame, document: str = "doc_id", within: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``continues``: whether the next chunk of the same document (inside ``within``, such as a question) is the next in number."""
+    order = Window.partitionBy(*within, document).orderBy("chunk_index")
+    return chunks.withColumn("continues", F.coalesce(F.lead("chunk_index").over(order) == F.col("chunk_index") + 1, F.lit(False)))
+
+
 def merge_adjacent(kept: DataFrame, document: str = "doc_id") -> DataFrame:
     """Join kept chunks that continue each other; one row per resulting passage.
 

@@ -86,6 +86,22 @@ def long_cells(body: DataFrame) -> DataFrame:
     ).filter(F.col("value").isNotNull())
 
 
+def filled_columns(body: DataFrame) -> DataFrame:
+    """(sheet_id, col_idx) of the columns that hold a value in some row."""
+    return long_cells(body).groupBy("sheet_id", "col_idx").agg(F.count(F.lit(1)).alias("_n")).select("sheet_id", "col_idx")
+
+
+def without_empty(body: DataFrame) -> DataFrame:
+    """Body rows without rows and columns that hold no value anywhere in their sheet; ``columns`` lists the kept positions.
+
+    A row carries its sheet's short list of kept columns; cells beyond a short row's end are null.
+    """
+    kept = filled_columns(body).groupBy("sheet_id").agg(F.array_sort(F.collect_list("col_idx")).alias("columns"))
+    joined = body.filter(filled("cells") > 0).join(kept, "sheet_id")
+    pick = lambda name: F.transform("columns", lambda i: F.get(name, i)).alias(name)
+    return joined.select("sheet_id", "row_idx", pick("cells"), pick("cell_types"), "columns")
+
+
 def table_as_raw_rows(df: DataFrame, sheet_id: Column, row_idx: Column) -> DataFrame:
     """A typed DataFrame as raw rows: values as text with their kind."""
     kinds = {"string": "string", "boolean": "bool", "timestamp": "date", "timestamp_ntz": "date", "date": "date"}

@@ -297,11 +297,16 @@ def f18(spark, folder):
 
 @query(
     "u3_ordered_dedup",
-    "SELECT event_id, CASE WHEN user_id % 5 = 3 THEN '3,1' ELSE '3,' || (user_id % 5) || CASE WHEN user_id % 5 = 1 THEN '' ELSE ',1' END END AS kept FROM events",
+    "WITH n AS (SELECT event_id, user_id % 5 AS n, 2 + user_id % 6 AS size FROM events), "
+    "f AS (SELECT event_id, list_filter([3, n, 1, 3, n, 40, n + 2], lambda x: x < size) AS l FROM n) "
+    "SELECT event_id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ','), '') AS kept FROM f",
 )
 def u3(spark, folder):
-    n = (F.col("user_id") % 5).cast("int")
-    kept = F.array_distinct(F.array(F.lit(3), n, F.lit(1), F.lit(3), n))
+    """Replies that list candidates twice or beyond their number, read as the order of their first mention."""
+    n = (F.col("user_id") % 5).cast("string")
+    listed = F.concat_ws(", ", F.lit("3"), n, F.lit("1"), F.lit("3"), n, F.lit("40"), (F.col("user_id") % 5 + 2).cast("string"))
+    reply = F.concat(F.lit("```json\n["), listed, F.lit("]\n```"))
+    kept = qs.index_list(reply, 2 + F.col("user_id") % 6)
     return load(spark, folder, "events").select("event_id", F.array_join(kept, ",").alias("kept"))
 
 

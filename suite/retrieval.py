@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citewise.functions import labels as lb
@@ -287,9 +287,9 @@ def w10(spark, folder):
 SELECT doc_id, i::BIGINT AS chunk_index, coalesce(lead(i) OVER (PARTITION BY doc_id, i // 5 % 2 ORDER BY i) = i + 1, FALSE) AS continues FROM windows""",
 )
 def j7(spark, folder):
-    order = Window.partitionBy("question_id").orderBy("chunk_index")
-    follows = F.coalesce(F.lead("chunk_index").over(order) == F.col("chunk_index") + 1, F.lit(False))
-    return _windows(spark, folder).select("doc_id", long("chunk_index").alias("chunk_index"), follows.alias("continues"))
+    """Kept chunks of every question, each with whether the one behind it continues it."""
+    found = evidence.with_adjacency(_windows(spark, folder), within=("question_id",))
+    return found.select("doc_id", long("chunk_index").alias("chunk_index"), "continues")
 
 
 # Citation fields laid over documents: pages, slides and sections present or absent by document.

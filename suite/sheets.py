@@ -98,13 +98,28 @@ def c4(spark, folder):
 
 @query(
     "p5_empty_columns",
-    "SELECT 'orders' AS sheet_id, i::BIGINT AS col_idx FROM range(0, 4) t(i) WHERE i <> 2",
+    """WITH c AS (
+  SELECT c_nationkey AS n, c_custkey, c_custkey % 13 = 5 AS blank, CASE WHEN c_nationkey % 3 <> 0 THEN c_name END AS a,
+    CASE WHEN c_acctbal > 9900 THEN c_mktsegment END AS b, c_acctbal::VARCHAR AS d FROM customer),
+held AS (SELECT n, bool_or(a IS NOT NULL) AS has_a, bool_or(b IS NOT NULL) AS has_b FROM c WHERE NOT blank GROUP BY n)
+SELECT 'nation_' || c.n AS sheet_id, c_custkey AS row_idx, concat_ws('|', c_custkey, CASE WHEN has_a THEN coalesce(a, '~') END, CASE WHEN has_b THEN coalesce(b, '~') END, d) AS line,
+  concat_ws(',', '0', CASE WHEN has_a THEN '2' END, CASE WHEN has_b THEN '3' END, '4') AS columns
+FROM c JOIN held ON held.n = c.n WHERE NOT blank""",
 )
 def p5(spark, folder):
-    """Columns that hold a value somewhere; the third column of this grid never does."""
-    orders = load(spark, folder, "orders").select("o_orderkey", "o_orderstatus", F.lit(None).cast("string").alias("empty"), "o_orderpriority")
-    cells = sheets.long_cells(sheets.table_as_raw_rows(orders, F.lit("orders"), F.col("o_orderkey")))
-    return cells.groupBy("sheet_id", long("col_idx").alias("col_idx")).agg(F.count(F.lit(1)).alias("n")).filter("n > 0").drop("n")
+    """Customers as a sheet per nation, with blank rows, a column that is never filled and two that are in some sheets only."""
+    customer = load(spark, folder, "customer")
+    cells = F.array(
+        F.col("c_custkey").cast("string"), F.lit(None).cast("string"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_name")),
+        F.when(F.col("c_acctbal") > 9900, F.col("c_mktsegment")), F.col("c_acctbal").cast("string"),
+    )
+    blank = F.array_repeat(F.lit(None).cast("string"), 5)
+    body = customer.select(
+        F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("sheet_id"), F.col("c_custkey").alias("row_idx"),
+        F.when(F.col("c_custkey") % 13 == 5, blank).otherwise(cells).alias("cells"), F.array_repeat(F.lit("string"), 5).alias("cell_types"),
+    )
+    kept = sheets.without_empty(body)
+    return kept.select("sheet_id", "row_idx", F.array_join("cells", "|", "~").alias("line"), F.array_join("columns", ",").alias("columns"))
 
 
 @query(
