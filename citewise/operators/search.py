@@ -115,14 +115,12 @@ def _scan(placed, carried: Sequence[str], vector: str, dim: int, k: int):
     return run
 
 
-def _question_blocks(asked: DataFrame, dim: int, block_bytes: int) -> Iterator[pa.Table]:
-    """The questions in blocks of about block_bytes of vectors, dealt by hash; written once, so no block repeats their plan."""
+def _question_blocks(asked: DataFrame, dim: int, block_bytes: int) -> tuple[int, Iterator[pa.Table]]:
+    """(number of blocks, the questions in blocks of about block_bytes of vectors, dealt by hash); written once, so no block repeats their plan."""
     stored = settle(asked)
     blocks = max(1, -(-stored.count() * 8 * dim // block_bytes))
-    for block in range(blocks):
-        part = stored.filter(F.pmod(F.xxhash64("question_id", TENANT), F.lit(blocks)) == block).toArrow()
-        if part.num_rows:
-            yield part
+    parts = (stored.filter(F.pmod(F.xxhash64("question_id", TENANT), F.lit(blocks)) == block).toArrow() for block in range(blocks))
+    return blocks, (part for part in parts if part.num_rows)
 
 
 def _place(spark, table: pa.Table, dim: int):
@@ -160,9 +158,18 @@ def top_k(
         [asked.schema["question_id"], T.StructField("score", T.DoubleType()), *[stored.schema[c] for c in carried]]
     )
     spark = questions.sparkSession
+    blocks, parts = _question_blocks(asked, dim, block_bytes)
+    # one block scans the points where they lie; for several their vectors are made once, and a block leaves the driver
+    # and the executors when its hits are written
+    stored = settle(stored) if blocks > 1 else stored
     found = spark.createDataFrame([], schema)
-    for block in _question_blocks(asked, dim, block_bytes):
-        found = found.unionAll(stored.mapInArrow(_scan(_place(spark, block, dim), carried, vector, dim, k), schema))
+    for block in parts:
+        placed = _place(spark, block, dim)
+        hits = stored.mapInArrow(_scan(placed, carried, vector, dim, k), schema)
+        if blocks > 1:
+            hits = settle(hits)
+            placed.destroy()
+        found = found.unionAll(hits)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), point_id)
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if payload:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citewise.functions import labels as lb
 from citewise.functions import text as tx
 from citewise.functions.hashing import hashed_vector
-from citewise.operators import evidence, rerank, search
+from citewise.operators import evidence, rerank, search, vector_lists
 from citewise.plans.answers import semantic_evidence
 from suite.common import (
     Registry,
@@ -48,6 +48,16 @@ def j1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("j1_listed_topk", DOCUMENT_SEARCH_SQL + " SELECT question_id, point_id AS doc_id, score, rank::BIGINT AS rank FROM ranked")
+def j1_listed(spark, folder):
+    """The same search over stored lists, in several blocks of questions; what cannot be among the best is not scored."""
+    documents = spread(load(spark, folder, "documents").select("doc_id", "text"))
+    index = vector_lists.store_lists(search.embed(documents), point_id="doc_id")
+    questions = search.embed(benchmark_questions(spark, folder), "question")
+    found, _ = vector_lists.top_k_in_lists(questions, index, 15, block_bytes=300_000)
+    return found.select("question_id", "doc_id", "score", long("rank").alias("rank"))
+
+
 @query(
     "j1_dense_topk",
     """
