@@ -3,11 +3,14 @@
 Cells are first folded into one row per distinct (sheet, column, text value) with map-side counting; every pattern and
 date test then runs once per distinct value instead of once per row. Numbers, dates and booleans that arrive typed are
 folded without their value, since only text needs an exact distinct count.
+
+These folded rows are the state of a profile: states of several ingests add up to that of all their cells, so a sheet that
+grows is profiled again from its states without its cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citewise.functions.names import column_slug, distinct_names
@@ -31,8 +34,12 @@ CATEGORICAL_SMALL = 20
 CATEGORICAL_SHARE = 0.5
 
 
+STATE = "sheet_id string, col_idx int, value_type string, value string, n bigint, low double, high double, integers bigint, low_integer bigint, high_integer bigint, first_time timestamp_ntz, last_time timestamp_ntz, first_row bigint"
+RANGES = (("low", F.min), ("high", F.max), ("integers", F.sum), ("low_integer", F.min), ("high_integer", F.max), ("first_time", F.min), ("last_time", F.max), ("first_row", F.min))
+
+
 def value_counts(cells: DataFrame) -> DataFrame:
-    """(sheet_id, col_idx, value_type, value, n, ranges): one row per distinct text value."""
+    """(sheet_id, col_idx, value_type, value, n, ranges, first_row): one row per distinct text value."""
     keyed = F.col("value_type").isin("string", "bool")
     typed = lambda kind, target: F.when(F.col("value_type") == kind, F.col("value").try_cast(target))
     return (
@@ -50,10 +57,28 @@ def value_counts(cells: DataFrame) -> DataFrame:
             F.max("_integer").alias("high_integer"),
             F.min("_time").alias("first_time"),
             F.max("_time").alias("last_time"),
+            F.min("row_idx").cast("bigint").alias("first_row"),
         )
     )
 
 
+def merged_counts(states: DataFrame) -> DataFrame:
+    """The state of all cells from the states of parts of them; rows of a later part have to be numbered behind the earlier."""
+    merged = [F.sum("n").alias("n"), *[fold(name).alias(name) for name, fold in RANGES]]
+    return states.groupBy(*COLUMN, "value_type", "value").agg(*merged)
+
+
+def append_state(cells: DataFrame, path: str, ingest: str) -> None:
+    """Keep the state of one ingest beside those before it; the same ingest again replaces its own."""
+    state = value_counts(cells).withColumn("ingest", F.lit(ingest))
+    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest").parquet(path)
+
+
+def stored_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state of all ingests together."""
+    return merged_counts(spark.read.schema(f"{STATE}, ingest string").parquet(path))
+
+
 def column_stats(counts: DataFrame) -> DataFrame:
     """Counts, distinct texts, numeric and date coverage and ranges per column."""
     text = F.col("value_type") == "string"
@@ -113,8 +138,12 @@ def classify(stats: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame
 def first_values(cells: DataFrame, columns: DataFrame, limit: int = SAMPLE_VALUES) -> DataFrame:
     """(sheet_id, col_idx, sample): the first ``limit`` distinct values in row order of the listed columns."""
     mine = cells.join(columns.select(*COLUMN), COLUMN, "left_semi")
-    seen = mine.groupBy(*COLUMN, "value").agg(F.min("row_idx").alias("row_idx"))
-    order = Window.partitionBy(*COLUMN).orderBy("row_idx", "value")
+    return sample_of(mine.groupBy(*COLUMN, "value").agg(F.min("row_idx").alias("first_row")), limit)
+
+
+def sample_of(seen: DataFrame, limit: int = SAMPLE_VALUES) -> DataFrame:
+    """(sheet_id, col_idx, sample) from rows (sheet_id, col_idx, value, first_row)."""
+    order = Window.partitionBy(*COLUMN).orderBy("first_row", "value")
     first = seen.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)
     values = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "value"))), lambda p: p["value"])
     return first.groupBy(*COLUMN).agg(values.alias("sample"))
@@ -167,13 +196,24 @@ CATALOG_COLUMNS = (
 
 
 def profile_columns(cells: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
-    """Long cells + column names + row counts -> the column catalog.
+    """Long cells + column names + row counts -> the column catalog; cells are read once and folded to their state."""
+    return profile_of_state(settle(value_counts(cells)), columns, rows, cells)
+
+
+def profile_of_state(state: DataFrame, columns: DataFrame, rows: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """The column catalog from a state. The statistics, one row per column, are written once, as naming and sampling start from them.
 
-    The statistics, one row per column, are written once: naming and sampling both start from them. Sampling reads the
-    cells again, but only those of columns known to hold few values.
+    A sample comes from the state too. Only a column of texts that also has typed cells, whose values the state does not
+    keep, is sampled from ``cells``; without them its sample holds its texts alone.
     """
-    typed = settle(classify(column_stats(value_counts(cells)), columns, rows))
-    sample = first_values(cells, typed.filter("is_categorical"))
+    typed = settle(classify(column_stats(state), columns, rows))
+    shown = typed.filter("is_categorical")
+    texts = state.filter(F.col("value").isNotNull()).join(shown.select(*COLUMN), COLUMN, "left_semi")
+    sample = sample_of(texts.groupBy(*COLUMN, "value").agg(F.min("first_row").alias("first_row")))
+    mixed = state.filter(F.col("value").isNull()).select(*COLUMN).distinct().join(shown, COLUMN, "left_semi")
+    if cells is not None and not mixed.isEmpty():
+        whole = first_values(cells, mixed).withColumnRenamed("sample", "_whole")
+        sample = sample.join(whole, COLUMN, "left").select(*COLUMN, F.coalesce("_whole", "sample").alias("sample"))
     known = typed.join(sample, COLUMN, "left").join(physical_names(typed), COLUMN)
     return known.withColumn("description", describe()).select(*CATALOG_COLUMNS)
 

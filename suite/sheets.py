@@ -283,6 +283,25 @@ def c5(spark, folder):
     )
 
 
+@query(
+    "c5_merged_profile",
+    f"WITH {CATALOG_SQL} SELECT sheet_id, col_idx::BIGINT AS col_idx, column_name, data_type, is_categorical, "
+    "row_count::BIGINT AS row_count, non_null::BIGINT AS non_null, nunique::BIGINT AS nunique, description FROM catalog",
+)
+def c5_merged(spark, folder):
+    """The same profiles from the states of three ingests, one of them sent twice; the cells are not read again."""
+    raw, columns, sizes = table_grids(spark, folder)
+    cells, path = sheets.long_cells(settle(spread(raw))), shared_path(spark, "profile-states")
+    thirds = [F.col("row_idx") < 40, (F.col("row_idx") >= 40) & (F.col("row_idx") < 1000), F.col("row_idx") >= 1000]
+    for ingest in (0, 1, 1, 2):
+        profile.append_state(cells.filter(thirds[ingest]), path, f"part-{ingest}")
+    catalog = profile.profile_of_state(settle(profile.stored_state(spark, path)), columns, sizes)
+    return catalog.select(
+        "sheet_id", long("col_idx").alias("col_idx"), "column_name", "data_type", "is_categorical",
+        long("row_count").alias("row_count"), long("non_null").alias("non_null"), long("nunique").alias("nunique"), "description",
+    )
+
+
 @query(
     "a4_column_stats",
     """
