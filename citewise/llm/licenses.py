@@ -49,17 +49,64 @@ RULES: Sequence[tuple[str, tuple[str, ...]]] = (
 )
 
 
-# Sentences of the standard notices as they stand there, and the rules that take them; a name may have several rules.
+GPL_TERMS = "you can redistribute it and or modify it under the terms of the gnu {0}general public license as published by the free software foundation"
+GPL_VERSION = "either version {0} of the license or at your option any later version"
+ENDORSE = "neither the name of the {0} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+ISC = "permission to use copy modify {0} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+
+# Sentences of the standard notices as they stand there, and the rules that take them; a name may have several rules. A
+# version stands in the sentence of the terms behind a comma, and is one of its own behind a semicolon.
 NOTICE_SENTENCES: Mapping[str, str] = {
     "mit_permission_conditions": SENTENCES["mit_permission"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "gpl_redistribute_version3": SENTENCES["gpl_redistribute"] + " " + SENTENCES["gpl3_version"],
+    "gpl_redistribute_version2": GPL_TERMS.format("") + " " + GPL_VERSION.format("2"),
+    "gpl2_version": GPL_VERSION.format("2"),
+    "lgpl_free": "this library is free software",
+    "lgpl_redistribute": GPL_TERMS.format("lesser "),
+    "lgpl_redistribute_version21": GPL_TERMS.format("lesser ") + " " + GPL_VERSION.format("2 1"),
+    "lgpl_redistribute_version3": GPL_TERMS.format("lesser ") + " " + GPL_VERSION.format("3"),
+    "lgpl21_version": GPL_VERSION.format("2 1"),
+    "agpl_redistribute": GPL_TERMS.format("affero "),
+    "agpl_redistribute_version3": GPL_TERMS.format("affero ") + " " + GPL_VERSION.format("3"),
+    "bsd_endorse": ENDORSE.format("copyright holder"),
+    "bsd_endorse_author": ENDORSE.format("author"),
+    "isc_permission": ISC.format("and or"),
+    "isc_permission_and": ISC.format("and"),
+    "mpl_terms": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl_copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mit_licensed": "licensed under the mit license",
+    "mit_project": "this project is licensed under the mit license",
 }
+BSD2, TERMS = ("bsd_redistribution", "bsd_source", "bsd_binary"), ("gpl_free", "lgpl_free")
 NOTICE_RULES: Sequence[tuple[str, tuple[str, ...]]] = (
     ("MIT-text", ("mit_permission_conditions", "mit_notice")),
+    ("MIT", ("mit_licensed",)),
+    ("MIT", ("mit_project",)),
     ("GPL-3.0-or-later", ("gpl_free", "gpl_redistribute_version3")),
+    ("GPL-2.0-or-later", ("gpl_free", "gpl_redistribute_version2")),
+    ("GPL-2.0-or-later", ("gpl_free", "gpl_redistribute", "gpl2_version")),
+    *[("LGPL-2.1-or-later", (free, "lgpl_redistribute_version21")) for free in TERMS],
+    *[("LGPL-2.1-or-later", (free, "lgpl_redistribute", "lgpl21_version")) for free in TERMS],
+    *[("LGPL-3.0-or-later", (free, "lgpl_redistribute_version3")) for free in TERMS],
+    *[("LGPL-3.0-or-later", (free, "lgpl_redistribute", "gpl3_version")) for free in TERMS],
+    ("AGPL-3.0-or-later", ("gpl_free", "agpl_redistribute_version3")),
+    ("AGPL-3.0-or-later", ("gpl_free", "agpl_redistribute", "gpl3_version")),
+    ("BSD-3-Clause", (*BSD2, "bsd_endorse")),
+    ("BSD-3-Clause", (*BSD2, "bsd_endorse_author")),
+    ("ISC", ("isc_permission",)),
+    ("ISC", ("isc_permission_and",)),
+    ("MPL-2.0", ("mpl_terms", "mpl_copy")),
+)
+# Names that a line "SPDX-License-Identifier: name" may give; each is a licence only right behind that marker.
+SPDX_MARK = "spdx license identifier"
+SPDX_NAMES = (
+    "Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0",
 )
-ALL_SENTENCES: Mapping[str, str] = {**SENTENCES, **NOTICE_SENTENCES}
-ALL_RULES: Sequence[tuple[str, tuple[str, ...]]] = (*RULES, *NOTICE_RULES)
+SPDX_SENTENCES: Mapping[str, str] = {"spdx": SPDX_MARK, **{f"spdx:{n}": re.sub("[^a-z0-9]+", " ", n.lower()) for n in SPDX_NAMES}}
+SPDX_RULES: Sequence[tuple[str, tuple[str, ...]]] = tuple((n, ("spdx", f"spdx:{n}")) for n in SPDX_NAMES)
+ALL_SENTENCES: Mapping[str, str] = {**SENTENCES, **NOTICE_SENTENCES, **SPDX_SENTENCES}
+ALL_RULES: Sequence[tuple[str, tuple[str, ...]]] = (*RULES, *NOTICE_RULES, *SPDX_RULES)
 
 # Marks of a comment at the start of a line, and numbers of a list there ("1)"), which may also begin a sentence.
 COMMENT = r"(^|\n)[^a-z0-9\n]*(?:(?:dnl|rem)(?![a-z0-9])[^a-z0-9\n]*)?"
@@ -85,8 +132,25 @@ def wrapped(text: Column, known: Mapping[str, str]) -> Column:
     wanted = sorted((s for s in known.values() if re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", s)), key=len, reverse=True)
     if not wanted:
         return F.array().cast("array<string>")
+    # no known sentence is without one of these words
+    named = F.rlike(F.lower(text), F.lit("(?<![a-z0-9])(?:" + "|".join(covering_words(wanted)) + ")(?![a-z0-9])"))
     pattern = "(?<=[HS])(?:" + "|".join(s.replace(" ", "[ S]") for s in wanted) + ")(?=[HS])"
-    return F.transform(F.regexp_extract_all(marked(text), F.lit(pattern), F.lit(0)), lambda s: F.translate(s, "S", " "))
+    found = F.transform(F.regexp_extract_all(marked(text), F.lit(pattern), F.lit(0)), lambda s: F.translate(s, "S", " "))
+    return F.when(named, found).otherwise(F.array().cast("array<string>"))
+
+
+def covering_words(known: Sequence[str]) -> list[str]:
+    """Few words, long ones first, of which every sentence has one; a text without them needs no closer look."""
+    rest, chosen = [set(s.split(" ")) for s in known], []
+    while rest:
+        counts: dict[str, int] = {}
+        for words in rest:
+            for word in words:
+                counts[word] = counts.get(word, 0) + 1
+        best = min(counts, key=lambda w: (-counts[w] * min(len(w), 8), w))
+        chosen.append(best)
+        rest = [words for words in rest if best not in words]
+    return chosen
 
 
 def scan_licenses(docs: DataFrame, known: Mapping[str, str] = ALL_SENTENCES, rules: Sequence[tuple[str, tuple[str, ...]]] = ALL_RULES) -> DataFrame:
@@ -96,9 +160,10 @@ def scan_licenses(docs: DataFrame, known: Mapping[str, str] = ALL_SENTENCES, rul
     line break, and a line break inside it counts as a space, as do comment marks at line starts; a blank line, or one without
     a-z and 0-9, ends it. n_sentences counts the pieces between punctuation and line breaks. A rule matches when its
     identifiers follow each other in the document's sequence of identifiers, or in that of these pieces alone; sentences that are not known
-    do not break a sequence. A name with several rules stands where its first one does. Repeated sentences repeat in known; a null
-    or empty text has no sentences and empty lists. Input columns named like the added ones are replaced. Every
-    document stays one row, whatever it holds.
+    do not break a sequence. What a longer rule takes is not left for a shorter one inside it (a BSD-3-Clause notice is no
+    BSD-2-Clause notice). A name with several rules stands where its first one does. Repeated sentences repeat in known; a null
+    or empty text has no sentences and empty lists. Texts of any length are read whole. Input columns named like the added ones are replaced. Every
+    document stays one row, whatever it holds; an empty table gives an empty one.
     """
     table = F.create_map(*[F.lit(v) for identifier, sentence in known.items() for v in (sentence, identifier)])
     wanted = list(known.values())
@@ -110,6 +175,8 @@ def scan_licenses(docs: DataFrame, known: Mapping[str, str] = ALL_SENTENCES, rul
     line = F.concat(F.lit("|"), F.array_join("known", "|"), F.lit("||"), F.array_join("_pieces", "|"), F.lit("|"))
     ways: dict[str, list[Column]] = {}
     for license_name, ids in rules:
-        ways.setdefault(license_name, []).append(line.contains("|" + "|".join(ids) + "|"))
+        longer = [other for _, other in rules if len(other) > len(ids) and "|" + "|".join(ids) + "|" in "|" + "|".join(other) + "|"]
+        left = reduce(lambda held, other: F.replace(held, F.lit("|" + "|".join(other) + "|"), F.lit("||")), sorted(longer, key=len, reverse=True), line)
+        ways.setdefault(license_name, []).append(left.contains("|" + "|".join(ids) + "|"))
     names = [F.when(reduce(Column.__or__, found), F.lit(license_name)) for license_name, found in ways.items()]
     return out.withColumn("licenses", F.array_compact(F.array(*names))).drop("_pieces")

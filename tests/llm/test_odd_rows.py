@@ -140,3 +140,41 @@ def test_long_words_in_parts(monkeypatch):
     table.known.clear()
     short = long[:300]
     assert table.fold_long(short).tolist() == table.encode_words([short])[0].tolist() == library.encode(short[1:])
+
+
+BSD_CLAUSES = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+ENDORSEMENT = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+FREE = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+NOTICES = {
+    BSD_CLAUSES: ["BSD-2-Clause"], BSD_CLAUSES + ENDORSEMENT: ["BSD-3-Clause"], BSD_CLAUSES + ENDORSEMENT + "\n\n" + BSD_CLAUSES: ["BSD-2-Clause", "BSD-3-Clause"],
+    FREE.format("program", ";", "", ";", 2): ["GPL-2.0-or-later"], FREE.format("program", ":", "", ",", 2): ["GPL-2.0-or-later"], FREE.format("program", ":", "", ",", 3): ["GPL-3.0-or-later"],
+    FREE.format("library", ";", "Lesser ", ";", 2.1): ["LGPL-2.1-or-later"], FREE.format("program", ":", "Lesser ", ",", 3): ["LGPL-3.0-or-later"], FREE.format("program", ":", "Affero ", ",", 3): ["AGPL-3.0-or-later"],
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": ["ISC"],
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": ["MPL-2.0"],
+    "code\n// SPDX-License-Identifier: MIT\nmore": ["MIT"], "# SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-3.0-or-later"], "/* SPDX-License-Identifier: Apache-2.0 */ x": [], "/* SPDX-License-Identifier: Apache-2.0 */\nx": ["Apache-2.0"],
+    "Licensed under the MIT License.": ["MIT"], "This project is licensed under the MIT License.\n": ["MIT"], "MIT": [], "A text about a license and permission.": [],
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_standard_notices(spark, mark):
+    import textwrap
+
+    texts = []
+    for text, want in NOTICES.items():
+        wrapped = "\n".join("\n".join(textwrap.wrap(line, 62)) for line in text.split("\n"))
+        texts += [(text, want), ("\n".join(mark + line for line in wrapped.split("\n")), want)]
+    found = scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "n int, text string")).collect()
+    assert {texts[r["n"]][0]: r["licenses"] for r in found if r["licenses"] != texts[r["n"]][1]} == {}
+
+
+def test_words_that_cover_all_sentences():
+    from citewise.llm.licenses import ALL_SENTENCES, covering_words
+
+    words = covering_words(list(ALL_SENTENCES.values()))
+    assert all(set(words) & set(s.split(" ")) for s in ALL_SENTENCES.values()) and len(words) < 20
+    assert covering_words([]) == []
