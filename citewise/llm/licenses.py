@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citewise.functions.text import let
+
 BREAK = r"[.!?;:][ \t\r\n]+|[\r\n]+"
 
 # Sentences by identifier, normalised: lower case, everything but a-z and 0-9 becomes one space.
@@ -132,8 +134,9 @@ def wrapped(text: Column, known: Mapping[str, str]) -> Column:
     wanted = sorted((s for s in known.values() if re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", s)), key=len, reverse=True)
     if not wanted:
         return F.array().cast("array<string>")
-    # no known sentence is without one of these words
-    named = F.rlike(F.lower(text), F.lit("(?<![a-z0-9])(?:" + "|".join(covering_words(wanted)) + ")(?![a-z0-9])"))
+    # no known sentence is without one of these words; a short name counts behind its marker only, which has one
+    telling = covering_words([s for i, s in known.items() if s in wanted and not i.startswith("spdx:")])
+    named = F.rlike(F.lower(text), F.lit("(?<![a-z0-9])(?:" + "|".join(telling) + ")(?![a-z0-9])")) if telling else F.lit(False)
     pattern = "(?<=[HS])(?:" + "|".join(s.replace(" ", "[ S]") for s in wanted) + ")(?=[HS])"
     found = F.transform(F.regexp_extract_all(marked(text), F.lit(pattern), F.lit(0)), lambda s: F.translate(s, "S", " "))
     return F.when(named, found).otherwise(F.array().cast("array<string>"))
@@ -167,7 +170,12 @@ def scan_licenses(docs: DataFrame, known: Mapping[str, str] = ALL_SENTENCES, rul
     """
     table = F.create_map(*[F.lit(v) for identifier, sentence in known.items() for v in (sentence, identifier)])
     wanted = list(known.values())
-    name = lambda found: F.transform(found, lambda s: F.element_at(table, s))
+
+    def name(found: Column) -> Column:
+        """Identifiers of sentences; a licence's short name counts only right behind the marker that announces one."""
+        behind = lambda ids: F.filter(ids, lambda x, i: ~x.startswith("spdx:") | (F.get(ids, i - 1) == F.lit("spdx")))
+        return let(F.transform(found, lambda s: F.element_at(table, s)), behind)
+
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.drop("n_sentences", "known", "licenses", "_sentences", "_pieces").withColumn("_sentences", F.coalesce(sentences(F.col("text")), F.array().cast("array<string>")))
     out = split.withColumn("n_sentences", F.size("_sentences").cast("bigint")).withColumn("known", name(wrapped(text, known)))

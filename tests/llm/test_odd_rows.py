@@ -156,7 +156,7 @@ NOTICES = {
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": ["ISC"],
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": ["MPL-2.0"],
     "code\n// SPDX-License-Identifier: MIT\nmore": ["MIT"], "# SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-3.0-or-later"], "/* SPDX-License-Identifier: Apache-2.0 */ x": [], "/* SPDX-License-Identifier: Apache-2.0 */\nx": ["Apache-2.0"],
-    "Licensed under the MIT License.": ["MIT"], "This project is licensed under the MIT License.\n": ["MIT"], "MIT": [], "A text about a license and permission.": [],
+    "Licensed under the MIT License.": ["MIT"], "This project is licensed under the MIT License.\n": ["MIT"], "MIT": [], "der mit. MIT. License: MIT": [], "A text about a license and permission.": [],
 }
 
 
