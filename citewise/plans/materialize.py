@@ -15,6 +15,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -33,8 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own part of the shared folder, which goes when its driver ends."""
+    own = f"{shared_folder(spark)}/citewise-{spark.sparkContext.applicationId}"
+    if own not in _FOLDERS:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _FOLDERS.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
