@@ -21,7 +21,7 @@ from suite.common import (
     vectors_sql,
     whole_documents,
 )
-from suite.documents import corpus_chunks
+from suite.documents import chunks_sql, corpus_chunks
 
 query = Registry()
 Q, SQL = query.queries, query.sql
@@ -164,6 +164,32 @@ def p12(spark, folder):
     return shown.select("question_id", lb.display_source(F.col("s")).alias("shown")).distinct()
 
 
+CHUNK_SEARCH_SQL = f"""
+WITH RECURSIVE {chunks_sql()},
+passages AS (SELECT substr(sha256(doc_id || '|' || chunk_index), 1, 32) AS chunk_id, doc_id, chunk_index, chunk AS text FROM chunks),
+{vectors_sql('pv', 'passages', 'chunk_id', 'text')},
+{vectors_sql('bv', 'benchmark', 'item_id', 'text')},
+{top_k_sql('benchmark', 'item_id', 'passages', 'chunk_id', 'bv', 'pv', 15)},
+overlapped AS (
+  SELECT r.question_id, r.rank, r.score, p.doc_id, p.chunk_index, {overlap_sql('b.text', 'p.text')} AS overlap
+  FROM ranked r JOIN passages p ON p.chunk_id = r.point_id JOIN benchmark b ON b.item_id = r.question_id
+)"""
+
+
+@query(
+    "c6_kept_chunks",
+    CHUNK_SEARCH_SQL
+    + """ SELECT question_id, doc_id, chunk_index, overlap::BIGINT AS overlap, final_rank::BIGINT AS final_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, rank) AS final_rank FROM overlapped WHERE overlap > 0) WHERE final_rank <= 5""",
+)
+def c6_kept(spark, folder):
+    """The chunks of the whole corpus that search and reranking keep for every benchmark text."""
+    questions = benchmark_questions(spark, folder)
+    found = search.search_chunks(questions, corpus_chunks(spark, folder), k=15).join(questions, "question_id")
+    kept = rerank.rerank_by_overlap(found)
+    return kept.select("question_id", "doc_id", long("chunk_index").alias("chunk_index"), "overlap", long("final_rank").alias("final_rank"))
+
+
 @query("c6_semantic_search")
 def c6(spark, folder):
     """Chunks of the whole corpus searched, reranked, merged and cited for every benchmark text."""
