@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 
 def test_registered():
     names = set(entry.queries())
-    assert {"pipeline"} | {f"op{n}" for n in range(1, 11)} <= {"pipeline"} | {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {"pipeline"} | {f"op{n}" for n in range(1, 14)} <= {"pipeline"} | {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeats", "mixing", "pieces"]
 
 
