@@ -101,6 +101,42 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def catalog_listing(catalog: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(table_name, table_group, column_name, data_type, columns) of the stored column catalog, one row per column.
+
+    Sheets without a column give one row without one; ``columns`` counts those of the table.
+    """
+    listed = sheets.select("sheet_id", "table_name").join(catalog.select("sheet_id", F.col("physical_name").alias("column_name"), "data_type"), "sheet_id", "left")
+    counts = catalog.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("columns"))
+    group = F.when(F.col("table_name").startswith(TABLE_PREFIX), "sheet").otherwise("app")
+    return listed.join(counts, "sheet_id", "left").select("table_name", group.alias("table_group"), "column_name", "data_type", F.coalesce("columns", F.lit(0)).alias("columns"))
+
+
+def outside_tables(log: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(query_id, outside): tables that logged queries read beyond their session's, for the queries that do so.
+
+    ``log(query_id, session_id, tables array<string>)`` holds the names the guard has taken from a statement;
+    ``allowed(session_id, table_name)``. A table counts once per query.
+    """
+    read = log.select("query_id", "session_id", F.explode(F.array_distinct("tables")).alias("table_name"))
+    beyond = read.join(allowed.select("session_id", "table_name").distinct(), ["session_id", "table_name"], "left_anti")
+    return beyond.groupBy("query_id").agg(F.array_sort(F.collect_set("table_name")).alias("outside"))
+
+
+def audit_log(log: DataFrame, allowed: DataFrame, max_rows: int) -> DataFrame:
+    """log(query_id, session_id, kind, tables, asked_rows) + outside, verdict and the rows that may be returned.
+
+    ``kind`` is what the guard found a statement to be; only a select over the session's own tables is let through.
+    """
+    judged = log.join(outside_tables(log, allowed), "query_id", "left")
+    verdict = (
+        F.when(F.coalesce("kind", F.lit("")) != "select", "not_select").when(F.col("outside").isNotNull(), "out_of_scope")
+        .when(F.col("asked_rows") > max_rows, "capped").otherwise("ok")
+    )
+    rows = F.least(F.coalesce("asked_rows", F.lit(max_rows)), F.lit(max_rows)).cast("bigint")
+    return judged.withColumn("verdict", verdict).withColumn("row_limit", F.when(F.col("verdict").isin("ok", "capped"), rows))
+
+
 def table_listing(spark: SparkSession) -> DataFrame:
     """(table_name, table_group, column_name, data_type) of the session catalog."""
     rows = [

@@ -350,6 +350,50 @@ def s12(spark, folder):
     return lc.table_listing(spark).filter(F.col("table_name").isin(names)).select("table_name", "table_group", "column_name")
 
 
+# Sessions are users; a session may read the tables of its own number and the two behind it. Every event is a logged query.
+LOGGED_SQL = """
+log AS (
+  SELECT event_id AS query_id, user_id % 40 AS session_id, CASE WHEN event_type = 'purchase' THEN 'insert' WHEN event_id % 97 = 0 THEN NULL ELSE 'select' END AS kind,
+    ['t' || (event_id % 43), 't' || (user_id % 40), 't' || (event_id % 43)] AS tables, CASE WHEN event_id % 3 = 0 THEN event_id % 1000 END AS asked_rows
+  FROM events),
+allowed AS (SELECT DISTINCT user_id % 40 AS session_id, unnest(['t' || (user_id % 40), 't' || (user_id % 40 + 1), 't' || (user_id % 40 + 2)]) AS table_name FROM events),
+outside AS (
+  SELECT query_id, string_agg(table_name, ',' ORDER BY table_name) AS outside
+  FROM (SELECT DISTINCT query_id, session_id, unnest(tables) AS table_name FROM log) r
+  WHERE NOT EXISTS (SELECT 1 FROM allowed a WHERE a.session_id = r.session_id AND a.table_name = r.table_name) GROUP BY 1)"""
+
+
+def logged_queries(spark, folder) -> tuple[DataFrame, DataFrame]:
+    events = load(spark, folder, "events").withColumn("session_id", F.col("user_id") % 40)
+    name = lambda n: F.concat(F.lit("t"), n.cast("string"))
+    kind = F.when(F.col("event_type") == "purchase", "insert").when(F.col("event_id") % 97 != 0, "select")
+    log = events.select(
+        F.col("event_id").alias("query_id"), "session_id", kind.alias("kind"),
+        F.array(name(F.col("event_id") % 43), name(F.col("session_id")), name(F.col("event_id") % 43)).alias("tables"),
+        F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 1000).alias("asked_rows"),
+    )
+    own = F.explode(F.array(*[name(F.col("session_id") + i) for i in range(3)]))
+    return log, events.select("session_id", own.alias("table_name"))
+
+
+@query("j8_logged_tables", f"WITH {LOGGED_SQL} SELECT query_id, outside FROM outside")
+def j8_logged(spark, folder):
+    """Tables that logged queries read beyond their session's."""
+    return lc.outside_tables(*logged_queries(spark, folder)).select("query_id", F.array_join("outside", ",").alias("outside"))
+
+
+@query(
+    "c13_logged_audit",
+    f"""WITH {LOGGED_SQL},
+judged AS (SELECT l.*, CASE WHEN kind IS DISTINCT FROM 'select' THEN 'not_select' WHEN o.outside IS NOT NULL THEN 'out_of_scope' WHEN asked_rows > 500 THEN 'capped' ELSE 'ok' END AS verdict
+  FROM log l LEFT JOIN outside o USING (query_id))
+SELECT query_id, verdict, CASE WHEN verdict IN ('ok', 'capped') THEN least(coalesce(asked_rows, 500), 500) END::BIGINT AS row_limit FROM judged""",
+)
+def c13_logged(spark, folder):
+    """Every logged query judged by what the guard noted of it."""
+    return lc.audit_log(*logged_queries(spark, folder), 500).select("query_id", "verdict", "row_limit")
+
+
 @query(
     "t2_newest_sessions",
     "SELECT c.c_nationkey AS user_id, o.o_orderkey AS session_id, row_number() OVER (PARTITION BY c.c_nationkey ORDER BY o_orderdate DESC, o_orderkey)::BIGINT AS position "

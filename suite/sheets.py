@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citewise.functions import names as nm
 from citewise.functions import values as vl
 from citewise.functions.text import let
-from citewise.operators import profile, sheets
+from citewise.operators import lifecycle, profile, sheets
 from citewise.plans.answers import discover_sheets
 from citewise.plans.materialize import settle, shared_path
 from citewise.plans.scans import number_rows
@@ -372,6 +372,15 @@ def sheet_list(spark, folder) -> DataFrame:
     return out
 
 
+@query(
+    "s12_stored_catalog",
+    f"WITH {CATALOG_SQL} SELECT 'xlsx_' || sheet_id AS table_name, 'sheet' AS table_group, column_name, data_type, count(*) OVER (PARTITION BY sheet_id)::BIGINT AS columns FROM catalog",
+)
+def s12_stored(spark, folder):
+    """Tables and columns of the stored column catalog."""
+    return lifecycle.catalog_listing(table_catalog(spark, folder), sheet_list(spark, folder))
+
+
 SCHEMA_SQL = """
 schema_texts AS (
   SELECT sheet_id, '-- Sheet: ' || sheet_id || ' (from ' || sheet_id || '.csv)' || chr(10) || 'xlsx_' || sheet_id || '(' || chr(10) ||
