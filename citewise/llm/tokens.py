@@ -25,16 +25,30 @@ LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 
 @lru_cache(maxsize=1)
 def encoder(path: str):
-    """(encoder of texts, encoder of one piece of the pattern, bytes of every token) of a rank file, once per worker."""
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    """(encoder, bytes of every token) of a rank file, once per worker."""
+    ranks = ranks_of(path)
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         lengths[rank] = len(token)
-    text, piece = (tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("text", PATTERN), ("piece", r"[\s\S]+")))
-    return text, piece, lengths
+    return _encoding(ranks, PATTERN), lengths
+
+
+@lru_cache(maxsize=1)
+def piece_encoder(path: str):
+    """The encoder of texts that are one piece of the pattern."""
+    return _encoding(ranks_of(path), r"[\s\S]+")
+
+
+def _encoding(ranks: dict[bytes, int], pattern: str):
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=1)
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
 def encode_text(text: str, coder, piece_coder) -> list[int]:
@@ -93,7 +107,7 @@ def section_tokens(docs: DataFrame, rule: str = "first_byte", vocabulary: str =
         raise ValueError(f"rule is one of {RULES}")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder, piece_coder, lengths = encoder(vocabulary)
+        (coder, lengths), piece_coder = encoder(vocabulary), piece_encoder(vocabulary)
         out: list[list] = [[] for _ in range(7)]
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             if not text:

@@ -19,7 +19,7 @@ from citewise.llm.near_duplicates import near_duplicates
 from citewise.llm.pieces import MODEL, decode, encode, piece_table
 from citewise.llm.repeats import remove_repeats, without_repeats
 from citewise.llm.sharding import shard
-from citewise.llm.tokens import VOCABULARY, encode_text, encoder, section_tokens
+from citewise.llm.tokens import VOCABULARY, encode_text, encoder, piece_encoder, section_tokens
 
 ODD = [
     "a.b", "a`b", "_source", "_id", "_label", "_kept", "_label2", "label", "own_label", "kept_text", "id_of_text", "label_of_text", "plan_source", "own_size",
@@ -64,7 +64,7 @@ def test_odd_names_and_empty_tables(odd, operator):
 
 
 def test_long_runs_of_white_space():
-    coder, piece, lengths = encoder(VOCABULARY)
+    (coder, lengths), piece = encoder(VOCABULARY), piece_encoder(VOCABULARY)
     short = ["a" + " " * n + "b" for n in (255, 256, 257, 3000)] + [" " * 400, "\n" * 999 + "x", "x" + "\u3000 \t" * 300 + "\r\ny", " " * 300 + "\n", "\x1c" * 400 + " a", "a \n" * 300]
     for text in short:
         assert encode_text(text, coder, piece) == coder.encode_ordinary(text), repr(text[:10])
@@ -84,7 +84,7 @@ def test_sections_by_hand(spark, rule):
     """Every token of every document dealt to the sections by its bytes, one after the other."""
     rng = random.Random(2)
     texts = ["".join(rng.choice(["word ", "x", "\n", "\n\n", " \n", "  ", "\n ", "é", "1", ".\n"]) for _ in range(60)) for _ in range(25)]
-    coder, _, _ = encoder(VOCABULARY)
+    coder, _ = encoder(VOCABULARY)
     want = {}
     for d, text in enumerate(texts):
         raw, section, owner = text.encode(), 0, []
