@@ -183,7 +183,8 @@ def identify_language(docs: DataFrame, labelled: DataFrame, texts: int = SAMPLE_
     the sample's size over the length of the text is the cross-parsing entropy; the lowest wins, the smaller language
     name among equals. score is 1 - lowest / second lowest (1 with a single language). Letters are compared in lower case,
     everything else counts as a gap. A text that is null or has no letter, or any text when nothing is labelled, is
-    "und" with score 0. Long texts are parsed in runs of 512 characters. Repeated rows get equal answers; input columns named lang_pred or score are replaced.
+    "und" with score 0. Long texts are parsed in runs of 512 characters. Repeated rows get equal answers; input columns named lang_pred or score are
+    replaced, others stay whatever their names. An empty table gives an empty one.
     """
     sample = tuple(sorted(draw_sample(labelled, texts).items()))
     kept = docs.drop("lang_pred", "score")

@@ -219,8 +219,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Links: 100 * common >= percent * union over distinct shingles of five words.
 
     A null or empty text, or one without words, has no shingles and is linked with nothing; so is a row without
-    doc_id, whose component_id is null and which is kept. Repeated rows get equal rows. doc_id is taken to name one text; rows
-    of one doc_id with different texts are each judged by their own. Other columns are ignored.
+    doc_id, whose component_id is null and which is kept. Repeated rows get equal rows. doc_id has to name one text: rows of
+    one doc_id with different texts get a row each with the size of their own text, and count as linked if any of
+    their texts is (the pipeline gives such texts ids of their own first). Whole texts of any length are read, a
+    bounded number of bytes at a time unless one text is longer. Other columns are not read, whatever their names. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     signed = settle(signatures(docs))

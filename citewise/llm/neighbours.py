@@ -84,6 +84,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LI
     The query's own vec_id is no candidate; ties go to the smaller vec_id. Vectors that are null, zero, hold null or non-finite
     components, or have another length than most, and rows with a null vec_id, take no part. Repeated vec_ids are
     candidates each; a repeated query is asked once, with the smallest vector. Lists are scanned where their rows lie, so a list may hold any share of all rows.
+    Other columns are not read, whatever their names. An empty table gives an empty one.
     """
     shape = "query_id bigint, rank int, vec_id bigint, score double"
     spark = vectors.sparkSession
@@ -99,7 +100,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LI
     index = build_index(base.filter(F.size("embedding") == dim), dim, lists)
     found = spark.createDataFrame([], "query_id bigint, vec_id bigint, score double")
     for part in query_blocks(asked.filter(F.size("embedding") == dim), dim):
-        found = found.unionAll(_search(index, part, dim, k, probes))
+        # a block is answered and written before the next one is held
+        found = found.unionAll(settle(_search(index, part, dim, k, probes)))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

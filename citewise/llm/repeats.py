@@ -322,7 +322,9 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     Texts count as UTF-8 bytes. Every byte in a string of 50 bytes that also starts in a document with a smaller doc_id
     is removed, as judged on the input; n_spans counts the maximal removed runs. A text equal to one of a smaller
     doc_id goes whole when it has 50 bytes. Null and empty texts have no bytes; a row without doc_id loses nothing and
-    makes nobody lose anything. Rows of equal doc_id do not judge each other. Other columns are ignored. kept is null where nothing was removed.
+    makes nobody lose anything. Rows of equal doc_id do not judge each other, so of equal texts those of the smallest doc_id
+    stay. Texts of any length are read whole, 1 MB at a time unless one is longer. Other columns are not read, whatever
+    their names. An empty table gives an empty one. kept is null where nothing was removed.
     """
     return _judged(docs, repeated_spans(docs), keep_bytes)
 

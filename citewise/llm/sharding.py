@@ -46,7 +46,8 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, per_range: int =
     by one record at most. The sample decides only how the work is dealt, never where a record goes.
 
     size is the UTF-8 length plus 1 (null text: 1, and text_crc32 is null); law is "bytes", so grown_shard is null.
-    Repeated rows are separate records that take neighbouring slots. An empty table gives an empty one.
+    Repeated rows are separate records that take neighbouring slots. Only the length and hash of a text of any length are
+    kept. Other columns break ties between rows of one text and doc_id, whatever their names. An empty table gives an empty one.
     """
     text = F.col("text")
     slim = settle(

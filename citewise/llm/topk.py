@@ -66,6 +66,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, block
     The query's own vec_id is no candidate; ties go to the smaller vec_id. Vectors that are null or hold null or
     non-finite components, or of another length than most, take no part. Rows with a null vec_id take no part. Repeated vec_ids are candidates
     each; a repeated query is asked once, with the smallest vector. Fewer than k candidates give as many rows; scores beyond a long are cut to its bounds.
+    Other columns are not read, whatever their names. An empty table gives an empty one.
     """
     shape = "query_id bigint, rank int, vec_id bigint, score bigint"
     base = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
@@ -77,10 +78,10 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, block
     base, asked = base.filter(F.size("embedding") == dim), asked.filter(F.size("embedding") == dim)
     borders = np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
     cuts = list(zip(borders[:-1], borders[1:]))
-    answers = [_search(base, part, dim, cuts, k) for part in query_blocks(asked, dim)]
     found = spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
-    for answer in answers:
-        found = found.unionAll(answer)
+    for part in query_blocks(asked, dim):
+        # a block is answered and written before the next one is held
+        found = found.unionAll(settle(_search(base, part, dim, cuts, k)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -178,3 +178,13 @@ def test_words_that_cover_all_sentences():
     words = covering_words(list(ALL_SENTENCES.values()))
     assert all(set(words) & set(s.split(" ")) for s in ALL_SENTENCES.values()) and len(words) < 20
     assert covering_words([]) == []
+
+
+def test_texts_of_one_id_link_together(spark):
+    rng = random.Random(3)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    near = lambda words: " ".join([*words[:-1], "other"])
+    a, b, c = text(), text(), text()
+    made = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (5, "few words"), (1, "few words")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)).collect())
+    assert got == [(1, 1, 1, True), (1, 116, 1, True), (1, 116, 1, True), (2, 116, 1, False), (3, 116, 1, False), (4, 116, 4, True), (5, 1, 1, False)]
