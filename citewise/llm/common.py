@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from citewise.plans.batches import slices
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,18 +81,6 @@ def by_parts(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str |
     return run
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that one piece holds about max_bytes of the column, or a single row."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
-    ends = np.cumsum(np.asarray(lengths, dtype=np.int64))
-    start = 0
-    while start < batch.num_rows:
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def text_bytes(column: pa.Array):
     """(uint8 buffer, start of each row, end of each row); a null has no bytes. Offsets fit 64 bits."""
     column = column.fill_null("") if column.null_count else column

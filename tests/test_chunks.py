@@ -1,11 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from citewise.operators.chunking import chunk_documents, split_text
+from citewise.operators.chunking import PART_BYTES, _split_batches, chunk_documents, split_text
 from citewise.operators.segments import block_units, page_rows, segment_lines, segment_pages, slide_units, text_pages
 from citewise.plans.scans import carry_forward, number_rows
 from citewise.sources.files import text_units
@@ -178,3 +179,14 @@ def test_page_forms_agree(spark):
     direct = segment_pages(text_pages(pages)).collect()
     through_lines = segment_pages(page_rows(page_lines(text_pages(pages)))).collect()
     assert sorted(direct) == sorted(through_lines) and {u["section"] for u in direct} == {"A HEAD LINE"}
+
+
+@pytest.mark.parametrize("texts", [["word " * 600] * 3000, ["a line of a longer text\n" * 400_000]])
+def test_a_worker_gives_chunks_on_in_bounded_parts(texts):
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "_source": pa.array(texts)})
+    parts = list(_split_batches(["doc_id"], 1200, 200)(iter([batch])))
+    assert len(parts) > 5
+    assert all(part.nbytes < 3 * PART_BYTES for part in parts)
+    found = [row for part in parts for row in part.to_pylist()]
+    expected = [(i, n, c.strip(), a, b) for i, t in enumerate(texts) for n, (c, a, b) in enumerate(split_text(t, 1200, 200))]
+    assert [(r["doc_id"], r["_piece"], r["text"], r["_start"], r["_end"]) for r in found] == expected
