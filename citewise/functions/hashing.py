@@ -1,73 +1,98 @@
-"""Signed feature hashing: text -> sparse unit vector, wholly inside one row.
+"""Signed feature hashing: text -> sparse unit vector, next to the row.
 
 A vector is ``array<struct<bucket int, weight double>>`` ordered by bucket. Nothing is exploded, so embedding a
-corpus needs no shuffle: tokens are hashed, sorted inside the row and run-length counted.
+corpus needs no shuffle: tokens are found and counted over Arrow batches, a few texts at a time, and a token that a worker
+has met is not hashed again.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citewise.functions.text import let, tokens
+from citewise.functions.text import let
+from citewise.plans.batches import slices
 
 DEFAULT_DIM = 384
 SPARSE_TYPE = "array<struct<bucket:int,weight:double>>"
+ARROW_TYPE = pa.list_(pa.struct([("bucket", pa.int32()), ("weight", pa.float64())]))
+TOKEN = re.compile("[a-z0-9]+")
+PART_BYTES = 1 << 20  # of text that is taken apart at a time
+PART_CELLS = 1 << 20  # of counts that are held at a time
+KNOWN_TOKENS = 200_000
 
 
-def signed_keys(token_list: Column, dim: int) -> Column:
-    """bucket * 2, plus 1 when the token counts negatively, for every token.
+class TokenKeys(dict):
+    """token -> bucket * 2, plus 1 when it counts negatively; a bounded number is remembered.
 
     The first four bytes of a token's md5 give the bucket, the parity of the fifth its sign.
     """
-    numbers = F.transform(token_list, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 10), 16, 10).cast("long"))
-    return F.transform(numbers, lambda n: (F.shiftright(n, 8) % dim * 2 + n % 2).cast("int"))
-
-
-def signed_counts(col: Column, dim: int = DEFAULT_DIM) -> Column:
-    """``array<struct<bucket, count>>`` of summed signs, one entry per touched bucket."""
-
-    def bucket_of(key: Column) -> Column:
-        return F.shiftright(key, 1)
 
-    def count_runs(keys: Column) -> Column:
-        n = F.size(keys)
-        ends = F.filter(
-            F.sequence(F.lit(1), n), lambda i: (i == n) | (bucket_of(F.get(keys, i - 1)) != bucket_of(F.get(keys, i)))
-        )
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        number = int.from_bytes(md5(token.encode(), usedforsecurity=False).digest()[:5], "big")
+        key = (number >> 8) % self.dim * 2 + number % 2
+        if len(self) >= KNOWN_TOKENS:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = key
+        return key
+
+
+def unit_vectors(texts: list[str], keys: TokenKeys) -> pa.Array:
+    """Sparse vectors of length one of lower-cased texts; one without tokens, or whose counts cancel out, is empty."""
+    dim = keys.dim
+    tokens = [TOKEN.findall(text) for text in texts]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    found = np.fromiter(map(keys.__getitem__, chain.from_iterable(tokens)), np.int64, int(sizes.sum()))
+    cells = np.repeat(np.arange(len(texts)) * dim, sizes) + (found >> 1)
+    counts = np.bincount(cells, weights=1 - 2 * (found & 1), minlength=len(texts) * dim).reshape(-1, dim)
+    norms = np.sqrt((counts * counts).sum(axis=1))
+    rows, buckets = np.nonzero(counts)
+    entries = [pa.array(buckets, pa.int32()), pa.array(counts[rows, buckets] / norms[rows])]
+    offsets = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(texts)))]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(entries, ["bucket", "weight"]))
+
+
+def _hasher(dim: int):
+    def embed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keys, rows = TokenKeys(dim), max(1, PART_CELLS // dim)
+        for array in texts:
+            batch = pa.record_batch([array], ["text"])
+            few = (batch.slice(start, rows) for start in range(0, len(batch), rows))
+            parts = [unit_vectors(part.column(0).to_pylist(), keys) for some in few for part in slices(some, "text", PART_BYTES)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], ARROW_TYPE)
+
+    return F.arrow_udf(embed, SPARSE_TYPE)
 
-        def run(all_ends: Column) -> Column:
-            def entry(end: Column, position: Column) -> Column:
-                begin = F.coalesce(F.get(all_ends, position - 1), F.lit(0))
-                count = F.aggregate(
-                    F.slice(keys, begin + 1, end - begin), F.lit(0), lambda acc, key: acc + 1 - 2 * (key % 2)
-                )
-                return F.struct(bucket_of(F.get(keys, end - 1)).alias("bucket"), count.alias("count"))
 
-            return F.transform(all_ends, entry)
+def hashed_vector(col: Column, dim: int = DEFAULT_DIM) -> Column:
+    """L2-normalised sparse vector; a text without tokens gives an empty one."""
+    return _hasher(dim)(F.lower(F.coalesce(col, F.lit(""))))
 
-        return let(ends, run)
 
-    keys = F.sort_array(signed_keys(tokens(col), dim))
-    return let(
-        keys, lambda k: F.when(F.size(k) > 0, count_runs(k)).otherwise(F.array().cast("array<struct<bucket:int,count:int>>"))
-    )
+def sparse_dot(left: Column, right: Column) -> Column:
+    """Inner product of two sparse vectors, null where one is missing: their entries in the order of buckets, products of neighbours."""
 
+    def products(entries: Column) -> Column:
+        def add(state: Column, entry: Column) -> Column:
+            shared = state["bucket"] == entry["bucket"]
+            total = F.when(shared, state["total"] + state["weight"] * entry["weight"]).otherwise(state["total"])
+            return F.struct(entry["bucket"].alias("bucket"), entry["weight"].alias("weight"), total.alias("total"))
 
-def hashed_vector(col: Column, dim: int = DEFAULT_DIM) -> Column:
-    """L2-normalised sparse vector; a text without tokens gives an empty one."""
+        start = F.struct(F.lit(-1).alias("bucket"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("total"))
+        return F.aggregate(entries, start, add)["total"]
 
-    def scale(counts: Column) -> Column:
-        norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("long"), lambda acc, e: acc + e["count"] * e["count"]).cast("double"))
-        kept = F.filter(counts, lambda e: e["count"] != 0)
-        return let(
-            norm,
-            lambda n: F.transform(
-                kept, lambda e: F.struct(e["bucket"].alias("bucket"), (e["count"].cast("double") / n).alias("weight"))
-            ),
-        )
-
-    return let(signed_counts(F.coalesce(col, F.lit("")), dim), scale).cast(SPARSE_TYPE)
+    return let(F.sort_array(F.concat(left, right)), products)
 
 
 def to_dense(vector: Column, dim: int = DEFAULT_DIM) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from citewise.functions import labels as lb
 from citewise.functions import text as tx
-from citewise.functions.hashing import hashed_vector
+from citewise.functions.hashing import hashed_vector, sparse_dot
 from citewise.operators import evidence, rerank, search, vector_lists
 from citewise.plans.answers import semantic_evidence
+from citewise.plans.materialize import settle
 from suite.common import (
     Registry,
     benchmark_questions,
@@ -91,10 +92,10 @@ GROUP BY 1""",
 )
 def f3(spark, folder):
     """Cosine of every document with the one after it, through the sparse form."""
-    left = spread(load(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.inline_outer(hashed_vector(F.col("text"))))
-    right = left.filter(F.col("bucket").isNotNull()).select((F.col("doc_id") - 1).alias("doc_id"), "bucket", F.col("weight").alias("other"))
-    pairs = left.join(right, ["doc_id", "bucket"], "left")
-    return pairs.groupBy("doc_id").agg((F.round(F.coalesce(F.sum(F.col("weight") * F.col("other")), F.lit(0.0)), 6) + 0.0).alias("score"))
+    vectors = settle(spread(load(spark, folder, "documents").select("doc_id", "text")).select("doc_id", hashed_vector(F.col("text")).alias("vector")))
+    following = vectors.select((F.col("doc_id") - 1).alias("doc_id"), F.col("vector").alias("other"))
+    pairs = vectors.join(following, "doc_id", "left").select("doc_id", sparse_dot(F.col("vector"), F.col("other")).alias("cosine"))
+    return pairs.groupBy("doc_id").agg((F.round(F.coalesce(F.sum("cosine"), F.lit(0.0)), 6) + 0.0).alias("score"))
 
 
 RERANKED_SQL = (

@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,19 @@ def test_answers(one):
     assert one(qs.extract_answer(F.lit("[Source: a.txt]\nfirst\nsecond\n\n[Source: b.txt]\nthird"))) == "first second"
     assert one(qs.extract_answer(F.lit("  "))) == qs.NOT_FOUND
     assert len(one(qs.extract_answer(F.lit("x" * 1000)))) == 300
+
+
+def test_sparse_dot(one):
+    entry = lambda b, w: F.struct(F.lit(b).alias("bucket"), F.lit(w).alias("weight"))
+    left, right = F.array(entry(0, 0.5), entry(3, 2.0), entry(9, 1.0)), F.array(entry(3, 0.25), entry(4, 7.0), entry(9, -1.0))
+    assert one(hashing.sparse_dot(left, right)) == -0.5
+    assert one(hashing.sparse_dot(left, F.lit(None).cast(hashing.SPARSE_TYPE))) is None
+
+
+def test_vectors_are_made_of_few_texts_at_a_time(monkeypatch):
+    seen = []
+    monkeypatch.setattr(hashing, "unit_vectors", lambda texts, keys: seen.append(len(texts)) or pa.array([[]] * len(texts), hashing.ARROW_TYPE))
+    embed = hashing._hasher(384).func
+    out = list(embed(iter([pa.array(["x"] * 10_000), pa.array(["word " * 20_000] * 50)])))
+    assert [len(a) for a in out] == [10_000, 50]
+    assert max(seen[:-5]) * 384 <= hashing.PART_CELLS and max(seen[-5:]) < 11
