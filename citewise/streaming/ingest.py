@@ -42,6 +42,11 @@ def ingest_stream(
     Spark while a batch is worked on fails the batch's documents instead of the stream; one while noting ends the stream.
     """
 
+    def over_all_cores(rows: DataFrame) -> DataFrame:
+        """A few large files are read by as few tasks; chunks and vectors are made by as many as there are cores."""
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
     def points_of(rows: DataFrame, stream_id: str, batch_id: int) -> DataFrame:
         sound = rows.filter(F.col("error").isNull()).drop("error") if "error" in rows.columns else rows
         chunks = chunk_documents(text_units(sound), size, overlap, single_unit=True)
@@ -54,7 +59,7 @@ def ingest_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         stream_id = session.sparkContext.getLocalProperty("sql.streaming.queryId")
-        rows = prepare(batch)
+        rows = prepare(over_all_cores(batch))
         points = points_of(rows, stream_id, batch_id)
         if ledger is None:
             store(points)

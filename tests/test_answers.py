@@ -186,3 +186,12 @@ def test_long_integers_are_summed_whole(spark):
     needed = spark.createDataFrame([("s", NO_FILTER, "", 0)], "sheet_id string, filter_idx int, filter_text string, target_idx int")
     got = filtered_sums(rows, needed).select(F.col("total").cast("bigint"), "numbers").first()
     assert tuple(got) == (100000000000012, 3)
+
+
+def test_a_batch_of_one_file_is_worked_on_by_all_cores(spark, tmp_path):
+    documents = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    documents.coalesce(1).write.parquet(str(tmp_path / "in"))
+    dealt = []
+    ingest_stream(spark, str(tmp_path / "in"), documents.schema, str(tmp_path / "out"), str(tmp_path / "state"), lambda df: dealt.append(df.rdd.getNumPartitions()) or df, dim=4)
+    assert dealt == [spark.sparkContext.defaultParallelism]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
