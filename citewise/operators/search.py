@@ -25,7 +25,10 @@ DEFAULT_K = 6
 SHEETS_K = 2
 SCORE_DIGITS = 6
 BLOCK_BYTES = 64 * 1024 * 1024  # of question vectors that one pass over the points holds
-BLOCK_SCORES = 4_000_000
+BLOCK_SCORES = 1_000_000
+POINT_ROWS = 2048  # points that a worker opens at a time
+HELD_ROWS = 100_000  # hits that may gather before they are cut to the best
+SCORE_SLACK = 2 * 10.0**-SCORE_DIGITS  # scores that are equal when rounded lie closer together
 TENANT = "_tenant"
 
 
@@ -52,12 +55,13 @@ def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(rows, norms, out=rows, where=norms > 0)
 
 
-def _winners(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(point, question) positions that may belong to a top-k; ties with the k-th score are all kept."""
-    if scores.shape[0] > k:
-        kth = -np.partition(-scores, k - 1, axis=0)[k - 1]
-        return np.nonzero(scores >= kth)
-    return np.nonzero(np.ones_like(scores, dtype=bool))
+def _winners(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(point, question) positions that may belong to a top-k: not below the k-th score met before (``least``) nor, where
+    many are above it, the k-th of this part; ties with either are all kept."""
+    found = scores >= least - SCORE_SLACK
+    if len(scores) > k and np.count_nonzero(found) > k * scores.shape[1]:
+        found &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] - SCORE_SLACK
+    return np.nonzero(found)
 
 
 def _best(table: pa.Table, k: int) -> pa.Table:
@@ -72,49 +76,62 @@ def _best(table: pa.Table, k: int) -> pa.Table:
     return ordered.filter(pa.array(np.arange(len(question)) - start < k)).combine_chunks()
 
 
-def _score_block(points: pa.Table, vectors: np.ndarray, questions: np.ndarray, positions: np.ndarray, k: int) -> pa.Table:
+def _score_block(points: pa.Table, vectors: np.ndarray, questions: np.ndarray, positions: np.ndarray, least: np.ndarray, k: int) -> Iterator[pa.Table]:
     """Candidate hits of one block; questions are taken in slices so that the score matrix stays small."""
     step = max(1, BLOCK_SCORES // max(1, len(vectors)))
-    parts = []
     for start in range(0, len(questions), step):
-        scores = np.round(vectors @ questions[start : start + step].T, SCORE_DIGITS) + 0.0
-        point, question = _winners(scores, k)
+        mine = positions[start : start + step]
+        scores = vectors @ questions[start : start + step].T
+        point, question = _winners(scores, least[mine], k)
+        rounded = np.round(scores[point, question], SCORE_DIGITS) + 0.0
         hits = points.take(pa.array(point))
-        where = pa.array(positions[start + question], pa.int64())
-        parts.append(pa.table([where, pa.array(scores[point, question]), *hits.columns], names=["_question", "score", *hits.schema.names]))
-    return pa.concat_tables(parts)
+        where = pa.array(mine[question], pa.int64())
+        yield pa.table([where, pa.array(rounded), *hits.columns], names=["_question", "score", *hits.schema.names])
 
 
 def _scan(placed, carried: Sequence[str], vector: str, dim: int, k: int):
+    """Points come in parts of a few rows, whatever the batch; a question's k-th best score so far bars the rest of the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_tenant, question_ids = placed.value
-        best = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            tenants = table.column(TENANT).combine_chunks().dictionary_encode()
+        least = np.full(len(question_ids), -np.inf)
+        held, rows, limit = [], 0, HELD_ROWS
+        for table in (batch.slice(start, POINT_ROWS) for batch in batches for start in range(0, batch.num_rows, POINT_ROWS)):
+            tenants = table.column(TENANT).dictionary_encode()
             codes = np.asarray(tenants.indices)
-            found = []
             order = np.argsort(codes, kind="stable")
             edges = np.searchsorted(codes[order], np.arange(len(tenants.dictionary) + 1))
             for code, tenant in enumerate(tenants.dictionary.to_pylist()):
                 if tenant not in by_tenant:
                     continue
                 positions, questions = by_tenant[tenant]
-                mine = table.take(pa.array(order[edges[code] : edges[code + 1]]))
+                mine = pa.Table.from_batches([table]).take(pa.array(order[edges[code] : edges[code + 1]]))
                 vectors = unit_rows(mine.column(vector), dim)
-                found.append(_score_block(mine.select(list(carried)), vectors, questions, positions, k))
-            if found:
-                best = _best(pa.concat_tables(found if best is None else [best, *found]), k)
-        if best is not None:
+                for hits in _score_block(mine.select(list(carried)), vectors, questions, positions, least, k):
+                    held.append(hits)
+                    rows += len(hits)
+                    if rows > limit:
+                        held = [_best(pa.concat_tables(held), k)]
+                        rows = len(held[0])
+                        limit = HELD_ROWS + 2 * rows
+                        _raise_least(least, held[0], k)
+        if held:
+            best = _best(pa.concat_tables(held), k)
             ids = question_ids.take(best.column("_question"))
             out = best.drop_columns(["_question"]).add_column(0, "question_id", ids)
-            yield from out.combine_chunks().to_batches()
+            yield from out.combine_chunks().to_batches(max_chunksize=HELD_ROWS)
 
     return run
 
 
+def _raise_least(least: np.ndarray, best: pa.Table, k: int) -> None:
+    """Note the k-th score of every question that has k hits; ``best`` is ordered by question, best first."""
+    question = best.column("_question").to_numpy()
+    found, first, count = np.unique(question, return_index=True, return_counts=True)
+    full = count == k
+    least[found[full]] = best.column("score").to_numpy()[first[full] + k - 1]
+
+
 def _question_blocks(asked: DataFrame, dim: int, block_bytes: int) -> tuple[int, Iterator[pa.Table]]:
     """(number of blocks, the questions in blocks of about block_bytes of vectors, dealt by hash); written once, so no block repeats their plan."""
     stored = settle(asked)
