@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citewise.functions.hashing import DEFAULT_DIM, hashed_vector
-from citewise.plans.materialize import settle
+from citewise.plans.materialize import settle, shared_path
 
 CANDIDATES = 15
 DEFAULT_K = 6
@@ -29,7 +29,7 @@ BLOCK_SCORES = 1_000_000
 POINT_ROWS = 2048  # points that a worker opens at a time
 HELD_ROWS = 100_000  # hits that may gather before they are cut to the best
 SCORE_SLACK = 2 * 10.0**-SCORE_DIGITS  # scores that are equal when rounded lie closer together
-TENANT = "_tenant"
+TENANT, BLOCK = "_tenant", "_block"
 
 
 def embed(df: DataFrame, text: str = "text", out: str = "vector", dim: int = DEFAULT_DIM, provider=None) -> DataFrame:
@@ -124,6 +124,29 @@ def _scan(placed, carried: Sequence[str], vector: str, dim: int, k: int):
     return run
 
 
+def _scan_questions(placed, carried: Sequence[str], dim: int, k: int):
+    """The other way round: few points are at hand, questions come as they lie, and each leaves with its best k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_tenant, points = placed.value
+        for table in (batch.slice(start, POINT_ROWS) for batch in batches for start in range(0, batch.num_rows, POINT_ROWS)):
+            tenants = table.column(TENANT).dictionary_encode()
+            codes = np.asarray(tenants.indices)
+            asked = unit_rows(table.column("vector"), dim)
+            least = np.full(len(asked), -np.inf)
+            for code, tenant in enumerate(tenants.dictionary.to_pylist()):
+                if tenant not in by_tenant:
+                    continue
+                rows, vectors = by_tenant[tenant]
+                positions = np.flatnonzero(codes == code)
+                for hits in _score_block(points.take(pa.array(rows)), vectors, asked[positions], positions, least, k):
+                    best = _best(hits, k)
+                    ids = table.column("question_id").take(best.column("_question").combine_chunks())
+                    yield from best.drop_columns(["_question"]).add_column(0, "question_id", ids).combine_chunks().to_batches()
+
+    return run
+
+
 def _raise_least(least: np.ndarray, best: pa.Table, k: int) -> None:
     """Note the k-th score of every question that has k hits; ``best`` is ordered by question, best first."""
     question = best.column("_question").to_numpy()
@@ -132,22 +155,37 @@ def _raise_least(least: np.ndarray, best: pa.Table, k: int) -> None:
     least[found[full]] = best.column("score").to_numpy()[first[full] + k - 1]
 
 
-def _question_blocks(asked: DataFrame, dim: int, block_bytes: int) -> tuple[int, Iterator[pa.Table]]:
-    """(number of blocks, the questions in blocks of about block_bytes of vectors, dealt by hash); written once, so no block repeats their plan."""
-    stored = settle(asked)
+def _question_blocks(stored: DataFrame, dim: int, block_bytes: int) -> tuple[int, Iterator[pa.Table]]:
+    """(number of blocks, the written questions in blocks of about block_bytes of vectors).
+
+    Blocks are ranges of tenants, and each is a folder of its own: a block reads its questions only and concerns few tenants.
+    """
     blocks = max(1, -(-stored.count() * 8 * dim // block_bytes))
-    parts = (stored.filter(F.pmod(F.xxhash64("question_id", TENANT), F.lit(blocks)) == block).toArrow() for block in range(blocks))
-    return blocks, (part for part in parts if part.num_rows)
+
+    def parts() -> Iterator[pa.Table]:
+        if blocks == 1:
+            yield stored.toArrow()
+            return
+        spark = stored.sparkSession
+        path = shared_path(spark, "questions")
+        dealt = stored.repartitionByRange(blocks, TENANT, F.xxhash64("question_id")).withColumn(BLOCK, F.spark_partition_id())
+        dealt.write.partitionBy(BLOCK).parquet(path)
+        placed = spark.read.schema(dealt.schema).parquet(path)
+        for block in range(blocks):
+            yield placed.filter(F.col(BLOCK) == block).drop(BLOCK).toArrow()
+
+    return blocks, (part for part in parts() if part.num_rows)
 
 
-def _place(spark, table: pa.Table, dim: int):
-    """Bounded question side as {tenant: (positions, unit rows)} plus the ids, shipped once per executor."""
+def _place(spark, table: pa.Table, dim: int, kept: Sequence[str] = ("question_id",)):
+    """Bounded side as {tenant: (positions, unit rows)} plus the ids (one column, or a table of several), shipped once per executor."""
     vectors = unit_rows(table.column("vector"), dim)
     grouped: dict = {}
     for position, tenant in enumerate(table.column(TENANT).to_pylist()):
         grouped.setdefault(tenant, []).append(position)
     by_tenant = {t: (np.array(p), vectors[p]) for t, p in grouped.items()}
-    return spark.sparkContext.broadcast((by_tenant, table.column("question_id").combine_chunks()))
+    ids = table.select(list(kept)).combine_chunks()
+    return spark.sparkContext.broadcast((by_tenant, ids.column(0).combine_chunks() if len(kept) == 1 else ids))
 
 
 def top_k(
@@ -164,11 +202,12 @@ def top_k(
     """questions(question_id, *tenant, vector) x points(point_id, *tenant, vector, *payload) -> best k points each.
 
     Output: question_id, score, point_id, payload columns and 1-based ``rank``. Questions come in blocks of bounded size;
-    each block meets the points where they lie, and only ids and tenants of a task's best k leave it. The payload is joined to
+    each block meets the points where they lie, and only ids and tenants of a task's best k leave it. Where questions would
+    make several blocks and the points only one, the points are sent out and the questions read once. The payload is joined to
     the ranked rows on tenant and id, so an id may occur in several tenants; inside one it has to be unique.
     """
     tenant_key = F.to_json(F.struct(*[F.col(c).cast("string") for c in tenant])) if tenant else F.lit("")
-    asked = questions.select("question_id", tenant_key.alias(TENANT), "vector")
+    asked = settle(questions.select("question_id", tenant_key.alias(TENANT), "vector"))
     carried = [point_id, TENANT]
     stored = points.select(point_id, tenant_key.alias(TENANT), F.col(vector))
     schema = T.StructType(
@@ -176,13 +215,19 @@ def top_k(
     )
     spark = questions.sparkSession
     blocks, parts = _question_blocks(asked, dim, block_bytes)
-    # one block scans the points where they lie; for several their vectors are made once, and a block leaves the driver
-    # and the executors when its hits are written
-    stored = settle(stored) if blocks > 1 else stored
+    # one block scans the points where they lie; for several their vectors are made once, by tenant inside every file, so a
+    # block passes over those of other tenants, and it leaves the driver and the executors when its hits are written
+    stored = settle(stored.sortWithinPartitions(TENANT)) if blocks > 1 else stored
     found = spark.createDataFrame([], schema)
+    if blocks > 1 and stored.count() * 8 * dim <= block_bytes:
+        placed = _place(spark, stored.withColumnsRenamed({vector: "vector"}).toArrow(), dim, carried)
+        found, parts = settle(asked.mapInArrow(_scan_questions(placed, carried, dim, k), schema)), ()
+        placed.destroy()
     for block in parts:
         placed = _place(spark, block, dim)
-        hits = stored.mapInArrow(_scan(placed, carried, vector, dim, k), schema)
+        tenants = pc.min_max(block.column(TENANT)).as_py()
+        near = stored.filter(F.col(TENANT).between(tenants["min"], tenants["max"])) if blocks > 1 else stored
+        hits = near.mapInArrow(_scan(placed, carried, vector, dim, k), schema)
         if blocks > 1:
             hits = settle(hits)
             placed.destroy()
