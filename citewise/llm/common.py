@@ -13,6 +13,8 @@ from pyspark.sql.types import StructField, StructType
 from citewise.plans.batches import slices
 
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +45,17 @@ def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[
     return df.withColumnsRenamed(held), lambda out: out.select(*shown)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands Python about BATCH_BYTES of rows at a time unless it has a bound of its own.
+
+    Spark's own bound of 64 MB is held several times over outside of the heap, for every task of an executor and its worker.
+    """
+    spark = df.sparkSession
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+    return df
+
+
 def add_columns(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: Sequence[StructField]) -> DataFrame:
     """df with further columns that fn puts behind those of its batches; df's columns may have any names."""
     names = df.columns
@@ -53,7 +66,7 @@ def add_columns(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
         for out in fn(shown):
             yield pa.RecordBatch.from_arrays(out.columns, plain)
 
-    safe = df.toDF(*plain[: len(names)])
+    safe = in_small_batches(df).toDF(*plain[: len(names)])
     fields = [*safe.schema.fields, *[StructField(name, f.dataType) for name, f in zip(plain[len(names) :], added)]]
     return safe.mapInArrow(run, StructType(fields)).toDF(*names, *[f.name for f in added])
 
@@ -68,7 +81,7 @@ def map_batches(
 ) -> DataFrame:
     """Apply a function of one Arrow batch where the rows lie; with ``text``, of parts with about max_bytes of that column."""
 
-    return df.mapInArrow(by_parts(fn, text, max_bytes), schema)
+    return in_small_batches(df).mapInArrow(by_parts(fn, text, max_bytes), schema)
 
 
 def by_parts(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str | None = None, max_bytes: int = 1 << 20):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citewise.functions.text import let
-from citewise.llm.common import slices
+from citewise.llm.common import in_small_batches, slices
 from citewise.llm.spans import larger_batches, strings
 from citewise.plans.materialize import settle
 
@@ -105,7 +105,7 @@ def word_counts(texts: DataFrame, cuts) -> DataFrame:
                     for some in pa.table({"word": word, "size": size.cast(pa.int32()), "n": found.field(1)}).to_batches(max_chunksize=50_000):
                         yield some.set_column(0, "word", some.column("word").cast(pa.string()))
 
-    return texts.select("text").mapInArrow(count, "word string, size int, n bigint").groupBy("word", "size").agg(F.sum("n").alias("n"))
+    return in_small_batches(texts).select("text").mapInArrow(count, "word string, size int, n bigint").groupBy("word", "size").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int = KNOWN) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citewise.llm.common import map_batches
 from citewise.llm.components import components
 from citewise.llm.shingles import mixed, shingle_sets
-from citewise.plans.materialize import settle
+from citewise.plans.materialize import parts_for, settle
 
 BUCKETS = 64
 ROWS = 4  # registers of a band
@@ -20,6 +20,7 @@ STAR_ROUNDS = 3
 PAIRED = 32  # members up to which a bucket's pairs are listed; larger buckets are compared in blocks
 BLOCK = 128
 PERCENT = 85
+PART = 1 << 20  # shingles whose rows make up a file
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -226,20 +227,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     signed = settle(signatures(docs))
+    parts = parts_for(spark, signed.agg(F.sum("n_shingles")).first()[0], PART)
     named = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     grouped = named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("first"))
-    classes = settle(grouped.select("d1", "d2", F.col("first.doc_id").alias("rep"), "first.n_shingles", "first.regs"))
+    classes = settle(grouped.select("d1", "d2", F.col("first.doc_id").alias("rep"), "first.n_shingles", "first.regs"), parts)
 
-    bands = settle(_bands(classes))
+    bands = settle(_bands(classes), parts)
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
-    members = settle(bands.join(shared, "key").distinct())
-    sets = settle(_sets(docs, members.select("rep").distinct()))
+    members = settle(bands.join(shared, "key").distinct(), parts)
+    sets = settle(_sets(docs, members.select("rep").distinct()), parts)
 
     tested = spark.createDataFrame([], "a bigint, b bigint")
     links = tested
     found = members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).distinct()
     for attempt in range(STAR_ROUNDS + 1):
-        placed = settle(members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
+        placed = settle(members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), parts)
         order = F.col("rep") if attempt == 0 else F.xxhash64(F.lit(attempt), "rep")
         pivots = placed.groupBy("key").agg(
             F.min(F.struct(order.alias("h"), F.col("rep").alias("pivot"), F.col("component").alias("at"))).alias("p"),
@@ -249,23 +251,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             met = placed.join(pivots.select("key", "p.pivot", "p.at"), "key").filter(F.col("component") != F.col("at"))
             pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         else:
-            open_ = settle(placed.join(pivots.select("key"), "key"))
-            large = settle(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRED).select("key"))
-            crowded = settle(_linked_in_blocks(open_.join(large, "key", "left_semi"), sets, percent))
+            open_ = settle(placed.join(pivots.select("key"), "key"), parts)
+            large = settle(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRED).select("key"), parts)
+            crowded = settle(_linked_in_blocks(open_.join(large, "key", "left_semi"), sets, percent), parts)
             rest = open_.join(large, "key", "left_anti")
             other = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
             pairs = rest.join(other, "key").filter((F.col("component") != F.col("other")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b")
-        fresh = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        linked = settle(_verified(settle(_estimated(fresh, classes, percent)), sets, percent))
+        fresh = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"), parts)
+        linked = settle(_verified(settle(_estimated(fresh, classes, percent), parts), sets, percent), parts)
         tested = tested.unionAll(fresh)
         if attempt == STAR_ROUNDS:
             linked = linked.unionAll(crowded)
         if not linked.isEmpty():
             links = links.unionAll(linked)
-            found = components(links)
+            found = components(links, parts)
 
     member = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("_component"))
-    joined = signed.join(settle(member), ["d1", "d2"], "left")
+    joined = signed.join(settle(member, parts), ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     out = joined.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from citewise.llm.common import column, free_names, map_batches, text_bytes
 from citewise.llm.shingles import mixed, powers, prefix_sums
-from citewise.plans.materialize import settle
+from citewise.plans.materialize import parts_for, settle
 
 LENGTH = 50
 GRAM = 16
 SPLIT = 4096  # contexts of an anchor that one task orders; more are grouped string by string
+PART_BYTES = 8 << 20  # of text whose rows make up a file
+PART_ROWS = 1 << 16  # contexts that make up a file
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -154,13 +156,14 @@ def _all_anchors(texts: DataFrame) -> DataFrame:
 def contexts(docs: DataFrame) -> DataFrame:
     """(h, cid, ctx, at, doc_id, sha, start): every anchor that different texts share, with its context from byte start on; the anchor is ctx[at:]."""
     texts = _identified(docs).filter(F.col("doc_id").isNotNull())
-    base = settle(texts.select("doc_id", "sha").distinct())
+    base = settle(texts.select("doc_id", "sha", F.octet_length("text").alias("size")).distinct())
+    parts = parts_for(docs.sparkSession, base.agg(F.sum("size")).first()[0], PART_BYTES)
     first = base.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
     found = _all_anchors(texts.filter(F.octet_length("text") >= LENGTH))
     same = Window.partitionBy("k")
     seen = found.withColumn("varied", (F.min("label").over(same) < F.max("label").over(same)) | F.max("known").over(same))
     places = seen.filter("varied").groupBy("doc_id", "label").agg(F.collect_list("place").alias("places"))
-    places = settle(places.join(first.select("doc_id", F.xxhash64("sha").alias("label")), ["doc_id", "label"], "left_semi"))
+    places = settle(places.join(first.select("doc_id", F.xxhash64("sha").alias("label")), ["doc_id", "label"], "left_semi"), parts)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, starts, ends = text_bytes(part.column("text"))
@@ -180,7 +183,7 @@ def contexts(docs: DataFrame) -> DataFrame:
     read = texts.select("doc_id", "text", F.xxhash64("sha").alias("label"))
     joined = read.join(places, ["doc_id", "label"]).select("doc_id", "label", "text", "places")
     made = map_batches(joined, cut, "h bigint, ctx binary, at int, doc_id bigint, label bigint, start int", "text")
-    return settle(made.withColumn("cid", F.xxhash64("ctx", "at")))
+    return settle(made.withColumn("cid", F.xxhash64("ctx", "at")), parts)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -197,10 +200,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield key, rows
 
 
+def _parts(found: DataFrame) -> int:
+    return parts_for(found.sparkSession, found.count(), PART_ROWS)
+
+
 def _distinct_contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct contexts with their smallest doc_id: those of anchors that a task can order, and those of all others."""
     sizes = found.groupBy("h", "cid").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    sizes = settle(sizes.filter(F.col("n") > SPLIT).select("h"))
+    sizes = settle(sizes.filter(F.col("n") > SPLIT).select("h"), _parts(found))
     unique = lambda rows: rows.groupBy("h", "cid").agg(F.min("doc_id").alias("doc"), F.first("at").alias("at"), F.first("ctx").alias("ctx"))
     return unique(found.join(sizes, "h", "left_anti")), unique(found.join(sizes, "h", "left_semi"))
 
@@ -256,6 +263,7 @@ def _strings(large: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, label, spans): bytes that lie in a string of 50 bytes of a document with a smaller doc_id, first copies of texts only."""
     found = contexts(docs)
+    parts = _parts(found)
     small, large = _distinct_contexts(found)
 
     def judge(batches):
@@ -279,11 +287,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["h", "cid", "a", "b"])
 
     marked = _ordered(small).mapInArrow(judge, "h bigint, cid bigint, a bigint, b bigint")
-    strings = settle(_strings(large))
+    strings = settle(_strings(large), parts)
     least = strings.groupBy("string").agg(F.min("doc").alias("least"))
     later = strings.join(least, "string").filter(F.col("doc") > F.col("least"))
     split = later.select("h", "cid", F.col("shift").cast("bigint").alias("a"), (F.col("shift") + LENGTH).cast("bigint").alias("b"))
-    of_context = settle(marked.unionAll(split))
+    of_context = settle(marked.unionAll(split), parts)
 
     slim = found.select("h", "cid", "doc_id", "label", "start", F.octet_length("ctx").alias("size"))
     least = found.groupBy("h", "cid").agg(F.min("doc_id").alias("least"))
@@ -291,7 +299,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = copies.select("doc_id", "label", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("size")).cast("bigint").alias("b"))
     partly = slim.join(of_context, ["h", "cid"]).select("doc_id", "label", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     both = whole.unionAll(partly)
-    return settle(both.groupBy("doc_id", "label").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    return settle(both.groupBy("doc_id", "label").agg(F.collect_list(F.struct("a", "b")).alias("spans")), parts)
 
 
 def _edited(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -331,12 +339,13 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
 
 def _judged(docs: DataFrame, spans: DataFrame, keep_bytes: bool) -> DataFrame:
     rows = settle(_identified(docs).select("doc_id", "sha", F.octet_length("text").cast("bigint").alias("n_bytes")))
-    first = settle(rows.filter(F.col("doc_id").isNotNull()).groupBy("sha").agg(F.min("doc_id").alias("first")))
+    parts = parts_for(docs.sparkSession, rows.agg(F.sum("n_bytes")).first()[0], PART_BYTES)
+    first = settle(rows.filter(F.col("doc_id").isNotNull()).groupBy("sha").agg(F.min("doc_id").alias("first")), parts)
     edits = _edited(docs, spans).groupBy("doc_id", "label").agg(
         F.first("n_removed").alias("n_removed"), F.first("n_spans").alias("n_spans"),
         F.first(F.sha2("kept", 256)).alias("left"), *([F.first("kept").alias("kept")] if keep_bytes else []),
     )
-    edits = settle(edits)
+    edits = settle(edits, parts)
     joined = rows.join(first, "sha", "left").withColumn("label", F.xxhash64("sha")).join(edits, ["doc_id", "label"], "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
     zero = F.lit(0).cast("bigint")

@@ -8,6 +8,7 @@ keys. The copy is an ordinary Parquet table in the folder all executors share, s
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -59,10 +60,20 @@ def _shuffles_removed(spark: SparkSession):
             spark.conf.set(CLEANUP, before)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read back."""
+def parts_for(spark: SparkSession, size: int | None, each: int) -> int:
+    """Files for a table of this size: one for every ``each``, and two for each core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, math.ceil((size or 0) / each))
+
+
+def settle(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """The same rows, written to the shared folder and read back; ``parts`` bounds the files and tasks of the write.
+
+    A small file costs more than its rows: on a local folder without Hadoop's native library an executor starts several
+    processes for each. So a table whose size is known is not dealt to as many files as there are shuffle partitions.
+    """
     spark = df.sparkSession
     path = shared_path(spark, "citewise")
+    df = df.coalesce(parts) if parts else df
     with _shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
