@@ -9,6 +9,8 @@ cross pieces. Equal passages give equal chunks wherever they stand, which is whe
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +60,7 @@ def _chunks(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     data, borders = gather(raw, first, last, 1)
     data[borders[1:] - 1] = 32
     text = np.searchsorted(starts, first, side="right") - 1
-    piece = np.cumsum(breaks)[first]
+    piece = np.cumsum(breaks, dtype=np.int32)[first]
     begins = np.ones(len(first) + 1, bool)
     begins[1:-1] = (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])
     ends = np.flatnonzero(begins)  # starts of pieces and the end
@@ -91,7 +93,7 @@ def dictionary(docs: DataFrame) -> DataFrame:
                     found = _chunks(piece, begun)
                     if found is not None:
                         chunk, edges, own, text = found
-                        lang = part.column("lang").take(pa.array(rows[text]))
+                        lang = part.column("lang").dictionary_encode().take(pa.array(rows[text]))
                         yield from counted(lang, "chunk", strings(chunk, edges), np.ones(len(own), np.int64), own)
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
@@ -117,52 +119,95 @@ def counted(lang: pa.Array, name: str, text: pa.Array, n: np.ndarray, own: np.nd
         yield pa.record_batch({**out, "n": sums[at : at + ROWS_AT_ONCE]})
 
 
-def phrase_counts(chunks: DataFrame, size: int, sieve: Callable[[], np.ndarray] | None = None) -> DataFrame:
-    """(lang, phrase, n) of phrases of so many words, counted in the dictionary's chunks by weight.
+class Words:
+    """The words of a batch of chunks, one after the other, with what their chunks say of them."""
 
-    With a sieve of frequent shorter phrases, a phrase is counted only if both phrases of one word less pass. A sieve
-    lets some others pass too, and never holds back a phrase of which both parts are in it.
+    def __init__(self, batch: pa.RecordBatch):
+        raw, _, ends = text_bytes(batch.column("chunk"))
+        self.data = np.insert(raw, ends, 32)  # now every word has one blank behind it
+        blanks = np.flatnonzero(self.data == 32)
+        self.borders = np.append(0, blanks + 1)
+        closed = np.searchsorted(blanks, ends + np.arange(len(ends)), side="right")
+        held = np.diff(closed, prepend=0)
+        self.lang, self.n = batch.column("lang").dictionary_encode(), np.asarray(batch.column("n"), np.int64)
+        self.chunk = np.repeat(np.arange(len(ends)), held)
+        place = np.arange(len(blanks)) - np.repeat(closed - held, held)
+        self.left = np.repeat(held, held) - place  # words of the chunk from this one on
+        self.owned = place < np.repeat(np.asarray(batch.column("own"), np.int64), held)
+
+    def keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first words of all phrases of so many words, hashes of the language and the phrase)."""
+        at = np.flatnonzero(self.left >= size)
+        return at, mixed(phrase_hashes(self.hashes, size, at) ^ self.spread[at])
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return hashes(self.data, self.borders)
+
+    @cached_property
+    def spread(self) -> np.ndarray:
+        known = [int.from_bytes(blake2b(lang.encode(), digest_size=8).digest()) for lang in self.lang.dictionary.to_pylist()]
+        return np.array(known, np.uint64)[np.asarray(self.lang.indices)][self.chunk]
+
+    def phrases(self, size: int, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The phrases of so many words from these words on, equal ones as one row."""
+        if len(at):
+            phrase, edges = gather(self.data, self.borders[at], self.borders[at + size] - 1)
+            yield from counted(self.lang.take(pa.array(self.chunk[at])), "phrase", strings(phrase, edges), self.n[self.chunk[at]])
+
+
+def likely_keys(chunks: DataFrame, least: int) -> DataFrame:
+    """(key): hashes under which words and pairs of one language occur at least so often, those of all frequent ones among them.
+
+    What shares a hash only adds to its count, so no frequent word or pair is missed; a few others may be held too.
+    """
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in larger_batches(batches, AT_ONCE):
+            words = Words(batch)
+            found, weights = [], []
+            for size in range(1, LONGEST):
+                at, keys = words.keys(size)
+                own = words.owned[at]
+                found.append(keys[own])
+                weights.append(words.n[words.chunk[at[own]]])
+            keys, n = np.concatenate(found), np.concatenate(weights)
+            order = np.argsort(keys)
+            keys = keys[order]
+            heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+            keys, sums = keys[heads].view(np.int64), np.add.reduceat(n[order], heads) if len(heads) else n
+            for at in range(0, len(keys), ROWS_AT_ONCE):
+                yield pa.record_batch({"key": keys[at : at + ROWS_AT_ONCE], "n": sums[at : at + ROWS_AT_ONCE]})
+
+    found = chunks.mapInArrow(weigh, "key bigint, n bigint")
+    return settle(found.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"))
+
+
+def phrase_counts(chunks: DataFrame, sieve: Callable[[], np.ndarray]) -> DataFrame:
+    """(lang, phrase, n) of phrases of one to three words, counted in the dictionary's chunks by weight.
+
+    Words and pairs are counted only if they pass the sieve, triples only if both their pairs do. A sieve lets some
+    others pass too, and never holds back a phrase that is in it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sieve() if sieve else None
+        bits = sieve()
         for batch in larger_batches(batches, AT_ONCE):
-            raw, starts, ends = text_bytes(batch.column("chunk"))
-            if not len(raw):
-                continue
-            first, last = word_spans(raw != 32, starts)
-            data, borders = gather(raw, first, last, 1)
-            data[borders[1:] - 1] = 32
-            begun = np.searchsorted(first, starts)
-            chunk = np.searchsorted(starts, first, side="right") - 1
-            own = np.asarray(batch.column("own"), np.int64)
-            stop = np.append(begun[1:], len(first))[chunk]
-            at = np.arange(len(first))
-            at = at[(at - begun[chunk] < own[chunk]) & (at + size <= stop)]
-            if bits is not None and len(at):
-                spread = language_hashes(batch.column("lang"))[chunk]
-                words = hashes(data, borders)
-                shorter = [passes(bits, mixed(phrase_hashes(words, size - 1, at + i) ^ spread[at])) for i in (0, 1)]
-                at = at[shorter[0] & shorter[1]]
-            if len(at):
-                phrase, edges = gather(data, borders[at], borders[at + size] - 1)
-                rows = pa.array(chunk[at])
-                yield from counted(batch.column("lang").take(rows), "phrase", strings(phrase, edges), np.asarray(batch.column("n"), np.int64)[chunk[at]])
+            words = Words(batch)
+            known = np.zeros(len(words.left) + 1, bool)
+            for size in range(1, LONGEST):
+                at, keys = words.keys(size)
+                at = at[passes(bits, keys)]
+                yield from words.phrases(size, at[words.owned[at]])
+                known[:] = False
+                known[at] = True
+            at = np.flatnonzero((words.left >= LONGEST) & words.owned & known[:-1] & known[1:])
+            yield from words.phrases(LONGEST, at)
 
     found = chunks.mapInArrow(count, "lang string, phrase string, n bigint")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def language_hashes(column: pa.Array) -> np.ndarray:
-    coded = column.dictionary_encode()
-    data, borders = gather(*_bytes_of(coded.dictionary), 1)
-    return hashes(data, borders)[np.asarray(coded.indices)]
-
-
-def _bytes_of(column: pa.Array):
-    return text_bytes(column.cast(pa.string()))
-
-
 def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return keys & np.uint64(bits - 1), (keys >> np.uint64(33)) & np.uint64(bits - 1)
 
@@ -175,34 +220,23 @@ def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def build_sieve(phrases: DataFrame) -> Callable[[], np.ndarray]:
-    """A Bloom filter of (lang, phrase): 16 to 32 bits a phrase, and 16 MB at most however many there are.
+def build_sieve(keys: DataFrame) -> Callable[[], np.ndarray]:
+    """A Bloom filter of keys: 16 to 32 bits a key, and 16 MB at most however many there are.
 
     Beyond that bound it lets more phrases pass and saves less; counts stay exact, as what passes is counted anyway.
     """
-    spark = phrases.sparkSession
-    bits = min(SIEVE_BITS, 1 << max(16, (16 * phrases.count()).bit_length()))
+    spark = keys.sparkSession
+    bits = min(SIEVE_BITS, 1 << max(16, (16 * keys.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in larger_batches(batches, AT_ONCE):
-            raw, starts, ends = text_bytes(batch.column("phrase"))
-            first, last = word_spans(raw != 32, starts)
-            data, borders = gather(raw, first, last, 1)
-            data[borders[1:] - 1] = 32
-            words, begun = hashes(data, borders), np.searchsorted(first, starts)
-            size = np.diff(np.append(begun, len(first)))
-            keys = np.zeros(len(starts), np.uint64)
-            for n in np.unique(size):
-                rows = np.flatnonzero(size == n)
-                keys[rows] = phrase_hashes(words, int(n), begun[rows])
-            keys = mixed(keys ^ language_hashes(batch.column("lang")))
-            place = np.concatenate(places(keys, bits))
+            place = np.concatenate(places(np.asarray(batch.column("key"), np.int64).view(np.uint64), bits))
             order = np.argsort(place >> np.uint64(6), kind="stable")
             block, mask = (place >> np.uint64(6))[order], np.uint64(1) << (place & np.uint64(63))[order]
             heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             yield pa.record_batch({"block": block[heads].astype(np.int64), "mask": np.bitwise_or.reduceat(mask, heads).view(np.int64)})
 
-    marked = phrases.select("lang", "phrase").mapInArrow(mark, "block bigint, mask bigint").groupBy("block").agg(F.bit_or("mask").alias("mask"))
+    marked = keys.mapInArrow(mark, "block bigint, mask bigint").groupBy("block").agg(F.bit_or("mask").alias("mask"))
     table = marked.toArrow()  # at most SIEVE_BITS / 64 rows
     words = np.zeros(bits // 64, np.uint64)
     words[np.asarray(table.column("block"), np.int64)] = np.asarray(table.column("mask"), np.int64).view(np.uint64)
@@ -227,13 +261,11 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, inside_per
     names. An empty table gives an empty result.
     """
     chunks = dictionary(docs)
-    words = settle(phrase_counts(chunks, 1))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = words.filter(F.col("n") >= least)
-    pairs = settle(phrase_counts(chunks, 2, build_sieve(frequent)).filter(F.col("n") >= least))
-    triples = settle(phrase_counts(chunks, 3, build_sieve(pairs)).filter(F.col("n") >= least))
-
+    totals = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
+    counts = settle(phrase_counts(chunks, build_sieve(likely_keys(chunks, least))).filter(F.col("n") >= least))
     word = F.split("phrase", " ")
+    frequent, pairs, triples = (counts.filter(F.size(word) == size) for size in (1, 2, 3))
+
     left2, right2 = F.array_join(F.slice(word, 1, 2), " "), F.array_join(F.slice(word, 2, 2), " ")
     inside = triples.select("lang", F.explode(F.array(left2, right2)).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
 

@@ -32,7 +32,8 @@ def word_spans(inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 
 def segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The buffer in parts of about at_once bytes, cut after bytes of the class or between texts only: (bytes, starts, row of each start)."""
-    borders = np.unique(np.concatenate([np.flatnonzero(cut[raw]) + 1, starts, [len(raw)]]))
+    whole = len(raw) <= at_once
+    borders = np.array([0, len(raw)]) if whole else np.unique(np.concatenate([np.flatnonzero(cut[raw]) + 1, starts, [len(raw)]]))
     at, row = 0, np.arange(len(starts))
     while at < len(raw):
         i = int(np.searchsorted(borders, at + at_once, side="right")) - 1

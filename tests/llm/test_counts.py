@@ -223,6 +223,28 @@ def test_small_sieve_counts_the_same(docs, rows, monkeypatch):
     assert table(collocations(docs, least=5)) == collocations_by_hand(rows, 5)
 
 
+def test_rare_pairs_are_not_grouped_as_strings(spark, monkeypatch):
+    """Words that are all frequent, in pairs that mostly are not: only hashes of the rare pairs are counted."""
+    grouped, plain = [], phrases.phrase_counts
+    monkeypatch.setattr(phrases, "phrase_counts", lambda *given: grouped.append(plain(*given)) or grouped[-1])
+    texts = [f"w{i} w{j}. once w{i} w{i} more" for i in range(50) for j in range(50)]
+    rows = [(i, text, ("en", "de", None)[i % 3], "a", 0) for i, text in enumerate(texts)]
+    assert table(collocations(spark.createDataFrame(rows, SCHEMA))) == collocations_by_hand(rows)
+    assert sum(counts.filter("n < 10 AND phrase LIKE '% %'").count() for counts in grouped) < 20
+
+
+def test_phrases_under_one_hash(docs, rows, monkeypatch):
+    """Whatever shares a hash is counted apart in the end."""
+
+    class Coarse(phrases.Words):
+        def keys(self, size):
+            at, keys = super().keys(size)
+            return at, keys % np.uint64(5)
+
+    monkeypatch.setattr(phrases, "Words", Coarse)
+    assert table(collocations(docs, least=5)) == collocations_by_hand(rows, 5)
+
+
 def test_dictionary_owns_every_word_once(docs, rows):
     chunks = phrases.dictionary(docs).collect()
     words = sum(len([w for w in re.split(r"[\x09-\x0D\x20.,;:!?]+", t or "") if w]) for _, t, *_ in rows)
