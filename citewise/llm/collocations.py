@@ -30,6 +30,8 @@ EVERY = 8  # a word pair in so many begins a chunk
 STRETCH = 4096  # words after which a chunk without a trigger is cut
 AT_ONCE = 3_500_000  # bytes of text or of chunks that a task holds as arrays
 ROWS_AT_ONCE = 50_000
+KEYS_AT_ONCE = 1 << 21  # words and pairs in a bucket
+PACKED_BYTES = 2 << 20
 BANDS = 64  # bands of scores for every doubling
 SIEVE_BITS = 1 << 27  # the largest sieve, 16 MB
 PAIR = np.array([0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x9FB21C651E98DF25], np.uint64)
@@ -94,29 +96,23 @@ def dictionary(docs: DataFrame) -> DataFrame:
                     if found is not None:
                         chunk, edges, own, text = found
                         lang = part.column("lang").dictionary_encode().take(pa.array(rows[text]))
-                        yield from counted(lang, "chunk", strings(chunk, edges), np.ones(len(own), np.int64), own)
+                        yield from counted(lang, strings(chunk, edges), own)
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     parsed = texts.mapInArrow(parse, "lang string, chunk string, own int, n bigint")
     return settle(parsed.groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n")))
 
 
-def counted(lang: pa.Array, name: str, text: pa.Array, n: np.ndarray, own: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows of one batch with the same language, text and own words as one, their n added."""
+def counted(lang: pa.Array, text: pa.Array, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of one batch with the same language, chunk and own words as one, with their number."""
     langs, texts = lang.dictionary_encode(), text.dictionary_encode()
-    most = int(own.max()) + 1 if own is not None and len(own) else 1
-    keys = np.asarray(langs.indices, np.int64) * max(len(texts.dictionary), 1) + np.asarray(texts.indices, np.int64)
-    keys = keys * most + own if own is not None else keys
-    order = np.argsort(keys)
-    keys = keys[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else keys
-    keys, sums = keys[heads], np.add.reduceat(n[order], heads) if len(heads) else n
-    for at in range(0, len(keys), ROWS_AT_ONCE):
-        some = keys[at : at + ROWS_AT_ONCE]
-        place, code = np.divmod(some // most, max(len(texts.dictionary), 1))
-        out = {"lang": langs.dictionary.take(pa.array(place)), name: texts.dictionary.take(pa.array(code)).cast(pa.string())}
-        out |= {"own": (some % most).astype(np.int32)} if own is not None else {}
-        yield pa.record_batch({**out, "n": sums[at : at + ROWS_AT_ONCE]})
+    most = int(own.max()) + 1 if len(own) else 1
+    lang, text = np.asarray(langs.indices, np.int64), np.asarray(texts.indices, np.int64)
+    heads, n = added((lang * max(len(texts.dictionary), 1) + text) * most + own, np.ones(len(own), np.int64))
+    for at in range(0, len(heads), ROWS_AT_ONCE):
+        some = heads[at : at + ROWS_AT_ONCE]
+        out = {"lang": langs.dictionary.take(pa.array(lang[some])), "chunk": texts.dictionary.take(pa.array(text[some])).cast(pa.string())}
+        yield pa.record_batch({**out, "own": own[some].astype(np.int32), "n": n[at : at + ROWS_AT_ONCE]})
 
 
 class Words:
@@ -149,17 +145,71 @@ class Words:
         known = [int.from_bytes(blake2b(lang.encode(), digest_size=8).digest()) for lang in self.lang.dictionary.to_pylist()]
         return np.array(known, np.uint64)[np.asarray(self.lang.indices)][self.chunk]
 
-    def phrases(self, size: int, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The phrases of so many words from these words on, equal ones as one row."""
-        if len(at):
-            phrase, edges = gather(self.data, self.borders[at], self.borders[at + size] - 1)
-            yield from counted(self.lang.take(pa.array(self.chunk[at])), "phrase", strings(phrase, edges), self.n[self.chunk[at]])
+    def phrases(self, size: int, at: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The phrases of so many words from these words on, equal ones as one, packed by bucket and language."""
+        if not len(at):
+            return
+        phrase, edges = gather(self.data, self.borders[at], self.borders[at + size] - 1)
+        lang = np.asarray(self.lang.indices, np.int64)[self.chunk[at]]
+        heads, sums = grouped(lang, strings(phrase, edges).dictionary_encode(), self.n[self.chunk[at]])
+        at, lang, place = at[heads], lang[heads], bucket_of(keys[heads], buckets)
+        order = np.lexsort((lang, place))
+        at, lang, place = at[order], lang[order], place[order]
+        phrase, edges = gather(self.data, self.borders[at], self.borders[at + size])
+        phrase[edges[1:] - 1] = 10  # no phrase holds a line break
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (lang[1:] != lang[:-1])]))
+        langs = self.lang.dictionary.take(pa.array(lang[first]))
+        ends = np.append(first, len(at))
+        yield from packed({"bucket": place[first].astype(np.int32), "lang": langs, "phrases": blobs(phrase, edges[ends]), "n": blobs(sums[order], 8 * ends)})
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket, out of a power of two, by the leading bits of a key."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def buckets_for(words: int) -> int:
+    """Buckets for phrases of a dictionary with so many words: a task holds those of one, about KEYS_AT_ONCE words and pairs at most."""
+    return 1 << max(5, (2 * words // KEYS_AT_ONCE).bit_length())
+
+
+def blobs(values: np.ndarray, borders: np.ndarray) -> pa.Array:
+    """The bytes of an array between the borders as binary values."""
+    data = np.ascontiguousarray(values).view(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The arrays of all values of a binary column one after the other."""
+    return np.concatenate([np.frombuffer(value.as_buffer(), kind) for value in column])
 
 
-def likely_keys(chunks: DataFrame, least: int) -> DataFrame:
+def packed(columns: dict) -> Iterator[pa.RecordBatch]:
+    """Rows of packed arrays, about PACKED_BYTES at a time."""
+    batch = pa.record_batch(columns)
+    step = max(1, batch.num_rows * PACKED_BYTES // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def grouped(lang: np.ndarray, text: pa.DictionaryArray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of every language and text, their n added)."""
+    return added(lang * max(len(text.dictionary), 1) + np.asarray(text.indices, np.int64), n)
+
+
+def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of every key in the order of keys, their n added)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    return order[heads], np.add.reduceat(n[order], heads) if len(heads) else n
+
+
+def likely_keys(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
     """(key): hashes under which words and pairs of one language occur at least so often, those of all frequent ones among them.
 
     What shares a hash only adds to its count, so no frequent word or pair is missed; a few others may be held too.
+    Hashes travel packed by bucket, as a row for each would cost more than its count.
     """
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,22 +222,25 @@ def likely_keys(chunks: DataFrame, least: int) -> DataFrame:
                 found.append(keys[own])
                 weights.append(words.n[words.chunk[at[own]]])
             keys, n = np.concatenate(found), np.concatenate(weights)
-            order = np.argsort(keys)
-            keys = keys[order]
-            heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
-            keys, sums = keys[heads].view(np.int64), np.add.reduceat(n[order], heads) if len(heads) else n
-            for at in range(0, len(keys), ROWS_AT_ONCE):
-                yield pa.record_batch({"key": keys[at : at + ROWS_AT_ONCE], "n": sums[at : at + ROWS_AT_ONCE]})
+            heads, sums = added(keys, n)
+            keys, place = keys[heads], bucket_of(keys[heads], buckets)
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+            ends = 8 * np.append(first, len(keys))
+            yield from packed({"bucket": place[first].astype(np.int32), "keys": blobs(keys, ends), "n": blobs(sums, ends)})
 
-    found = chunks.mapInArrow(weigh, "key bigint, n bigint")
-    return settle(found.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"))
+    def add(rows: pa.Table) -> pa.Table:
+        keys = unpacked(rows.column("keys"), np.int64)
+        heads, sums = added(keys, unpacked(rows.column("n"), np.int64))
+        return pa.table({"key": keys[heads[sums >= least]]})
 
+    return settle(chunks.mapInArrow(weigh, "bucket int, keys binary, n binary").groupBy("bucket").applyInArrow(add, "key bigint"))
 
-def phrase_counts(chunks: DataFrame, sieve: Callable[[], np.ndarray]) -> DataFrame:
-    """(lang, phrase, n) of phrases of one to three words, counted in the dictionary's chunks by weight.
+
+def phrase_counts(chunks: DataFrame, sieve: Callable[[], np.ndarray], least: int, buckets: int) -> DataFrame:
+    """(lang, phrase, n) of phrases of one to three words that occur at least so often, counted in the dictionary's chunks by weight.
 
     Words and pairs are counted only if they pass the sieve, triples only if both their pairs do. A sieve lets some
-    others pass too, and never holds back a phrase that is in it.
+    others pass too, and never holds back a phrase that is in it. Phrases travel packed by bucket.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,15 +250,27 @@ def phrase_counts(chunks: DataFrame, sieve: Callable[[], np.ndarray]) -> DataFra
             known = np.zeros(len(words.left) + 1, bool)
             for size in range(1, LONGEST):
                 at, keys = words.keys(size)
-                at = at[passes(bits, keys)]
-                yield from words.phrases(size, at[words.owned[at]])
+                some = passes(bits, keys)
                 known[:] = False
-                known[at] = True
-            at = np.flatnonzero((words.left >= LONGEST) & words.owned & known[:-1] & known[1:])
-            yield from words.phrases(LONGEST, at)
-
-    found = chunks.mapInArrow(count, "lang string, phrase string, n bigint")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+                known[at[some]] = True
+                some &= words.owned[at]
+                yield from words.phrases(size, at[some], keys[some], buckets)
+            at, keys = words.keys(LONGEST)
+            some = words.owned[at] & known[at] & known[at + 1]
+            yield from words.phrases(LONGEST, at[some], keys[some], buckets)
+
+    def add(rows: pa.Table) -> pa.Table:
+        data = unpacked(rows.column("phrases"), np.uint8)
+        borders = np.append(0, np.flatnonzero(data == 10) + 1)
+        langs = rows.column("lang").combine_chunks().dictionary_encode()
+        lang = np.repeat(np.asarray(langs.indices, np.int64), [len(n) // 8 for n in (value.as_buffer() for value in rows.column("n"))])
+        heads, sums = grouped(lang, strings(data, borders).dictionary_encode(), unpacked(rows.column("n"), np.int64))
+        heads, sums = heads[sums >= least], sums[sums >= least]
+        phrase = strings(*gather(data, borders[heads], borders[heads + 1] - 1)).cast(pa.string())
+        return pa.table({"lang": langs.dictionary.take(pa.array(lang[heads])), "phrase": phrase, "n": sums})
+
+    found = chunks.mapInArrow(count, "bucket int, lang string, phrases binary, n binary")
+    return found.groupBy("bucket").applyInArrow(add, "lang string, phrase string, n bigint")
 
 
 def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +327,8 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, inside_per
     """
     chunks = dictionary(docs)
     totals = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
-    counts = settle(phrase_counts(chunks, build_sieve(likely_keys(chunks, least))).filter(F.col("n") >= least))
+    buckets = buckets_for(chunks.agg(F.sum("own")).first()[0] or 0)
+    counts = settle(phrase_counts(chunks, build_sieve(likely_keys(chunks, least, buckets)), least, buckets))
     word = F.split("phrase", " ")
     frequent, pairs, triples = (counts.filter(F.size(word) == size) for size in (1, 2, 3))
 

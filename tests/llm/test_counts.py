@@ -226,13 +226,29 @@ def test_small_sieve_counts_the_same(docs, rows, monkeypatch):
 def test_rare_pairs_are_not_grouped_as_strings(spark, monkeypatch):
     """Words that are all frequent, in pairs that mostly are not: only hashes of the rare pairs are counted."""
     grouped, plain = [], phrases.phrase_counts
-    monkeypatch.setattr(phrases, "phrase_counts", lambda *given: grouped.append(plain(*given)) or grouped[-1])
+
+    def whole(chunks, *given):
+        counts = plain(chunks, given[0], 1, *given[2:]) if len(given) > 2 else plain(chunks, *given)
+        grouped.append(counts)
+        return counts.filter("n >= 10") if len(given) > 2 else counts
+
+    monkeypatch.setattr(phrases, "phrase_counts", whole)
     texts = [f"w{i} w{j}. once w{i} w{i} more" for i in range(50) for j in range(50)]
     rows = [(i, text, ("en", "de", None)[i % 3], "a", 0) for i, text in enumerate(texts)]
     assert table(collocations(spark.createDataFrame(rows, SCHEMA))) == collocations_by_hand(rows)
     assert sum(counts.filter("n < 10 AND phrase LIKE '% %'").count() for counts in grouped) < 20
 
 
+def test_many_buckets(docs, rows, monkeypatch):
+    """Packed keys and phrases of few bytes a row, and more buckets than phrases in most of them."""
+    monkeypatch.setattr(phrases, "KEYS_AT_ONCE", 40)
+    assert phrases.buckets_for(20_000) == 1024
+    assert table(collocations(docs, least=4, first=30)) == collocations_by_hand(rows, 4, 30)
+    keys = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 10_000, np.uint64, endpoint=False))
+    place = phrases.bucket_of(np.concatenate([[np.uint64(0)], keys, [np.uint64((1 << 64) - 1)]]), 1024)
+    assert place[0] == 0 and place[-1] == 1023 and (np.diff(place) >= 0).all()
+
+
 def test_phrases_under_one_hash(docs, rows, monkeypatch):
     """Whatever shares a hash is counted apart in the end."""
 
