@@ -91,7 +91,8 @@ def dictionary(docs: DataFrame) -> DataFrame:
         for batch in larger_batches(batches, AT_ONCE):
             for part in slices(batch, "text", AT_ONCE):
                 raw, starts, ends = text_bytes(part.column("text"))
-                for piece, begun, rows in segments(raw, starts, ends, BREAK, AT_ONCE):
+                whole = [(raw, starts, np.arange(len(starts)))]
+                for piece, begun, rows in whole if len(raw) <= AT_ONCE else segments(raw, starts, ends, BREAK, AT_ONCE):
                     found = _chunks(piece, begun)
                     if found is not None:
                         chunk, edges, own, text = found
