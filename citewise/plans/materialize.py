@@ -17,6 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: set[str] = set()
+SETTLED = "_settled_at"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -76,4 +77,12 @@ def settle(df: DataFrame, parts: int | None = None) -> DataFrame:
     df = df.coalesce(parts) if parts else df
     with _shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    setattr(written, SETTLED, path)
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more, rather than at the end of the application."""
+    path = written.sparkSession._jvm.org.apache.hadoop.fs.Path(getattr(written, SETTLED))
+    path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -150,6 +150,21 @@ def test_remove_repeats_by_strings(docs, rows, monkeypatch):
     assert Counter(tuple(r) for r in remove_repeats(docs).collect()) == removed(rows)
 
 
+@pytest.mark.parametrize("split", [2, 4096])
+def test_remove_repeats_in_rounds(spark, docs, rows, monkeypatch, split):
+    """Many rounds, units and buckets, with and without copies of whole texts and rows, give what one round gives."""
+    for name, value in (("SPLIT", split), ("ROUND_LEAST", 1 << 14), ("ROUND", 0.4), ("UNIT", 300)):
+        monkeypatch.setattr(repeats, name, value)
+    made = []
+    plain = repeats._contexts_of
+    monkeypatch.setattr(repeats, "_contexts_of", lambda marked, turn: made.append(turn) or plain(marked, turn))
+    assert Counter(tuple(r) for r in remove_repeats(docs).collect()) == removed(rows)
+    assert len(made) > 3
+    apart = list({r[1]: r[:2] for r in rows if r[0] is not None and r[1]}.values())
+    for some in (apart, apart + apart[:20]):
+        assert Counter(tuple(r) for r in remove_repeats(spark.createDataFrame(some, "doc_id bigint, text string")).collect()) == removed(some)
+
+
 def test_anchors_of_one_long_text():
     """Parts of a text beyond the packed positions find the same contexts as the whole."""
     import numpy as np

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 from collections import Counter
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citewise.llm.common import BATCH, map_batches
+from citewise.llm import repeats
 from citewise.llm.near_duplicates import near_duplicates
 from citewise.llm.repeats import remove_repeats
 from citewise.plans import materialize
@@ -56,6 +58,25 @@ def test_rounds_write_few_files(spark, written, operator, spread_tables):
     assert got == Counter(map(tuple, operator(docs).collect()))
 
 
+def test_contexts_of_repeats_take_a_bounded_share(spark, written, monkeypatch):
+    """Where every passage is shared, no more than a few times the bytes of the texts lie written at a time."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=50_000)) for _ in range(40)]
+    made = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t[:25_000] + "#" + t[25_001:]) for i, t in enumerate(texts)]
+    held, settle = [], repeats.settle
+
+    def measured(df, parts=None):
+        out = settle(df, parts)
+        held.append(sum(os.path.getsize(f) for f in glob.glob(f"{written}/*/part-*")))
+        return out
+
+    monkeypatch.setattr(repeats, "settle", measured)
+    monkeypatch.setattr(repeats, "ROUND_LEAST", 1 << 20, raising=False)
+    got = remove_repeats(spark.createDataFrame(made, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: 0 if i < 100 else 49_999 for i, _ in made}
+    assert max(held) < 1.2 * sum(len(t) for _, t in made)
+
+
 def test_python_gets_texts_in_bounded_batches(spark):
     before = spark.conf.getAll.get(BATCH)
     spark.conf.unset(BATCH)
