@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from citewise.llm.common import column, free_names, in_small_batches, map_batches, text_bytes
 from citewise.llm.shingles import mixed, powers, prefix_sums
 from citewise.plans.batches import slices
-from citewise.plans.materialize import SETTLED, discard, parts_for, settle
+from citewise.plans.materialize import SETTLED, discard, parts_for, settle, settle_alone
 
 LENGTH = 50
 GRAM = 16
@@ -30,7 +30,9 @@ SPLIT = 4096  # contexts of an anchor that one task orders; more are grouped str
 PART_BYTES = 8 << 20  # of text whose rows make up a file
 PART_ROWS = 1 << 16  # contexts that make up a file
 PLACE = np.uint64((1 << 24) - 1)
-UNIT = 1 << 20  # anchors whose keys travel together, and keys that make up a bucket
+UNIT = 1 << 19  # anchors whose keys travel together
+BUCKET = 1 << 20  # keys that meet in a bucket
+AT_ONCE = 1 << 18  # bytes of text whose anchors are looked for together
 LOW = np.uint64(24)  # lowest bits of a key that stay behind; keys equal in the others make an anchor a candidate only
 WIDEST = 2 * (LENGTH - GRAM) + GRAM  # bytes of a context at most
 ROUND = 0.4  # of the bytes of the texts that the contexts of one round take at most, as far as hashes deal them evenly
@@ -159,10 +161,11 @@ def _unpacked(data: bytes, *types) -> list[np.ndarray]:
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first place of every run of equal values, run of each value)."""
+    """(first place, length) of every run of equal values."""
     new = np.ones(len(values), bool)
     new[1:] = values[1:] != values[:-1]
-    return np.flatnonzero(new), np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(values)))
 
 
 def _rows_by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
@@ -189,7 +192,7 @@ def _sent_keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, count = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", AT_ONCE):
                 raw, starts, ends = text_bytes(part.column("text"))
                 _, doc, place, first, stop = anchors(raw, starts, ends)
                 before, after = np.flatnonzero(place - first >= GRAM), np.flatnonzero(stop - place >= 2 * GRAM)
@@ -197,7 +200,7 @@ def _sent_keys(buckets: int):
                     continue
                 keys = np.concatenate([_windows(raw, place[before] - GRAM, 2 * GRAM), ~_windows(raw, place[after], 2 * GRAM)])
                 ids, labels = (np.asarray(part.column(c), np.int64) for c in ("doc_id", "label"))
-                held.append((ids, labels, np.bincount(doc, minlength=len(ids)), keys, np.concatenate([before, after]) + size))
+                held.append((ids, labels, np.bincount(doc, minlength=len(ids)), keys >> LOW, (np.concatenate([before, after]) + size).astype(np.int32)))
                 size += len(place)
                 if size >= UNIT:
                     yield _unit(held, count, buckets)
@@ -210,20 +213,19 @@ def _sent_keys(buckets: int):
 
 def _unit(held: list[tuple], unit: int, buckets: int) -> pa.RecordBatch:
     ids, labels, counts, keys, anchor = (np.concatenate(c) for c in zip(*held))
-    owner = np.repeat(np.arange(len(ids)), counts)
-    keys >>= LOW
+    held.clear()
     order = np.argsort(keys)
     keys, anchor = keys[order], anchor[order]
     first, run = _runs(keys)
-    doc = owner[anchor]
-    known = (np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first))[run]
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[anchor]
+    known = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), run)
     sent = ~known
     sent[first] = True
     told = np.unique(anchor[known])
-    keys, entry = keys[sent], (2 * anchor[sent] + known[sent]).astype(np.uint64)
+    keys, entry = keys[sent], 2 * anchor[sent].astype(np.uint64) + known[sent]
     bucket = ((keys >> np.uint64(64 - 32) - LOW) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edges = np.append(_runs(bucket)[0], len(bucket)).tolist()
-    rows = [(-1 - unit % buckets, unit, True, _packed(ids, labels, counts, np.diff(told, prepend=0)))]
+    rows = [(-1 - unit % buckets, unit, True, _packed(ids, labels, counts, np.diff(told.astype(np.int64), prepend=0)))]
     for a, b in zip(edges[:-1], edges[1:]):
         rows.append((int(bucket[a]), unit, False, _packed(np.diff(keys[a:b], prepend=np.uint64(0)), entry[a:b])))
     columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.bool_(), pa.binary()))]
@@ -238,15 +240,16 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             parts = [_unpacked(r["data"], np.uint64, np.uint64) for r in rows]
             keys, entry = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
-            of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
+            del parts
             order = np.argsort(keys)
             first, run = _runs(keys[order])
             entry, of = entry[order], of[order]
             shared = np.minimum.reduceat(of, first) < np.maximum.reduceat(of, first)
-            shared = (shared | (np.maximum.reduceat(entry & np.uint64(1), first) > 0))[run]
+            shared = np.repeat(shared | (np.maximum.reduceat(entry & np.uint64(1), first) > 0), run)
             entry, of = entry[shared] >> np.uint64(1), of[shared]
             order = np.lexsort((entry, of))
-            edges = np.searchsorted(of[order], np.arange(len(parts) + 1))
+            edges = np.searchsorted(of[order], np.arange(len(rows) + 1))
             entry = entry[order]
             out = [
                 (rows[i]["unit"], False, _packed(np.diff(entry[a:b], prepend=np.uint64(0))))
@@ -300,7 +303,7 @@ def _marked(docs: DataFrame, rows: DataFrame, texts: DataFrame, rounds: int | No
     Contexts take several times the bytes of their texts where all is shared, so a round holds those of ROUND of the bytes.
     """
     own, size = _first_copies(docs, rows, texts)
-    buckets = parts_for(docs.sparkSession, size // 9, UNIT)
+    buckets = parts_for(docs.sparkSession, size // 9, BUCKET)
     sent = in_small_batches(own.select("doc_id", "label", "text")).mapInArrow(_sent_keys(buckets), "k int, unit bigint, told boolean, data binary")
     shared = sent.repartition(buckets, "k").sortWithinPartitions("k").mapInArrow(_shared_keys, "unit bigint, told boolean, data binary")
     picked = shared.repartition("unit").sortWithinPartitions("unit").mapInArrow(_picked, "doc_id bigint, label bigint, picks array<int>")
@@ -322,7 +325,7 @@ def _marked(docs: DataFrame, rows: DataFrame, texts: DataFrame, rounds: int | No
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label", "text")), lists], ["doc_id", "label", "text", "spots"])
 
     joined = own.join(picked, ["doc_id", "label"]).select("doc_id", "label", "text", "picks")
-    marked = map_batches(joined, mark, "doc_id bigint, label bigint, text string, spots array<bigint>", "text")
+    marked = map_batches(joined, mark, "doc_id bigint, label bigint, text string, spots array<bigint>", "text", AT_ONCE)
     if rounds > 1:
         marked = settle(marked, files)
         discard(picked)
@@ -610,8 +613,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character that a removal cuts goes with it. All other columns are as they were, whatever their names. An empty
     table gives an empty one.
     """
-    judged = _judged(docs, True)
-    changed = settle(judged.filter(F.col("n_removed") > 0).select(F.col("doc_id").alias("id"), "label", "kept").distinct())
+    lost = F.col("n_removed") > 0
+    changed = settle_alone(lambda: _judged(docs, True).filter(lost).select(F.col("doc_id").alias("id"), "label", "kept").distinct())
     left = map_batches(changed, _as_text, "id bigint, label bigint, kept string")
     id_, label, kept, own = free_names(docs, "id_of_text", "label_of_text", "kept_text", "own_label")
     left = left.select(F.col("id").alias(id_), F.col("label").alias(label), F.col("kept").alias(kept))

@@ -11,13 +11,16 @@ import atexit
 import math
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: set[str] = set()
 SETTLED = "_settled_at"
+_OPEN = threading.local()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -79,9 +82,24 @@ def settle(df: DataFrame, parts: int | None = None) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     setattr(written, SETTLED, path)
+    for made in getattr(_OPEN, "made", ()):
+        made.append(written)
     return written
 
 
+def settle_alone(make: Callable[[], DataFrame], parts: int | None = None) -> DataFrame:
+    """What make gives, settled; whatever else was settled meanwhile is deleted, as only this result can need it."""
+    made: list[DataFrame] = []
+    _OPEN.made = [*getattr(_OPEN, "made", ()), made]
+    try:
+        result = settle(make(), parts)
+    finally:
+        _OPEN.made = _OPEN.made[:-1]
+    for written in made[:-1]:
+        discard(written)
+    return result
+
+
 def discard(written: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more, rather than at the end of the application."""
     path = written.sparkSession._jvm.org.apache.hadoop.fs.Path(getattr(written, SETTLED))

@@ -11,7 +11,7 @@ from citewise.llm.mixing import mix
 from citewise.llm.near_duplicates import near_duplicates
 from citewise.llm.pieces import encode
 from citewise.llm.repeats import without_repeats
-from citewise.plans.materialize import settle
+from citewise.plans.materialize import settle, settle_alone
 
 NEAR_PERCENT = 80  # of the stage; the query op1 has a threshold of its own
 
@@ -36,12 +36,12 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -
     named = labelled.filter(F.col("doc_id").isNotNull())
     pairs = settle(named.select("doc_id", F.col(label).alias("label")).distinct())
     if pairs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept, key = near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id").distinct(), ["doc_id"]
+        kept, key = settle_alone(lambda: near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id").distinct()), ["doc_id"]
     else:
         ids = settle(pairs.orderBy("doc_id", "label").withColumn("id", F.monotonically_increasing_id()))
         texts = named.select("doc_id", F.col(label).alias("label"), "text")
         own = settle(texts.join(ids, ["doc_id", "label"]).select(F.col("id").alias("doc_id"), "text"))
-        judged = near_duplicates(own, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+        judged = settle_alone(lambda: near_duplicates(own, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("id")).distinct())
         kept, key = ids.join(judged, "id", "left_semi").select("doc_id", F.col("label").alias(label)), ["doc_id", label]
     once = named.join(kept.filter(F.col("doc_id").isNotNull()), key, "left_semi").dropDuplicates(["doc_id", label])
     return once.drop(label).unionByName(docs.filter(F.col("doc_id").isNull())).select(*[column(c) for c in docs.columns])

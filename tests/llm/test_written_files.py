@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from citewise.llm.common import BATCH, map_batches
+import corpus_pipeline
 from citewise.llm import repeats
+from citewise.llm.common import BATCH, map_batches
 from citewise.llm.near_duplicates import near_duplicates
 from citewise.llm.repeats import remove_repeats
 from citewise.plans import materialize
@@ -45,6 +46,26 @@ def test_settle_bounds_files_and_keeps_rows(spark, written):
     assert materialize.parts_for(spark, 12_345, 10) == 1235
 
 
+def test_settle_alone_leaves_one_table(spark, written):
+    def made():
+        first = materialize.settle(spark.range(10))
+        inner = materialize.settle_alone(lambda: materialize.settle(first.filter("id > 2")).filter("id > 4"))
+        return materialize.settle(inner.union(first)).filter("id < 7")
+
+    out = materialize.settle_alone(made)
+    assert sorted(r["id"] for r in out.collect()) == [0, 1, 2, 3, 4, 5, 5, 6, 6]
+    assert len(_files(written)) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+@pytest.mark.parametrize("stage, most", [(corpus_pipeline.without_near_duplicates, 2), (corpus_pipeline.without_repeated_passages, 1)])
+def test_stages_leave_few_tables(spark, written, stage, most):
+    """A stage's result reads what it names itself; the tables it was found by are gone before it is written."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert 0 < stage(spark, docs, FOLDER).count() <= docs.count()
+    assert len(_files(written)) <= most
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 @pytest.mark.parametrize("operator, spread_tables", [(near_duplicates, 0), (remove_repeats, 1)])
 def test_rounds_write_few_files(spark, written, operator, spread_tables):
