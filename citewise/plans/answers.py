@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewise.functions.hashing import DEFAULT_DIM
@@ -20,6 +21,7 @@ from citewise.operators.search import CANDIDATES, SHEETS_K, embed, search_chunks
 from citewise.plans.materialize import settle
 
 SESSION = ("user_id", "session_id")
+ASKED = ("question", *SESSION)
 
 
 @dataclass(frozen=True)
@@ -97,26 +99,46 @@ def route_questions(questions: DataFrame, files: DataFrame, sheets: DataFrame, c
     return flagged.withColumn("question_type", guarded_route(label, *flags))
 
 
+def asked_once(questions: DataFrame) -> DataFrame:
+    """(question_id, question, user_id, session_id): the distinct questions of every session, each with its smallest question_id."""
+    return settle(questions.groupBy(*ASKED).agg(F.min("question_id").alias("question_id")).select("question_id", *ASKED))
+
+
+def same_question(questions: DataFrame, told: DataFrame, how: str) -> DataFrame:
+    """questions with the columns of told, by question and session (nulls are equal) and by ``_read`` where both have it."""
+    keys = [c for c in (*ASKED, "_read") if c in questions.columns and c in told.columns]
+    named = told.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    return questions.join(named, reduce(Column.__and__, same), how).drop(*[f"_of_{c}" for c in keys])
+
+
 def answer_questions(
     questions: DataFrame, data: Collections, classifier=None, generator=None, providers: Providers = Providers()
 ) -> DataFrame:
     """questions(question_id, question, user_id, session_id) -> answer, question_type, context, sources.
 
-    The routed questions are written once, since both evidence paths start from them.
+    The routed questions are written once, since both evidence paths start from them. What a session asks again in the same
+    words is searched and reranked once, under the smallest question_id; its passages join the questions last, so they
+    are not moved once for every question.
     """
     routed = settle(route_questions(questions, data.files, data.sheets, classifier))
-    reads_text = routed.filter(F.col("question_type").isin(SEMANTIC, HYBRID))
+    reads_text = F.col("question_type").isin(SEMANTIC, HYBRID)
     reads_tables = routed.filter(F.col("question_type").isin(STRUCTURED, HYBRID))
-    passages = semantic_evidence(reads_text.select("question_id", "question", *SESSION), data.chunks, SESSION, providers=providers)
-
-    mixed = routed.filter(F.col("question_type") == HYBRID).select("question_id", "question", *SESSION)
-    found = discover_sheets(mixed, data.catalog, data.sheets, tenant=SESSION, providers=providers).select("question_id", "sheet_id")
+    texts = asked_once(routed.filter(reads_text))
+    evidence = semantic_evidence(texts, data.chunks, SESSION, providers=providers).withColumnRenamed("question_id", "_first")
+    passages = texts.withColumnRenamed("question_id", "_first").join(evidence, "_first").drop("_first").withColumn("_read", F.lit(True))
+
+    mixed = routed.filter(F.col("question_type") == HYBRID)
+    once = asked_once(mixed)
+    nearest = discover_sheets(once, data.catalog, data.sheets, tenant=SESSION, providers=providers).select("question_id", "sheet_id")
+    told = once.join(nearest, "question_id").drop("question_id")
+    found = same_question(mixed.select("question_id", *ASKED), told, "inner").select("question_id", "sheet_id")
     intents = question_intents(reads_tables, data.sheets, data.catalog, found)
     results = structured_answers(intents, data.catalog, data.rows).filter(F.col("problem").isNull())
     cited = F.array(query_source(F.col("sql"), F.col("row_count"))).cast(f"array<{SOURCE_TYPE}>")
     tables = results.select("question_id", F.col("context").alias("_result"), cited.alias("_cited"))
 
-    joined = routed.join(passages, "question_id", "left").join(tables, "question_id", "left")
+    joined = same_question(routed.join(tables, "question_id", "left").withColumn("_read", reads_text), passages, "left").drop("_read")
     context = join_evidence(F.col("context"), F.col("_result"))
     sources = join_sources(F.col("sources"), F.col("_cited"))
     gathered = joined.withColumn("context", context).withColumn("sources", sources).drop("_result", "_cited")

@@ -5,6 +5,7 @@ from citewise.functions.questions import NOT_FOUND
 from citewise.operators import lifecycle as lc
 from citewise.operators import profile, sheets
 from citewise.operators.chunking import chunk_documents
+from citewise.plans import answers
 from citewise.plans.answers import Collections, answer_questions
 from citewise.sources import tables as tb
 from citewise.sources.files import accepted_files, classify_files, read_text_files, text_units
@@ -61,6 +62,25 @@ def test_answers(spark, data):
     assert cited[1]["sql"] == 'SELECT SUM("revenue") FROM xlsx_sales WHERE "month" = \'March\';'
 
 
+def test_repeated_questions_are_searched_once(spark, data, monkeypatch):
+    """Any number of askers of one session cost one search; everyone gets the answer, whatever the id, also where it is asked elsewhere."""
+    seen = []
+    search, discover = answers.semantic_evidence, answers.discover_sheets
+    monkeypatch.setattr(answers, "semantic_evidence", lambda questions, *a, **k: seen.append(questions.count()) or search(questions, *a, **k))
+    monkeypatch.setattr(answers, "discover_sheets", lambda questions, *a, **k: seen.append(questions.count()) or discover(questions, *a, **k))
+    asked = [(100 * n + i, q, s, "u") for n in range(5) for i, (s, q, *_) in enumerate(CASES)]
+    asked += [(900, None, CASES[0][0], "u"), (901, None, CASES[0][0], "u")]
+    shape = "question_id int, question string, session_id string, user_id string"
+    rows = {r["question_id"]: r for r in answer_questions(spark.createDataFrame(asked, shape), data).collect()}
+    assert len(rows) == len(asked)
+    for n in range(5):
+        got = [rows[100 * n + i] for i in range(len(CASES))]
+        assert [(r["question_type"], r["answer"], len(r["sources"])) for r in got] == [(t, a, k) for _, _, t, a, k in CASES]
+        assert [r["context"] for r in got] == [rows[i]["context"] for i in range(len(CASES))]
+    types = [t for _, _, t, _, _ in CASES]
+    assert seen[0] <= 1 + sum(t != "STRUCTURED" for t in types) and seen[1] == types.count("HYBRID")
+
+
 def test_foreign_user_gets_nothing(spark, data):
     asked = spark.createDataFrame([(1, "What do dogs do at night?", "s3", "intruder")], "question_id int, question string, session_id string, user_id string")
     assert answer_questions(asked, data).first()["answer"] == NOT_FOUND
