@@ -64,11 +64,17 @@ def words(col: Column) -> Column:
 
 def lexical_overlap(question: Column, passage: Column) -> Column:
     """Distinct words of the question that also stand in the passage; the passage is searched, not taken apart."""
+    return let(spaced(passage), lambda padded: words_within(question, padded))
 
-    def count(padded: Column) -> Column:
-        return F.size(F.filter(words(question), lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))))
 
-    return let(F.concat(F.lit(" "), plain_blanks(F.lower(passage)), F.lit(" ")), count)
+def spaced(passage: Column) -> Column:
+    """The passage in lower case with single blanks between its words and around them."""
+    return F.concat(F.lit(" "), plain_blanks(F.lower(passage)), F.lit(" "))
+
+
+def words_within(question: Column, padded: Column) -> Column:
+    """Distinct words of the question that stand in a ``spaced`` passage."""
+    return F.size(F.filter(words(question), lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))))
 
 
 def tokens(col: Column) -> Column:

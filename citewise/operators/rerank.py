@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewise.functions.text import lexical_overlap
+from citewise.functions.text import lexical_overlap, words_within
 
 KEPT = 5
 
@@ -38,10 +38,16 @@ def rank_and_filter(
     return ranked.filter(F.col(failed) | keep if failed else keep).drop("_best")
 
 
-def rerank_by_overlap(candidates: DataFrame, top_n: int = KEPT, question: str = "question", text: str = "text") -> DataFrame:
-    """Default reranker: number of shared words; candidates that share none are dropped."""
-    overlap = lexical_overlap(F.col(question), F.col(text)).cast("bigint")
-    return rank_and_filter(candidates.withColumn("overlap", overlap), top_n, min_score=1, score="overlap", index="rank")
+def rerank_by_overlap(
+    candidates: DataFrame, top_n: int = KEPT, question: str = "question", text: str = "text", plain: str | None = None
+) -> DataFrame:
+    """Default reranker: number of shared words; candidates that share none are dropped.
+
+    ``plain`` names a column with the ``spaced`` texts, made once for every text rather than for every candidate; it is dropped.
+    """
+    overlap = words_within(F.col(question), F.col(plain)) if plain else lexical_overlap(F.col(question), F.col(text))
+    scored = candidates.withColumn("overlap", overlap.cast("bigint")).drop(*([plain] if plain else []))
+    return rank_and_filter(scored, top_n, min_score=1, score="overlap", index="rank")
 
 
 def rerank_by_model(candidates: DataFrame, scorer, top_n: int = KEPT, **limits) -> DataFrame:

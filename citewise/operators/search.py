@@ -198,13 +198,15 @@ def top_k(
     payload: Sequence[str] = (),
     dim: int = DEFAULT_DIM,
     block_bytes: int = BLOCK_BYTES,
+    asked_with: Sequence[str] = (),
 ) -> DataFrame:
     """questions(question_id, *tenant, vector) x points(point_id, *tenant, vector, *payload) -> best k points each.
 
     Output: question_id, score, point_id, payload columns and 1-based ``rank``. Questions come in blocks of bounded size;
     each block meets the points where they lie, and only ids and tenants of a task's best k leave it. Where questions would
     make several blocks and the points only one, the points are sent out and the questions read once. The payload is joined to
-    the ranked rows on tenant and id, so an id may occur in several tenants; inside one it has to be unique.
+    the ranked rows on tenant and id, so an id may occur in several tenants; inside one it has to be unique. The columns
+    ``asked_with`` of the questions come along, joined while the rows are still narrow.
     """
     tenant_key = F.to_json(F.struct(*[F.col(c).cast("string") for c in tenant])) if tenant else F.lit("")
     asked = settle(questions.select("question_id", tenant_key.alias(TENANT), "vector"))
@@ -234,9 +236,11 @@ def top_k(
         found = found.unionAll(hits)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), point_id)
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if asked_with:
+        best = best.join(questions.select("question_id", *asked_with), "question_id")
     if payload:
         best = best.join(points.select(point_id, tenant_key.alias(TENANT), *payload), [point_id, TENANT])
-    return best.select("question_id", "score", point_id, *payload, "rank")
+    return best.select("question_id", *asked_with, "score", point_id, *payload, "rank")
 
 
 def search_chunks(
@@ -247,8 +251,9 @@ def search_chunks(
     dim: int = DEFAULT_DIM,
     provider=None,
     file_id=None,
+    asked_with: Sequence[str] = (),
 ) -> DataFrame:
-    """questions(question_id, question, *tenant) against chunk text: candidates with every chunk column.
+    """questions(question_id, question, *tenant) against chunk text: candidates with every chunk column and those of ``asked_with``.
 
     ``provider`` embeds both sides, with vectors of ``dim`` values. ``file_id`` narrows the search to one file's chunks;
     questions that each name a file of their own pass it as a tenant column instead.
@@ -257,4 +262,4 @@ def search_chunks(
     asked = embed(questions, "question", dim=dim, provider=provider)
     stored = embed(searched, "text", dim=dim, provider=provider)
     payload = [c for c in chunks.columns if c != "chunk_id" and c not in tenant]
-    return top_k(asked, stored, k, tenant, payload=payload, dim=dim)
+    return top_k(asked, stored, k, tenant, payload=payload, dim=dim, asked_with=asked_with)

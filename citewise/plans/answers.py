@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from citewise.functions.hashing import DEFAULT_DIM
 from citewise.functions.labels import SOURCE_TYPE, query_source
 from citewise.functions.questions import HYBRID, SEMANTIC, STRUCTURED, extract_answer, guarded_route, keyword_route
+from citewise.functions.text import spaced
 from citewise.operators.evidence import build_context, join_evidence, join_sources, merge_adjacent
 from citewise.operators.intents import question_intents, structured_answers
 from citewise.operators.lifecycle import session_flags
@@ -22,6 +23,7 @@ from citewise.plans.materialize import settle
 
 SESSION = ("user_id", "session_id")
 ASKED = ("question", *SESSION)
+PLAIN = "_plain"
 
 
 @dataclass(frozen=True)
@@ -65,13 +67,14 @@ def semantic_evidence(
     file_id=None,
 ) -> DataFrame:
     """(question_id, context, sources): search, rerank, merge neighbours, cite; ``file_id`` narrows it to one file."""
-    found = search_chunks(questions, chunks, candidates, tenant, providers.dim, providers.embedding, file_id)
-    asked = found.join(questions.select("question_id", "question"), "question_id")
+    if not providers.scorer:
+        chunks = chunks.withColumn(PLAIN, spaced(F.col("text")))
+    asked = search_chunks(questions, chunks, candidates, tenant, providers.dim, providers.embedding, file_id, ["question"])
     if providers.scorer:
         limits = {"min_score": providers.min_score, "score_margin": providers.score_margin}
         best = rerank_by_model(asked, providers.scorer, kept, **limits)
     else:
-        best = rerank_by_overlap(asked, kept)
+        best = rerank_by_overlap(asked, kept, plain=PLAIN)
     return build_context(merge_adjacent(best))
 
 
